@@ -147,6 +147,14 @@ def loglikelihood_choice(choices: DataFrame) -> DataFrame:
     return picked.withColumn("value", _flag(F.col("picked") == F.col("gold_index")))
 
 
+def to_sample_scores(wide: DataFrame, metrics) -> DataFrame:
+    """One column per metric to one row per sample and metric."""
+    pairs = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics]
+    return wide.select(
+        "model", "task", "item_id", F.explode(F.array(*pairs)).alias("score")
+    ).select("model", "task", "item_id", "score.metric", "score.value")
+
+
 def _by_row(asked: Column, scorers: dict[str, Scorer], build) -> Column:
     """Array of what ``build`` gives for the scorers a row asks for."""
     return F.array_compact(

@@ -177,7 +177,7 @@ def normalize_task_spec(spark, sf):
 
 
 def payload_report(spark, sf) -> DataFrame:
-    return evaluation.report_table(parsed_payloads(spark, sf))
+    return evaluation.lay_out(evaluation.decoded_entries(payload_files(spark, sf)))
 
 
 @query
@@ -684,9 +684,8 @@ def split_by_metric(spark, sf):
 
 @query
 def collect_report(spark, sf):
-    return evaluation.report_table(
-        parsed_payloads(spark, sf), include_stderr=False, cell="value"
-    )
+    kept = evaluation.decoded_entries(payload_files(spark, sf))
+    return evaluation.lay_out(kept, include_stderr=False, cell="value")
 
 
 @query

@@ -30,11 +30,11 @@ TAIL_LINES = 5
 
 # A letter standing alone, or one after an underscore at the end of its line. In
 # any line the first kind lies left of the second, so the leftmost match over the
-# lines joined last-to-first is the answer.
-_TAIL_LETTER = (
-    r"(?<![\p{L}\p{N}_])[ABCD](?![\p{L}\p{N}_])"
-    r"|_[ABCD](?=\n|\z)"
-)
+# lines joined last-to-first is the answer. Letters are tried before the look at
+# what precedes them, which keeps the scan cheap; the character beyond the basic
+# plane in the class makes Java step back by characters and not by code units.
+_WORD = r"[\p{L}\p{N}_" + chr(0x10FFFF) + "]"
+_TAIL_LETTER = rf"(?s)[ABCD](?:(?<!{_WORD}.)(?!{_WORD})|(?<=_.)(?=\n|\z))"
 
 
 def strip(text: Column) -> Column:
@@ -61,7 +61,7 @@ def extract_choice_letter(text: Column) -> Column:
     """
     tail = F.slice(F.reverse(nonblank_lines(text)), 1, TAIL_LINES)
     joined = F.replace(F.array_join(tail, "\n"), F.lit("**"), F.lit(" "))
-    in_tail = F.right(F.regexp_extract(joined, _TAIL_LETTER, 0), F.lit(1))
+    in_tail = F.regexp_extract(joined, _TAIL_LETTER, 0)
 
     seen = [F.contains(text, F.lit(letter)) for letter in LETTERS]
     how_many = sum((s.cast("int") for s in seen[1:]), seen[0].cast("int"))

@@ -63,17 +63,21 @@ def task_scores_wide(wide: DataFrame, metrics) -> DataFrame:
     ).select("model", "task", "score.*")
 
 
+def _over_tasks(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("model", "task", "metric").agg(
+        F.avg("value").alias("value"), F.avg("stderr").alias("stderr"), F.sum("n").alias("n")
+    )
+
+
 def all_rollup(scores: DataFrame) -> DataFrame:
     """The pseudo-task: the unweighted mean of a model's task means."""
-    return scores.groupBy("model", "metric").agg(
-        F.avg("value").alias("value"),
-        F.avg("stderr").alias("stderr"),
-        F.sum("n").alias("n"),
-    ).withColumn("task", F.lit(ALL_TASKS))
+    return _over_tasks(scores.withColumn("task", F.lit(ALL_TASKS)))
 
 
 def with_all(scores: DataFrame) -> DataFrame:
-    return scores.unionByName(all_rollup(scores))
+    """Task scores and the pseudo-task, from one pass over the task scores."""
+    both = F.explode(F.array(F.col("task"), F.lit(ALL_TASKS)))
+    return _over_tasks(scores.withColumn("task", both))
 
 
 def suite_mean(scores: DataFrame, suites: DataFrame) -> DataFrame:

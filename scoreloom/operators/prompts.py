@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,8 +126,11 @@ def example_block(question, choices, answer) -> Column:
 def context_mcq(
     question, options, content=None, asked=wording.LETTERS_ASKED
 ) -> Column:
-    texts = F.array(*[choice_text(options, letter) for letter in labels.FOUR_CHOICES])
-    body = F.concat(_question(question), F.lit("\n"), lettered(texts), F.lit(f"\n{ANSWER}"))
+    lines = [
+        F.concat(F.lit(f"{letter}. "), choice_text(options, letter))
+        for letter in labels.FOUR_CHOICES
+    ]
+    body = F.concat_ws("\n", _question(question), *lines, F.lit(ANSWER))
     head = F.lit(f"{asked}\n")
     if content is None:
         return F.concat(head, body)
@@ -251,36 +255,41 @@ def build_prompts(rows: DataFrame, formatter: str, **options) -> Checked:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
 
-    no_gaps = F.array().cast("array<string>")
-    marked = rows.withColumns(
-        {
-            "_absent": missing_columns(f.required),
-            "_gaps": missing_choices(c(f.need_all_choices)) if f.need_all_choices else no_gaps,
-            "gold_index": f.gold_index(c(f.gold)) if f.gold_index else F.lit(0),
-        }
-    ).withColumn(
-        "reason",
-        F.when(F.size("_absent") > 0, "missing required value")
-        .when(F.size("_gaps") > 0, "choice without text")
-        .when(c("gold_index").isNull(), "invalid label"),
-    )
+    gold_index = f.gold_index(c(f.gold)) if f.gold_index else F.lit(0)
+    letters = labels.FOUR_CHOICES if f.need_all_choices else ()
+    texts = [choice_text(c(f.need_all_choices), letter) for letter in letters]
+    # Plain conditions on single columns, which reach the scan.
+    present = [c(name).isNotNull() for name in f.required]
+    complete = [text.isNotNull() for text in texts]
+    fine = reduce(lambda a, b: a & b, [*present, *complete, gold_index.isNotNull()])
+
     choices = labels.choices(f.labels) if f.gold_index else F.array(c(f.gold))
-    present = [name for name in f.specific if name in rows.columns]
-    pairs = [x for name in present for x in (F.lit(name), c(name).cast("string"))]
+    kept = [name for name in f.specific if name in rows.columns]
+    pairs = [x for name in kept for x in (F.lit(name), c(name).cast("string"))]
     specific = F.create_map(*pairs) if pairs else F.lit(None)
-    prompts = marked.where(c("reason").isNull()).select(
-        "task",
-        "item_id",
-        f.query(**options).alias("query"),
-        choices.alias("choices"),
-        "gold_index",
-        F.get(choices, c("gold_index")).alias("gold"),
-        specific.cast("map<string,string>").alias("specific"),
+    prompts = (
+        rows.where(fine)
+        .withColumn("gold_index", gold_index)
+        .select(
+            "task",
+            "item_id",
+            f.query(**options).alias("query"),
+            choices.alias("choices"),
+            "gold_index",
+            F.get(choices, c("gold_index")).alias("gold"),
+            specific.cast("map<string,string>").alias("specific"),
+        )
     )
-    rejects = marked.where(c("reason").isNotNull()).select(
+    absent = missing_columns(f.required)
+    gaps = missing_choices(c(f.need_all_choices), letters) if letters else F.array()
+    gaps = gaps.cast("array<string>")
+    rejects = rows.where(~fine).select(
         F.lit(formatter).alias("source"),
         c("item_id").cast("string").alias("key"),
-        "reason",
-        F.concat("_absent", "_gaps").alias("missing"),
+        F.when(F.size(absent) > 0, "missing required value")
+        .when(F.size(gaps) > 0, "choice without text")
+        .otherwise("invalid label")
+        .alias("reason"),
+        F.concat(absent, gaps).alias("missing"),
     )
     return Checked(accepted=prompts, rejected=rejects)

@@ -108,22 +108,20 @@ def common_prefix(entries: DataFrame) -> DataFrame:
     and the largest, so one aggregate finds it.
     """
     parts = path_parts(F.col("model"))
-    ends = (
-        entries.where(F.col("model") != "")
-        .agg(F.min(parts).alias("low"), F.max(parts).alias("high"), F.count(F.lit(1)).alias("n"))
+    ends = entries.where(F.col("model") != "").agg(
+        F.min(parts).alias("low"), F.max(parts).alias("high")
     )
     pairs = F.zip_with("low", "high", lambda a, b: F.coalesce(a == b, F.lit(False)))
     same = F.array_position(F.concat(pairs, F.array(F.lit(False))), F.lit(False)) - 1
     joined = F.array_join(F.slice("low", F.lit(1), same.cast("int")), "/")
     prefix = F.concat(F.regexp_replace(joined, r"/+\z", ""), F.lit("/"))
-    return ends.select(F.when((F.col("n") > 1) & (same > 0), prefix).alias("prefix"))
+    return ends.select(F.when(same > 0, prefix).alias("prefix"))
 
 
 def trim_model_prefix(entries: DataFrame) -> DataFrame:
     """Remove the leading path parts that all model names share.
 
-    ``entries`` has one row per file and task; with fewer than two such rows, or
-    for a name that is nothing but the prefix, names stay.
+    A name that is nothing but the prefix stays, and so does a single name.
     """
     prefix = common_prefix(entries).scalar()
     longer = F.startswith("model", prefix) & (F.length("model") > F.length(prefix))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 SALTS = 32
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -83,7 +85,8 @@ def attach_few_shots(
     examples = kept.groupBy("task").agg(
         F.array_sort(F.collect_list(F.struct("item_id", "query", "answer"))).alias("_examples")
     )
-    joined = join_measured(prompts, examples, "task", "item_id")
+    # Few rows from a whole pool; measured and joined without reading it again.
+    joined = join_measured(prompts, written(examples, "examples"), "task", "item_id")
     none = F.array().cast(examples.schema["_examples"].dataType)
     others = F.filter(
         F.coalesce("_examples", none), lambda e: e["item_id"] != F.col("item_id")

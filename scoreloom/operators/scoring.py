@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.severity import with_base_score
+from .sampling import join_measured
 
 WORST_DISTANCE = 10.0
 
@@ -197,11 +198,13 @@ def score_responses(
     ``responses`` (model, task, item_id, texts), ``prompts`` (task, item_id, gold),
     ``tasks`` (task, metrics, stops). Each response is cut at its task's stop
     strings and reduced to what its scorers extract; only that is joined to the
-    gold answers on (task, item_id).
+    gold answers on (task, item_id). Responses to unknown tasks have no scorers and
+    give no scores.
     """
     scorers = SCORERS if scorers is None else scorers
     text = T.cut_at_stops(T.first_response(F.col("texts")), F.col("stops"))
-    cut = responses.join(tasks.select("task", "metrics", "stops"), "task").select(
+    asked = tasks.select("task", "metrics", "stops")
+    cut = join_measured(responses, asked, "task", "item_id").select(
         "model", "task", "item_id", "metrics", text.alias("text")
     )
     extracted = cut.select(

@@ -64,8 +64,8 @@ def gold_set_or_skip(df: DataFrame, label: str) -> Checked:
 
 def choice_text(options: Column, key: str) -> Column:
     """Text under a key in an array of (key, text) pairs; null when absent."""
-    hits = F.filter(options, lambda option: option["key"] == key)
-    return F.get(hits, F.lit(0))["text"]
+    at = F.array_position(options["key"], key) - 1
+    return F.get(options, at.cast("int"))["text"]
 
 
 def missing_choices(options: Column, letters=labels.FOUR_CHOICES) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..operators import aggregate, results, scoring
 from ..sources import result_files, sinks
 
@@ -39,15 +40,14 @@ def evaluate_choices(choices: DataFrame) -> DataFrame:
     return aggregate.with_all(aggregate.task_scores(samples))
 
 
-def report_table(
-    parsed: DataFrame, pivot: bool = True, include_stderr: bool = True, cell: str = "raw"
+def lay_out(
+    entries: DataFrame, pivot: bool = True, include_stderr: bool = True, cell: str = "raw"
 ) -> DataFrame:
-    """Decoded payloads to a report: trim names, drop errors, then lay out."""
-    named = results.task_entries(parsed)
-    entries = results.trim_model_prefix(named)
+    """Task entries to a report: trim names, drop errors, then make columns."""
+    trimmed = results.trim_model_prefix(entries)
     if not pivot:
-        metrics = results.distinct_names(results.flatten_results(named), "metric")
-        return results.results_long_table(entries, metrics, include_stderr)
+        metrics = results.distinct_names(results.flatten_results(entries), "metric")
+        return results.results_long_table(trimmed, metrics, include_stderr)
 
     def in_long_form(df: DataFrame) -> DataFrame:
         long = results.flatten_results(df, keep_empty=True)
@@ -55,9 +55,15 @@ def report_table(
 
     # Column names do not depend on the trimming, so this pass goes without it.
     columns = results.distinct_names(
-        in_long_form(named).select(results.report_column().alias("column")), "column"
+        in_long_form(entries).select(results.report_column().alias("column")), "column"
     )
-    return results.pivot_by_model(in_long_form(entries), columns, cell).orderBy("model")
+    return results.pivot_by_model(in_long_form(trimmed), columns, cell).orderBy("model")
+
+
+def decoded_entries(files: DataFrame) -> DataFrame:
+    """Task entries of result files, decoded once and kept for the passes over them."""
+    parsed = result_files.parse_results_tolerant(files).accepted
+    return session.written(results.task_entries(parsed), "entries")
 
 
 def collect_report(
@@ -72,19 +78,14 @@ def collect_report(
 
     With no rows nothing is written.
     """
-    files = result_files.scan_result_files(spark, root)
-    # Read and decoded once; the report takes several passes over it.
-    parsed = result_files.parse_results_tolerant(files).accepted.persist()
-    try:
-        if results.task_entries(parsed).isEmpty():
-            return 0
-        report = report_table(parsed, pivot, include_stderr).persist()
-        rows = report.count()
-        if split:
-            sinks.write_csv_per_metric(report, output)
-        else:
-            sinks.write_csv(report, output)
-        report.unpersist()
-        return rows
-    finally:
-        parsed.unpersist()
+    entries = decoded_entries(result_files.scan_result_files(spark, root))
+    if entries.isEmpty():
+        return 0
+    report = lay_out(entries, pivot, include_stderr).persist()
+    rows = report.count()
+    if split:
+        sinks.write_csv_per_metric(report, output, one_file=pivot)
+    else:
+        sinks.write_csv(report, output, one_file=pivot)
+    report.unpersist()
+    return rows

@@ -19,7 +19,8 @@ def scan_benchmark(
 
 
 def write_benchmark(lines: DataFrame, root: str) -> None:
-    lines.write.partitionBy(*PARTITIONS).mode("append").parquet(root)
+    gathered = lines.hint("rebalance", *PARTITIONS)
+    gathered.write.partitionBy(*PARTITIONS).mode("append").parquet(root)
 
 
 def evaluation_lines(lines: DataFrame, registry: DataFrame) -> DataFrame:

@@ -7,35 +7,43 @@ from pyspark.sql import DataFrame
 from ..operators.results import quoted, result_payloads, split_by_metric
 
 
-def write_csv(report: DataFrame, path: str, columns=None) -> None:
+def write_csv(report: DataFrame, path: str, columns=None, one_file: bool = True) -> None:
     """Header and rows, missing cells empty; columns not asked for are left out.
 
-    A report has a row per model, which is why one file is right.
+    One file suits a report with a row per model. Tables that grow with the number
+    of result files are written in parts, each with a header.
     """
     if columns is not None:
         report = report.select(*map(quoted, columns))
-    report.coalesce(1).write.option("header", True).option("nullValue", "").option(
+    if one_file:
+        report = report.coalesce(1)
+    report.write.option("header", True).option("nullValue", "").option(
         "emptyValue", ""
     ).option("escape", '"').csv(path)
 
 
-def write_csv_per_metric(report: DataFrame, path: str) -> dict[str, str]:
+def write_csv_per_metric(report: DataFrame, path: str, one_file: bool = True) -> dict[str, str]:
     """One table per metric, at ``<stem>_<metric><suffix>``; returns the paths."""
     folder, _, name = path.rpartition("/")
     stem, dot, suffix = name.rpartition(".")
     if not stem:
         stem, dot, suffix = name, "", ""
-    written = {}
+    paths = {}
     for metric, table in split_by_metric(report).items():
         target = f"{stem}_{metric}{dot}{suffix}"
-        written[metric] = f"{folder}/{target}" if folder else target
-        write_csv(table, written[metric])
-    return written
+        paths[metric] = f"{folder}/{target}" if folder else target
+        write_csv(table, paths[metric], one_file=one_file)
+    return paths
 
 
 def write_sample_details(samples: DataFrame, path: str) -> None:
-    """Per-sample values, in folders by model and task."""
-    samples.write.partitionBy("model", "task").parquet(path)
+    """Per-sample values, in folders by model and task.
+
+    Rows are first brought together by folder; rebalancing splits a folder that
+    holds many rows over several tasks.
+    """
+    gathered = samples.hint("rebalance", "model", "task")
+    gathered.write.partitionBy("model", "task").parquet(path)
 
 
 def write_result_payloads(scores: DataFrame, path: str) -> None:

@@ -21,11 +21,15 @@ def run(name, tasks, **extra):
     return {"config_general": {"model_name": name, **extra}, "results": tasks}
 
 
-def read_csv(path):
-    parts = [f for f in os.listdir(path) if f.endswith(".csv")]
-    assert len(parts) == 1
-    with open(os.path.join(path, parts[0]), newline="", encoding="utf-8") as f:
-        return list(csv.reader(f))
+def read_csv(path, parts=1):
+    names = [f for f in os.listdir(path) if f.endswith(".csv")]
+    assert parts is None or len(names) == parts
+    rows = []
+    for name in names:
+        with open(os.path.join(path, name), newline="", encoding="utf-8") as f:
+            header, *body = csv.reader(f)
+        rows += body
+    return [header, *rows]
 
 
 def sample_folder(root):
@@ -62,7 +66,8 @@ def test_long_report(spark, tmp_path):
     sample_folder(tmp_path / "in")
     out = str(tmp_path / "long.csv")
     assert evaluation.collect_report(spark, str(tmp_path / "in"), out, pivot=False) == 5
-    rows = read_csv(out)
+    rows = read_csv(out, parts=None)
+    assert len(rows) == 6
     assert rows[0] == ["model", "task", "json_path", "acc", "acc_stderr", "em"]
     assert ["m3", "v|0", str(tmp_path / "in/o/m3/results_1.json"), "", "", ""] in rows
     assert ["m1", "u|5", str(tmp_path / "in/o/m1/results_2.json"), "", "", "1"] in rows

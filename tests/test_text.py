@@ -54,7 +54,7 @@ def restated(text):
 def test_choice_letter_on_random_texts(spark):
     rng = random.Random(7)
     alphabet = list("ABCDab_1 .:)*(") + ["**", "\n", "\r\n", " ", "\x1c", "\x85", " "]
-    alphabet += ["é", "é", "́", "²", "Ⅳ", "一", "\U0001f600", "\t"]
+    alphabet += ["é", "é", "́", "²", "Ⅳ", "一", "\U0001f600", "\U0001d400", "\t"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(8000)]
     assert apply(spark, T.extract_choice_letter, texts) == [restated(t) for t in texts]
 

@@ -87,11 +87,10 @@ USED = f"{src('usage')} JOIN {REG} USING (position)"
 add(
     "scan_benchmark",
     f"""
-    SELECT u.doc_id, r.task
+    SELECT u.doc_id, reg.task
     FROM (SELECT doc_id, repo, subset, split FROM {USED}) AS u
-    JOIN {REG.replace('AS reg(', 'AS reg(')} ON reg.repo = u.repo AND reg.subset = u.subset
-      AND reg.evaluation_split = u.split
-    """.replace("SELECT u.doc_id, r.task", "SELECT u.doc_id, reg.task"),
+    JOIN {REG} ON reg.repo = u.repo AND reg.subset = u.subset AND reg.evaluation_split = u.split
+    """,
 )
 add(
     "plan_distinct_datasets",
@@ -129,8 +128,9 @@ add(
     f"""
     SELECT c.category, n_tasks, tasks, n_items
     FROM (SELECT category, count(*) AS n_tasks, string_agg(task, ',' ORDER BY position) AS tasks
-          FROM {REG} WHERE task NOT LIKE 'cti\\_bench\\_ori%' ESCAPE '\\' GROUP BY 1) AS c
-    JOIN (SELECT category, count(*) AS n_items FROM {USED} GROUP BY 1) AS u USING (category)
+          FROM {REG} WHERE NOT starts_with(task, 'cti_bench_ori') GROUP BY 1
+          UNION ALL SELECT 'Curated suites', 4, 'house_base,house_instruct,related_base,related_instruct') AS c
+    LEFT JOIN (SELECT category, count(*) AS n_items FROM {USED} GROUP BY 1) AS u USING (category)
     """,
 )
 RELATED = "cybermetrics:500 mmlu:cs_security secbench:mcq-en seceval:mcqa secure:maet secure:cwet secure:kcv_em cti_bench:cti-mcq".split()
@@ -205,7 +205,6 @@ def loose(x: str) -> str:
     return f"upper({strip(x)})"
 
 
-MIXED = f"CASE WHEN mixed_gold SIMILAR TO '[0-9]+' THEN CAST(mixed_gold AS INTEGER) ELSE {index_of('mixed_gold').replace('mixed_gold', 'CASE WHEN mixed_gold IN (''A'',''B'',''C'',''D'') THEN mixed_gold END')} END"
 MIXED = (
     "CAST(CASE mixed_gold WHEN '0' THEN 0 WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 3 "
     "WHEN 'A' THEN 0 WHEN 'B' THEN 1 WHEN 'C' THEN 2 WHEN 'D' THEN 3 END AS INTEGER)"

@@ -24,7 +24,7 @@ from scoreloom.operators import (
 from scoreloom.plans import evaluation, registry
 from scoreloom.sources import benchmark, result_files, sinks, task_lists
 
-from .views import table, view
+from .views import spread, table, view
 
 col = F.col
 OPTIONS = ["opt_a", "opt_b", "opt_c", "opt_d"]
@@ -166,7 +166,7 @@ def scan_task_list(spark, sf):
 
 @query
 def normalize_task_spec(spark, sf):
-    specs = table(spark, sf, "documents").select(
+    specs = spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id",
         F.when(col("doc_id") % 9 == 0, F.concat(F.lit(" tasks/"), "source", F.lit(".txt")))
         .when(col("doc_id") % 9 == 1, F.concat_ws(",", "text", F.lit(" , a:b|5,c:d|"), "lang"))
@@ -246,8 +246,10 @@ def task_variant_rules(spark, sf):
 @query
 def task_catalogue(spark, sf):
     used = used_tasks(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n_items"))
-    catalogue = registry.task_catalogue(registry.task_registry(spark))
-    return catalogue.join(used, "category").select(
+    catalogue = registry.task_catalogue(
+        registry.task_registry(spark), registry.curated_suites(spark)
+    )
+    return catalogue.join(used, "category", "left").select(
         "category", "n_tasks", F.array_join("tasks", ",").alias("tasks"), "n_items"
     )
 

@@ -142,7 +142,7 @@ SELECT conv_id, turn, role,
 FROM conversations""",
 }
 
-TABLES = ("documents", "events", "conversations")
+KEYS = {"documents": "doc_id", "events": "event_id", "conversations": "conv_id"}
 
 
 def _fan_out(sql: str, to: str) -> str:
@@ -158,9 +158,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the table is in fewer files than there are cores.
+
+    The small tables are one file with one row group, which one task would read
+    and work through. Tables in many files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a Spark DataFrame."""
     sql = _fan_out(VIEWS[name], r"explode(array(\1))")
-    for source in TABLES:
-        sql = sql.replace(f"FROM {source}", f"FROM parquet.`{sf_dir}/{source}.parquet`")
-    return spark.sql(sql)
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    used = {t: key for t, key in KEYS.items() if f"FROM {t}" in sql}
+    for source in used:
+        sql = sql.replace(f"FROM {source}", f"FROM {{{source}}}")
+    frames = {t: spread(table(spark, sf_dir, t), key) for t, key in used.items()}
+    return spark.sql(sql, **frames)

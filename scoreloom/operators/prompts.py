@@ -256,12 +256,14 @@ def build_prompts(rows: DataFrame, formatter: str, **options) -> Checked:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
 
     gold_index = f.gold_index(c(f.gold)) if f.gold_index else F.lit(0)
-    letters = labels.FOUR_CHOICES if f.need_all_choices else ()
-    texts = [choice_text(c(f.need_all_choices), letter) for letter in letters]
+    gaps = F.array().cast("array<string>")
+    if f.need_all_choices:
+        gaps = missing_choices(c(f.need_all_choices))
     # Plain conditions on single columns, which reach the scan.
-    present = [c(name).isNotNull() for name in f.required]
-    complete = [text.isNotNull() for text in texts]
-    fine = reduce(lambda a, b: a & b, [*present, *complete, gold_index.isNotNull()])
+    conditions = [c(name).isNotNull() for name in f.required] + [gold_index.isNotNull()]
+    if f.need_all_choices:
+        conditions.append(F.size(gaps) == 0)
+    fine = reduce(lambda a, b: a & b, conditions)
 
     choices = labels.choices(f.labels) if f.gold_index else F.array(c(f.gold))
     kept = [name for name in f.specific if name in rows.columns]
@@ -281,8 +283,6 @@ def build_prompts(rows: DataFrame, formatter: str, **options) -> Checked:
         )
     )
     absent = missing_columns(f.required)
-    gaps = missing_choices(c(f.need_all_choices), letters) if letters else F.array()
-    gaps = gaps.cast("array<string>")
     rejects = rows.where(~fine).select(
         F.lit(formatter).alias("source"),
         c("item_id").cast("string").alias("key"),

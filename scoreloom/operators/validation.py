@@ -70,8 +70,10 @@ def choice_text(options: Column, key: str) -> Column:
 
 def missing_choices(options: Column, letters=labels.FOUR_CHOICES) -> Column:
     """Letters that have no text among the options."""
-    gaps = [F.when(choice_text(options, x).isNull(), F.lit(x)) for x in letters]
-    return F.array_compact(F.array(*gaps))
+    with_text = F.filter(options, lambda option: option["text"].isNotNull())
+    return F.array_except(
+        labels.domain(letters), F.coalesce(with_text["key"], F.array().cast("array<string>"))
+    )
 
 
 def require_all_choices(df: DataFrame, options: str = "options") -> Checked:

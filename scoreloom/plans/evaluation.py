@@ -18,8 +18,8 @@ def metric_catalogue(spark: SparkSession, scorers=None) -> DataFrame:
     rows = [
         (name, s.metric, s.higher_is_better, s.category) for name, s in scorers.items()
     ] + [LOGLIKELIHOOD]
-    return spark.createDataFrame(
-        rows, "scorer string, metric string, higher_is_better boolean, category string"
+    return session.local_table(
+        spark, rows, "scorer string, metric string, higher_is_better boolean, category string"
     )
 
 

@@ -11,6 +11,8 @@ from dataclasses import asdict, dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 HOUSE = "house_mcq"
 OWNER = "benchmarks"
 
@@ -211,35 +213,47 @@ def tasks(owner: str = OWNER, house: str = HOUSE) -> list[Task]:
 
 
 def task_registry(spark: SparkSession, owner: str = OWNER, house: str = HOUSE) -> DataFrame:
-    """The registry as a table. Its size is known to Spark, which broadcasts it."""
+    """The registry as a table, in registry order."""
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     assert set(names[1:]) == {f.name for f in fields(Task)}
     rows = []
     for position, task in enumerate(tasks(owner, house)):
         values = {"position": position, **asdict(task)}
         rows.append(tuple(values[n] for n in names))
-    return spark.createDataFrame(rows, SCHEMA)
+    return session.local_table(spark, rows, SCHEMA)
 
 
 def distinct_datasets(requests: DataFrame) -> DataFrame:
     """Each (repo, subset) once, with the task that asked for it first.
 
     ``requests`` has position, task, repo and subset, one row per use of a task.
+    Uses are first reduced to one row per task, by a hash aggregate.
     """
-    return requests.groupBy("repo", "subset").agg(
+    firsts = requests.groupBy("repo", "subset", "task").agg(F.min("position").alias("position"))
+    return firsts.groupBy("repo", "subset").agg(
         F.min_by("task", "position").alias("task"), F.min("position").alias("position")
     )
 
 
-def task_catalogue(registry: DataFrame) -> DataFrame:
-    """Tasks of each category, in registry order; the re-hosted originals, which are
-    not offered for choice, are left out."""
-    listed = registry.where(~F.startswith("task", F.lit("cti_bench_ori:")))
+CURATED = "Curated suites"
+
+
+def task_catalogue(registry: DataFrame, suites: DataFrame | None = None) -> DataFrame:
+    """Tasks of each category, in registry order, and the names of the suites.
+
+    The re-hosted originals are not offered for choice and are left out.
+    """
+    listed = registry.where(~F.startswith("task", F.lit("cti_bench_ori:"))).select(
+        "category", "position", "task"
+    )
+    if suites is not None:
+        names = suites.groupBy("suite").agg(F.min("place").alias("position"))
+        listed = listed.unionByName(
+            names.select(F.lit(CURATED).alias("category"), "position", F.col("suite").alias("task"))
+        )
+    in_order = F.array_sort(F.collect_list(F.struct("position", "task")))
     return listed.groupBy("category").agg(
-        F.count(F.lit(1)).alias("n_tasks"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("position", "task"))), lambda t: t["task"]
-        ).alias("tasks"),
+        F.count(F.lit(1)).alias("n_tasks"), F.transform(in_order, lambda t: t["task"]).alias("tasks")
     )
 
 
@@ -267,7 +281,7 @@ def curated_suites(spark: SparkSession, house: str = HOUSE) -> DataFrame:
         for suite, members in suites.items()
         for place, (task, shots) in enumerate(members)
     ]
-    return spark.createDataFrame(rows, "suite string, place int, task string, shots int")
+    return session.local_table(spark, rows, "suite string, place int, task string, shots int")
 
 
 def suite_tasks(suites: DataFrame, registry: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Adaptive execution splits skewed join partitions and merges small ones; the
 # group limit lets "first n per task" prune before the shuffle for any usual n.
@@ -54,3 +57,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def local_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small literal table as a local relation.
+
+    Unlike a table made from Python rows its size is known when a query is
+    planned, so that joins to it are broadcast without a hint.
+    """
+    struct = StructType.fromDDL(schema)
+    dicts = [dict(zip(struct.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(dicts, to_arrow_schema(struct)), struct)

@@ -61,12 +61,12 @@ def extract_choice_letter(text: Column) -> Column:
     """
     tail = F.slice(F.reverse(nonblank_lines(text)), 1, TAIL_LINES)
     joined = F.replace(F.array_join(tail, "\n"), F.lit("**"), F.lit(" "))
-    in_tail = F.regexp_extract(joined, _TAIL_LETTER, 0)
+    hits = F.regexp_extract_all(joined, F.lit(_TAIL_LETTER), F.lit(0))
 
     seen = [F.contains(text, F.lit(letter)) for letter in LETTERS]
     how_many = sum((s.cast("int") for s in seen[1:]), seen[0].cast("int"))
     only = F.coalesce(*[F.when(s, F.lit(x)) for s, x in zip(seen, LETTERS)])
-    return F.coalesce(F.nullif(in_tail, F.lit("")), F.when(how_many == 1, only))
+    return F.coalesce(F.get(hits, F.lit(0)), F.when(how_many == 1, only))
 
 
 def _last_match(text: Column, pattern: str) -> Column:

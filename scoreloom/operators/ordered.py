@@ -24,6 +24,12 @@ def has_long_keys(df: DataFrame, order: str, size: int) -> bool:
     return not df.where(F.col(order) >= size).select(order).isEmpty()
 
 
+def _in_blocks(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
+    """Rows shuffled by key and block. Said outright, since Spark would count rows
+    that arrive partitioned by the key alone as good enough."""
+    return df.withColumn("_block", block_of(order, size)).repartition(key, "_block")
+
+
 def with_next(df: DataFrame, key: str, order: str, columns, size: int = BLOCK) -> DataFrame:
     """Add ``next_<column>``: the value in the key's following row, by ``order``."""
     if not has_long_keys(df, order, size):
@@ -31,7 +37,7 @@ def with_next(df: DataFrame, key: str, order: str, columns, size: int = BLOCK) -
         return df.withColumns({f"next_{c}": F.lead(c).over(following) for c in columns})
 
     values = F.struct(*columns)
-    blocked = df.withColumn("_block", block_of(order, size))
+    blocked = _in_blocks(df, key, order, size)
     in_block = Window.partitionBy(key, "_block").orderBy(order)
     inner = blocked.withColumn("_next", F.lead(values).over(in_block))
 
@@ -59,7 +65,7 @@ def number_in_order(
         position = F.row_number().over(Window.partitionBy(key).orderBy(order))
         return df.withColumn(out, position.cast("long") - 1)
 
-    blocked = df.withColumn("_block", block_of(order, size))
+    blocked = _in_blocks(df, key, order, size)
     position = F.row_number().over(Window.partitionBy(key, "_block").orderBy(order))
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1

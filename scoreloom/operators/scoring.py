@@ -156,10 +156,34 @@ def to_sample_scores(wide: DataFrame, metrics) -> DataFrame:
     ).select("model", "task", "item_id", "score.metric", "score.value")
 
 
-def _by_row(asked: Column, scorers: dict[str, Scorer], build) -> Column:
-    """Array of what ``build`` gives for the scorers a row asks for."""
-    return F.array_compact(
-        F.array(*[F.when(F.array_contains(asked, name), build(s, name)) for name, s in scorers.items()])
+def _rows_per_score(df: DataFrame, asked: str, scorers: dict[str, Scorer], value) -> DataFrame:
+    """One row per scorer a row asks for; ``value`` gives its score from its name.
+
+    The scores are columns first, where generated code computes them, and rows
+    only then.
+    """
+    columns = {name: f"_score_{name}" for name in scorers}
+    wide = df.select(
+        "model",
+        "task",
+        "item_id",
+        *[
+            F.when(F.array_contains(asked, name), value(name, s)).alias(columns[name])
+            for name, s in scorers.items()
+        ],
+    )
+    scores = [
+        F.struct(
+            F.lit(name).alias("scorer"),
+            F.lit(s.metric).alias("metric"),
+            F.col(columns[name]).alias("value"),
+        )
+        for name, s in scorers.items()
+    ]
+    return (
+        wide.select("model", "task", "item_id", F.inline(F.array(*scores)))
+        .where(F.col("value").isNotNull())
+        .select("model", "task", "item_id", "scorer", "metric", "value")
     )
 
 
@@ -173,20 +197,14 @@ def score_multi_metric(
     """
     scorers = SCORERS if scorers is None else scorers
     unknown = F.array_except(F.col(asked), F.array(*[F.lit(name) for name in scorers]))
-    scores = _by_row(
-        F.col(asked),
-        scorers,
-        lambda s, name: F.struct(
-            F.lit(name).alias("scorer"),
-            F.lit(s.metric).alias("metric"),
-            s(F.col("text"), F.col("gold")).alias("value"),
-        ),
-    )
-    checked = F.when(F.size(unknown) == 0, scores).otherwise(
+    known = F.when(F.size(unknown) == 0, F.col(asked)).otherwise(
         F.raise_error(F.concat(F.lit("no scorer named "), F.array_join(unknown, ",")))
     )
-    return df.select("model", "task", "item_id", F.explode(checked).alias("score")).select(
-        "model", "task", "item_id", "score.scorer", "score.metric", "score.value"
+    return _rows_per_score(
+        df.withColumn(asked, known),
+        asked,
+        scorers,
+        lambda name, s: s(F.col("text"), F.col("gold")),
     )
 
 
@@ -218,15 +236,6 @@ def score_responses(
         ],
     )
     joined = extracted.join(prompts.select("task", "item_id", "gold"), ["task", "item_id"])
-    scores = _by_row(
-        F.col("metrics"),
-        scorers,
-        lambda s, name: F.struct(
-            F.lit(name).alias("scorer"),
-            F.lit(s.metric).alias("metric"),
-            s.compare(F.col(f"_{name}"), F.col("gold")).alias("value"),
-        ),
-    )
-    return joined.select("model", "task", "item_id", F.explode(scores).alias("score")).select(
-        "model", "task", "item_id", "score.scorer", "score.metric", "score.value"
+    return _rows_per_score(
+        joined, "metrics", scorers, lambda name, s: s.compare(F.col(f"_{name}"), F.col("gold"))
     )

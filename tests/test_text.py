@@ -18,6 +18,14 @@ def test_strip_is_unicode(spark):
     assert got == [(c + "x" + c).strip() for c in every]
 
 
+def test_lines(spark):
+    rng = random.Random(5)
+    every = [chr(c) for c in range(0x3100) if chr(c).isspace() or c % 97 == 0]
+    texts = ["".join(rng.choices([*every, "ab"], k=rng.randint(0, 40))) for _ in range(3000)]
+    want = [[x.strip() for x in t.splitlines() if x.strip()] for t in texts]
+    assert apply(spark, T.nonblank_lines, texts) == want
+
+
 def test_choice_letter_cases(spark):
     cases = {
         "A firewall is best: B": "A",

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .ordered import BLOCK, block_of, number_in_order, with_next
+from ..session import written
+from .ordered import BLOCK, block_of, has_long_keys, number_in_order, with_next
+from .sampling import join_measured
 from .validation import Checked
 
 DEFAULT_SYSTEM = "You are a helpful assistant."
@@ -40,11 +42,20 @@ def skip_blank_turns(turns: DataFrame) -> DataFrame:
     return stripped.where(~(_is_user() & (F.coalesce("text", F.lit("")) == "")))
 
 
-def truncate_at_sentinel(turns: DataFrame, sentinels=SENTINELS) -> DataFrame:
-    """End a conversation at a user turn that asks to quit; that turn is not kept."""
+def truncate_at_sentinel(turns: DataFrame, sentinels=SENTINELS, size: int = BLOCK) -> DataFrame:
+    """End a conversation at a user turn that asks to quit; that turn is not kept.
+
+    With a conversation longer than ``size`` turns the ends are found by an
+    aggregate and kept as a table, which is broadcast or joined with salt.
+    """
     quits = _is_user() & F.lower(strip(F.col("text"))).isin(*sentinels)
+    if not has_long_keys(turns, "turn", size):
+        so_far = Window.partitionBy("conv_id").orderBy("turn")
+        ended = F.max(F.coalesce(quits, F.lit(False))).over(so_far)
+        return turns.withColumn("_ended", ended).where(~F.col("_ended")).drop("_ended")
+
     ends = turns.where(quits).groupBy("conv_id").agg(F.min("turn").alias("_end"))
-    joined = turns.join(ends, "conv_id", "left")
+    joined = join_measured(turns, written(ends, "ends"), "conv_id", "turn")
     return joined.where(F.col("_end").isNull() | (F.col("turn") < F.col("_end"))).drop("_end")
 
 

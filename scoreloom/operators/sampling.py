@@ -57,7 +57,9 @@ def join_measured(
     repeated = right.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     )
-    return salted.join(repeated, [on, "_salt"], "left").drop("_salt")
+    return salted.join(repeated, [on, "_salt"], "left").select(
+        on, *[c for c in left.columns if c != on], *[c for c in right.columns if c != on]
+    )
 
 
 def attach_few_shots(

@@ -1,4 +1,5 @@
-"""Whole jobs: responses to task scores, result files to a report."""
+"""Whole jobs: benchmark lines to prompts, responses to task scores, result files
+to a report."""
 
 from __future__ import annotations
 
@@ -6,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
-from ..operators import aggregate, results, scoring
-from ..sources import result_files, sinks
+from ..operators import aggregate, prompts, results, sampling, scoring
+from ..operators.validation import Checked
+from ..sources import benchmark, result_files, sinks
+from . import registry
 
 # Metrics reported by each scorer, with their direction and what they are read from.
 LOGLIKELIHOOD = ("loglikelihood", "acc", True, "logprobs")
@@ -23,12 +26,55 @@ def metric_catalogue(spark: SparkSession, scorers=None) -> DataFrame:
     )
 
 
+def formatter_options(task: registry.Task) -> dict:
+    """Switches of a task's layout."""
+    if task.formatter in ("threat_mcq", "weakness", "severity", "techniques"):
+        return {"direct": task.variant == "direct"}
+    if task.formatter == "context_mcq":
+        return {"include_context": task.variant != "no_context"}
+    return {}
+
+
+def task_prompts(
+    spark: SparkSession,
+    root: str,
+    task: registry.Task,
+    shots: int = 0,
+    max_samples: int | None = None,
+    **options,
+) -> Checked:
+    """Prompts of one task from the benchmark lines stored below ``root``.
+
+    Reads the evaluation split; examples come from the few-shot split, or from the
+    evaluation split where the task names none. ``options`` go to the layout; the
+    variant with fixed examples needs them as ``examples``.
+    """
+    if task.variant == "examples" and "examples" not in options:
+        raise ValueError(f"{task.task} needs its block of examples")
+
+    def built(split: str) -> Checked:
+        lines = benchmark.scan_benchmark(spark, root, task.repo, task.subset, split)
+        named = lines.withColumn("task", F.lit(task.task))
+        return prompts.build_prompts(named, task.formatter, **formatter_options(task), **options)
+
+    checked = built(task.evaluation_split)
+    chosen = checked.accepted
+    if max_samples is not None:
+        chosen = sampling.limit_per_task(chosen, max_samples)
+    if shots:
+        pool = built(task.few_shot_split or task.evaluation_split).accepted
+        chosen = sampling.attach_few_shots(
+            chosen, pool.withColumnRenamed("gold", "answer"), shots
+        )
+    return Checked(accepted=chosen, rejected=checked.rejected)
+
+
 def evaluate_generated(
-    responses: DataFrame, prompts: DataFrame, tasks: DataFrame, scorers=None
+    responses: DataFrame, asked: DataFrame, tasks: DataFrame, scorers=None
 ) -> DataFrame:
-    """Task scores of generated responses, with the ``all`` rows."""
+    """Task scores of the responses to what was asked, with the ``all`` rows."""
     scorers = scoring.SCORERS if scorers is None else scorers
-    samples = scoring.score_responses(responses, prompts, tasks, scorers)
+    samples = scoring.score_responses(responses, asked, tasks, scorers)
     special = {n: s.aggregate for n, s in scorers.items() if s.aggregate is not F.avg}
     return aggregate.with_all(aggregate.task_scores(samples, special))
 

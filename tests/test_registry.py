@@ -1,6 +1,8 @@
+import pytest
 from conftest import column
 
 from scoreloom.plans import evaluation, registry
+from scoreloom.sources import write_benchmark
 
 
 def test_counts(spark):
@@ -69,3 +71,27 @@ def test_evaluations_end_to_end(spark):
     }
     choices = spark.createDataFrame([("m", "t", 1, 0, -1.0, 0), ("m", "t", 1, 1, -2.0, 0)], "model string, task string, item_id long, choice_idx int, logprob double, gold_index int")
     assert {(r.task, r.value) for r in evaluation.evaluate_choices(choices).collect()} == {("t", 1.0), ("all", 1.0)}
+
+
+def test_prompts_of_a_task(spark, tmp_path):
+    by_name = {t.task: t for t in registry.tasks()}
+    task = by_name["secure:maet_em"]
+    rows = [(task.repo, task.subset, "test" if i < 5 else "val", i, f"q{i}", ["x", "y"], "AB?"[i % 3]) for i in range(8)]
+    rows.append((task.repo, "CWET", "test", 99, "other", ["x"], "A"))
+    schema = "repo string, subset string, split string, item_id long, question string, options array<string>, answer string"
+    write_benchmark(spark.createDataFrame(rows, schema), str(tmp_path))
+    checked = evaluation.task_prompts(spark, str(tmp_path), task, shots=1, max_samples=3)
+    got = {r.item_id: r.query for r in checked.accepted.collect()}
+    assert sorted(got) == [0, 1, 3] and column(checked.rejected, "key") == ["2"]
+    assert got[0].count("Answer:") == 2 and "Question: q6" in got[0] and got[0].endswith("Answer:")
+    assert "Answer: A\n\n" in got[0]
+    with pytest.raises(ValueError, match="needs its block"):
+        evaluation.task_prompts(spark, str(tmp_path), by_name["seceval:mcqa_5s"])
+
+
+def test_layout_switches():
+    options = {t.task: evaluation.formatter_options(t) for t in registry.tasks()}
+    assert options["cti_bench:cti-mcq"] == {"direct": True}
+    assert options["cti_bench:cti-rcm_em"] == {"direct": False}
+    assert options["house_mcq:cybersecurity_skills"] == {"include_context": False}
+    assert options["secure:maet"] == {}

@@ -805,6 +805,22 @@ add(
                 OVER (PARTITION BY conv_id ORDER BY turn) AS over FROM {src('chat')}) AS x WHERE over = 0
     """,
 )
+add(
+    "chat_history",
+    f"""
+    WITH c AS (SELECT *, min(CASE WHEN role = 'user' AND lower({strip('text')}) IN ('quit', 'exit') THEN turn END)
+                         OVER (PARTITION BY conv_id) AS quit FROM {src('chat')}),
+    said AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN {strip('text')} ELSE text END AS text FROM c
+             WHERE (quit IS NULL OR turn < quit) AND NOT (role = 'user' AND {strip('text')} = '')
+               AND NOT (role = 'assistant' AND text IS NULL)),
+    told AS (SELECT * FROM said UNION ALL
+             SELECT conv_id, -1, 'system', {lit(SYSTEM)} FROM c GROUP BY conv_id
+             HAVING count(*) FILTER (role = 'system') = 0),
+    kept AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM told)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, role, text FROM kept
+    WHERE role <> 'user' OR next_role IS NOT DISTINCT FROM 'assistant'
+    """,
+)
 add("reject_empty_replies", f"SELECT conv_id, turn, role, text FROM {src('chat')} WHERE role = 'assistant' AND text IS NOT NULL")
 add(
     "reply_failure_rates",

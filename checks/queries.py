@@ -757,6 +757,12 @@ def truncate_at_sentinel(spark, sf):
     return conversations.truncate_at_sentinel(chat(spark, sf))
 
 
+@query
+def chat_history(spark, sf):
+    df = conversations.chat_history(chat(spark, sf), SYSTEM)
+    return df.select("conv_id", "position", "role", "text")
+
+
 @query
 def reject_empty_replies(spark, sf):
     replies = chat(spark, sf).where(col("role") == "assistant")

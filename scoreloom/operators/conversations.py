@@ -42,14 +42,18 @@ def skip_blank_turns(turns: DataFrame) -> DataFrame:
     return stripped.where(~(_is_user() & (F.coalesce("text", F.lit("")) == "")))
 
 
-def truncate_at_sentinel(turns: DataFrame, sentinels=SENTINELS, size: int = BLOCK) -> DataFrame:
+def truncate_at_sentinel(
+    turns: DataFrame, sentinels=SENTINELS, size: int = BLOCK, long: bool | None = None
+) -> DataFrame:
     """End a conversation at a user turn that asks to quit; that turn is not kept.
 
     With a conversation longer than ``size`` turns the ends are found by an
     aggregate and kept as a table, which is broadcast or joined with salt.
     """
     quits = _is_user() & F.lower(strip(F.col("text"))).isin(*sentinels)
-    if not has_long_keys(turns, "turn", size):
+    if long is None:
+        long = has_long_keys(turns, "turn", size)
+    if not long:
         so_far = Window.partitionBy("conv_id").orderBy("turn")
         ended = F.max(F.coalesce(quits, F.lit(False))).over(so_far)
         return turns.withColumn("_ended", ended).where(~F.col("_ended")).drop("_ended")
@@ -107,12 +111,29 @@ def prompt_completion_pairs(turns: DataFrame, size: int = BLOCK) -> DataFrame:
     )
 
 
-def drop_unanswered_turns(turns: DataFrame, size: int = BLOCK) -> DataFrame:
+def drop_unanswered_turns(
+    turns: DataFrame, size: int = BLOCK, long: bool | None = None
+) -> DataFrame:
     """Take failed user turns back out of the history and number what is left."""
-    seen = with_next(turns, "conv_id", "turn", ["role"], size)
+    if long is None:
+        long = has_long_keys(turns, "turn", size)
+    seen = with_next(turns, "conv_id", "turn", ["role"], size, long)
     failed = _is_user() & ~F.coalesce(F.col("next_role") == "assistant", F.lit(False))
     kept = seen.where(~failed).drop("next_role")
-    return number_in_order(kept, "conv_id", "turn", "position", size)
+    return number_in_order(kept, "conv_id", "turn", "position", size, long)
+
+
+def chat_history(turns: DataFrame, system: str = DEFAULT_SYSTEM, size: int = BLOCK) -> DataFrame:
+    """What a chat session keeps of what was said, numbered from its system message.
+
+    Up to the turn that asks to quit; without blank input, lost replies and the
+    user turns that were left without a reply.
+    """
+    long = has_long_keys(turns, "turn", size)
+    whole = inject_system_turn(turns, system)
+    entered = skip_blank_turns(truncate_at_sentinel(whole, size=size, long=long))
+    lost = (F.col("role") == "assistant") & F.col("text").isNull()
+    return drop_unanswered_turns(entered.where(~lost), size, long)
 
 
 def reject_empty_replies(replies: DataFrame, text: str = "text") -> Checked:

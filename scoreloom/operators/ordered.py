@@ -5,7 +5,8 @@ rows are cut into blocks of consecutive order values, windows run within a block
 and the one row per block that links it to its neighbour is carried over by a
 join. Whether any key is that long is asked first: the question reads one column
 and is pushed down to the file statistics, and the usual answer, no, leaves a
-single window.
+single window. Jobs of several steps ask it once, of their input, and hand the
+answer on as ``long``.
 """
 
 from __future__ import annotations
@@ -30,9 +31,13 @@ def _in_blocks(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
     return df.withColumn("_block", block_of(order, size)).repartition(key, "_block")
 
 
-def with_next(df: DataFrame, key: str, order: str, columns, size: int = BLOCK) -> DataFrame:
+def with_next(
+    df: DataFrame, key: str, order: str, columns, size: int = BLOCK, long: bool | None = None
+) -> DataFrame:
     """Add ``next_<column>``: the value in the key's following row, by ``order``."""
-    if not has_long_keys(df, order, size):
+    if long is None:
+        long = has_long_keys(df, order, size)
+    if not long:
         following = Window.partitionBy(key).orderBy(order)
         return df.withColumns({f"next_{c}": F.lead(c).over(following) for c in columns})
 
@@ -58,10 +63,12 @@ def with_next(df: DataFrame, key: str, order: str, columns, size: int = BLOCK) -
 
 
 def number_in_order(
-    df: DataFrame, key: str, order: str, out: str, size: int = BLOCK
+    df: DataFrame, key: str, order: str, out: str, size: int = BLOCK, long: bool | None = None
 ) -> DataFrame:
     """Add the zero-based position of a row among its key's rows, by ``order``."""
-    if not has_long_keys(df, order, size):
+    if long is None:
+        long = has_long_keys(df, order, size)
+    if not long:
         position = F.row_number().over(Window.partitionBy(key).orderBy(order))
         return df.withColumn(out, position.cast("long") - 1)
 

@@ -160,7 +160,7 @@ def _rows_per_score(df: DataFrame, asked: str, scorers: dict[str, Scorer], value
     """One row per scorer a row asks for; ``value`` gives its score from its name.
 
     The scores are columns first, where generated code computes them, and rows
-    only then.
+    only then. A scorer that gives null leaves the sample out.
     """
     columns = {name: f"_score_{name}" for name in scorers}
     wide = df.select(

@@ -113,3 +113,20 @@ def test_usual_conversations_need_one_shuffle(spark):
     df = frame(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a")]).repartition(3)
     plan = C.prompt_completion_pairs(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_chat_history(spark):
+    df = frame(
+        spark,
+        [(1, 0, "user", " hi "), (1, 1, "assistant", "a"), (1, 2, "user", "\n"), (1, 3, "user", "lost"), (1, 4, "assistant", None)]
+        + [(1, 5, "user", "more"), (1, 6, "assistant", "b"), (1, 7, "user", "exit"), (1, 8, "user", "late")],
+    )
+    want = [(0, "system", "s"), (1, "user", "hi"), (2, "assistant", "a"), (3, "user", "more"), (4, "assistant", "b")]
+    for size in (3, ordered.BLOCK):
+        assert rows_of(C.chat_history(df, "s", size), "position", "role", "text") == want
+
+
+def test_steps_share_one_shuffle(spark):
+    df = frame(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a")]).repartition(3)
+    plan = C.drop_unanswered_turns(C.truncate_at_sentinel(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

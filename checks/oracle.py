@@ -286,22 +286,26 @@ add(
 # Prompts
 
 
-def accepted(select: str, source: str, index: str, gold: str, where: str = "TRUE") -> str:
-    return f"""SELECT item_id, query, gold_index, {gold} AS gold FROM (
-      SELECT *, {index} AS gold_index, {select} AS query FROM {source}) AS x
+def accepted(
+    select: str, source: str, index: str, gold: str, where: str = "TRUE", told: str | None = None
+) -> str:
+    told = "CAST(NULL AS VARCHAR)" if told is None else told
+    return f"""SELECT item_id, query, instruction, gold_index, {gold} AS gold FROM (
+      SELECT *, {index} AS gold_index, {select} AS query, {told} AS instruction FROM {source}) AS x
       WHERE gold_index IS NOT NULL AND {where}"""
 
 
 LETTER = "' ' || substr('ABCD', gold_index + 1, 1)"
 INTRO = wording.SUBJECT_INTRO
+TOPIC = f"{lit(INTRO[0])} || subject || ' ' || replace(task, '_', ' ') || {lit(INTRO[1])}"
 add(
     "prompt_p1_subject_mcq",
     accepted(
-        f"{lit(INTRO[0])} || subject || ' ' || replace(task, '_', ' ') || {lit(INTRO[1])} || {NL} || {NL} || "
-        f"'Question: ' || question || {NL} || {lettered(*FOUR)} || {NL} || 'Answer:'",
+        f"{TOPIC} || {NL} || {NL} || 'Question: ' || question || {NL} || {lettered(*FOUR)} || {NL} || 'Answer:'",
         src("items"),
         MIXED,
         LETTER,
+        told=TOPIC,
     ),
 )
 
@@ -315,8 +319,8 @@ STORED = f"{lit(STORED_INTRO)} || question || {NL} || "
 add(
     "prompt_p2_cti_mcq",
     both(
-        accepted(STORED + lit(wording.THREAT_DIRECT), src("items"), LOOSE_INDEX, LETTER),
-        accepted(STORED + lit(wording.THREAT_LAST_LINE), src("items"), LOOSE_INDEX, LETTER),
+        accepted(STORED + lit(wording.THREAT_DIRECT), src("items"), LOOSE_INDEX, LETTER, told=lit(wording.THREAT_ASKED)),
+        accepted(STORED + lit(wording.THREAT_LAST_LINE), src("items"), LOOSE_INDEX, LETTER, told=lit(wording.THREAT_ASKED)),
     ),
 )
 
@@ -329,20 +333,21 @@ ZERO = "CAST(0 AS INTEGER)"
 add(
     "prompt_p3_weakness",
     both(
-        accepted(described(wording.WEAKNESS_ASKED, wording.WEAKNESS_CUE), src("weakness"), ZERO, "gold"),
+        accepted(described(wording.WEAKNESS_ASKED, wording.WEAKNESS_CUE), src("weakness"), ZERO, "gold", told=lit(wording.WEAKNESS_ASKED)),
         accepted(
             f"{lit(wording.WEAKNESS_ASKED)} || ' Explain. CVE Description: ' || description",
             src("weakness"),
             ZERO,
             "gold",
+            told=lit(wording.WEAKNESS_ASKED),
         ),
     ),
 )
 add(
     "prompt_p4_severity",
     both(
-        accepted(described(wording.SEVERITY_ASKED, wording.SEVERITY_CUE), src("severity"), ZERO, "gold"),
-        accepted(f"{lit(STORED_INTRO)} || description", src("severity"), ZERO, "gold"),
+        accepted(described(wording.SEVERITY_ASKED, wording.SEVERITY_CUE), src("severity"), ZERO, "gold", told=lit(wording.SEVERITY_ASKED)),
+        accepted(f"{lit(STORED_INTRO)} || description", src("severity"), ZERO, "gold", told=lit(wording.SEVERITY_ASKED)),
     ),
 )
 add(
@@ -353,8 +358,9 @@ add(
             src("techniques"),
             ZERO,
             "gold",
+            told=lit(wording.TECHNIQUES_ASKED),
         ),
-        accepted(f"{lit(STORED_INTRO)} || description", src("techniques"), ZERO, "gold"),
+        accepted(f"{lit(STORED_INTRO)} || description", src("techniques"), ZERO, "gold", told=lit(wording.TECHNIQUES_ASKED)),
     ),
 )
 add(
@@ -370,7 +376,7 @@ add(
 STRICT_INDEX = index_of("gold")
 add(
     "prompt_p7_mcq_list",
-    accepted(mcq(wording.LETTERS_ASKED, *FOUR), src("items"), STRICT_INDEX, LETTER),
+    accepted(mcq(wording.LETTERS_ASKED, *FOUR), src("items"), STRICT_INDEX, LETTER, told=lit(wording.LETTERS_ASKED)),
 )
 add(
     "prompt_p8_boolean",
@@ -383,7 +389,7 @@ add(
 )
 add(
     "prompt_p9_mcq_list_alt",
-    accepted(mcq(wording.LETTER_ASKED, *FOUR[:3]), src("items"), STRICT_INDEX, LETTER),
+    accepted(mcq(wording.LETTER_ASKED, *FOUR[:3]), src("items"), STRICT_INDEX, LETTER, told=lit(wording.LETTER_ASKED)),
 )
 
 
@@ -398,8 +404,8 @@ SET_GOLD = f"' ' || {loose('set_gold')}"
 add(
     "prompt_p10_multi_answer",
     both(
-        accepted(answer_set(f"{lit(EXAMPLES)} || {NL}"), src("items"), SET_INDEX, SET_GOLD),
-        accepted(answer_set("''"), src("items"), SET_INDEX, SET_GOLD),
+        accepted(answer_set(f"{lit(EXAMPLES)} || {NL}"), src("items"), SET_INDEX, SET_GOLD, told=lit(wording.ANSWER_SET_ASKED)),
+        accepted(answer_set("''"), src("items"), SET_INDEX, SET_GOLD, told=lit(wording.ANSWER_SET_ASKED)),
         "examples",
     ),
 )
@@ -424,8 +430,9 @@ add(
             STRICT_INDEX,
             LETTER,
             WHOLE,
+            lit(wording.LETTERS_ASKED),
         ),
-        accepted(in_context("''"), src("items"), STRICT_INDEX, LETTER, WHOLE),
+        accepted(in_context("''"), src("items"), STRICT_INDEX, LETTER, WHOLE, lit(wording.LETTERS_ASKED)),
         "context",
     ),
 )

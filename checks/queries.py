@@ -58,7 +58,7 @@ def keyed(order: str) -> F.Column:
 
 
 def prompt_rows(checked) -> DataFrame:
-    return checked.accepted.select("item_id", "query", "gold_index", "gold")
+    return checked.accepted.select("item_id", "query", "instruction", "gold_index", "gold")
 
 
 def samples(df: DataFrame) -> DataFrame:

@@ -9,6 +9,11 @@ SUBJECT_INTRO = (
     ". Answer with the option letter from the given choices directly.",
 )
 
+THREAT_ASKED = (
+    "You are given a multiple-choice question (MCQ) from a Cyber Threat Intelligence (CTI) "
+    "knowledge benchmark dataset. Your task is to choose the best option among the four "
+    "provided. Return your answer as a single uppercase letter: A, B, C, or D."
+)
 THREAT_LAST_LINE = (
     "The last line of your answer should contain only the single letter corresponding to "
     "the best option, with no additional text."
@@ -40,6 +45,12 @@ SEVERITY_ASKED = (
 )
 SEVERITY_CUE = "The CVSS v3.1 vector string is"
 
+TECHNIQUES_ASKED = (
+    "Extract all MITRE Enterprise attack patterns from the following text and map them to their "
+    "corresponding MITRE technique IDs. Provide reasoning for each identification. Ensure the "
+    "final line contains only the IDs for the main techniques, separated by commas, excluding "
+    "any subtechnique IDs. MITRE Enterprise IDs are given below as reference."
+)
 TECHNIQUES_CUE = "**Extracted Mitre IDs**:"
 
 INLINE_CUE = "Choose the correct answer (A, B, C, or D) only."

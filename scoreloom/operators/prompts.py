@@ -7,7 +7,7 @@ layout, how it finds the gold index and which choices are scored; the one job
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -42,9 +42,12 @@ def _question(question: Column) -> Column:
     return F.concat(F.lit("Question: "), question)
 
 
+def subject_intro(subject, intro=wording.SUBJECT_INTRO) -> Column:
+    return F.concat(F.lit(intro[0]), F.replace(subject, F.lit("_"), F.lit(" ")), F.lit(intro[1]))
+
+
 def subject_mcq(subject, question, choices, intro=wording.SUBJECT_INTRO) -> Column:
-    topic = F.replace(subject, F.lit("_"), F.lit(" "))
-    head = F.concat(F.lit(intro[0]), topic, F.lit(intro[1]), F.lit("\n\n"), _question(question))
+    head = F.concat(subject_intro(subject, intro), F.lit("\n\n"), _question(question))
     # Without options the question is followed by the answer line at once.
     shown = F.when(F.size(choices) > 0, lettered(choices))
     return F.concat_ws("\n", head, shown, F.lit(ANSWER))
@@ -140,14 +143,19 @@ def context_mcq(
 
 @dataclass(frozen=True)
 class Formatter:
-    """How the rows of one source schema become prompts."""
+    """How the rows of one source schema become prompts.
+
+    ``specific`` names the source column of each extra kept with a prompt; one that
+    a table lacks is null.
+    """
 
     required: Sequence[str]
     query: Callable[..., Column]
     gold: str
     gold_index: Callable[[Column], Column] | None = labels.gold_index_strict
     labels: Sequence[str] = labels.FOUR_CHOICES
-    specific: Sequence[str] = field(default_factory=tuple)
+    instruction: str | Callable[[], Column] | None = None
+    specific: Mapping[str, str] = field(default_factory=dict)
     optional: Sequence[str] = field(default_factory=tuple)
     need_all_choices: str | None = None
 
@@ -160,34 +168,39 @@ FORMATTERS: dict[str, Formatter] = {
         lambda **kw: subject_mcq(c("subject"), c("question"), c("choices"), **kw),
         "answer",
         labels.gold_index_mixed,
+        instruction=lambda: subject_intro(c("subject")),
     ),
     "threat_mcq": Formatter(
         ["Prompt", "GT"],
         lambda direct=True, **kw: stored_mcq(c("Prompt"), direct, **kw),
         "GT",
         labels.gold_index_normalized,
-        specific=["URL", "Question"],
+        instruction=wording.THREAT_ASKED,
+        specific={"url": "URL", "Question": "Question"},
     ),
     "weakness": Formatter(
         ["Description", "Prompt", "GT"],
         lambda direct=True, **kw: weakness(c("Prompt"), c("Description"), direct, **kw),
         "GT",
         None,
-        specific=["URL", "Description", "GT"],
+        instruction=wording.WEAKNESS_ASKED,
+        specific={"url": "URL", "Description": "Description", "GT": "GT"},
     ),
     "severity": Formatter(
         ["Description", "Prompt", "GT"],
         lambda direct=True, **kw: severity(c("Prompt"), c("Description"), direct, **kw),
         "GT",
         None,
-        specific=["URL", "Description", "GT"],
+        instruction=wording.SEVERITY_ASKED,
+        specific={"url": "URL", "Description": "Description", "GT": "GT"},
     ),
     "techniques": Formatter(
         ["Prompt", "GT"],
         lambda direct=True, **kw: techniques(c("Prompt"), direct, **kw),
         "GT",
         None,
-        specific=["URL", "Platform", "Description", "GT"],
+        instruction=wording.TECHNIQUES_ASKED,
+        specific={"url": "URL", "Platform": "Platform", "Description": "Description", "GT": "GT"},
     ),
     "inline_options": Formatter(
         ["question", "answers", "solution"],
@@ -199,7 +212,8 @@ FORMATTERS: dict[str, Formatter] = {
         ["question", "options", "answer"],
         lambda asked=wording.LETTERS_ASKED: listed_mcq(c("question"), c("options"), asked),
         "answer",
-        specific=["id"],
+        instruction=wording.LETTERS_ASKED,
+        specific={"id": "id"},
     ),
     "boolean": Formatter(
         ["prompt", "question", "answer"],
@@ -207,13 +221,14 @@ FORMATTERS: dict[str, Formatter] = {
         "answer",
         lambda label: labels.gold_index_strict(label, labels.TRUE_FALSE_UNKNOWN),
         labels.TRUE_FALSE_UNKNOWN,
-        specific=["question", "url"],
+        specific={"question": "question", "url": "url"},
     ),
     "listed_mcq_alt": Formatter(
         ["question", "answers", "label"],
         lambda asked=wording.LETTER_ASKED: listed_mcq(c("question"), c("answers"), asked),
         "label",
-        specific=["id"],
+        instruction=wording.LETTER_ASKED,
+        specific={"id": "id"},
     ),
     "multi_answer": Formatter(
         ["question", "answer", "choices"],
@@ -221,7 +236,8 @@ FORMATTERS: dict[str, Formatter] = {
         "answer",
         lambda label: labels.gold_index_normalized(label, labels.ANSWER_SETS),
         labels.ANSWER_SETS,
-        specific=["id", "topics"],
+        instruction=wording.ANSWER_SET_ASKED,
+        specific={"id": "id", "topic": "topics"},
     ),
     "context_mcq": Formatter(
         ["question", "answers", "solution"],
@@ -229,7 +245,8 @@ FORMATTERS: dict[str, Formatter] = {
             c("question"), c("answers"), c("content") if include_context else None, **kw
         ),
         "solution",
-        specific=["id"],
+        instruction=wording.LETTERS_ASKED,
+        specific={"id": "id"},
         optional=["content"],
         need_all_choices="answers",
     ),
@@ -247,7 +264,8 @@ def register_formatter(name: str, formatter: Formatter) -> bool:
 def build_prompts(rows: DataFrame, formatter: str, **options) -> Checked:
     """Rows (task, item_id and the formatter's columns) to prompt records.
 
-    Accepted rows have task, item_id, query, choices, gold_index, gold and specific.
+    Accepted rows have task, item_id, query, instruction, choices, gold_index, gold and
+    specific.
     """
     f = FORMATTERS[formatter]
     require_present(rows, f.required)
@@ -266,9 +284,12 @@ def build_prompts(rows: DataFrame, formatter: str, **options) -> Checked:
     fine = reduce(lambda a, b: a & b, conditions)
 
     choices = labels.choices(f.labels) if f.gold_index else F.array(c(f.gold))
-    kept = [name for name in f.specific if name in rows.columns]
-    pairs = [x for name in kept for x in (F.lit(name), c(name).cast("string"))]
-    specific = F.create_map(*pairs) if pairs else F.lit(None)
+    extras = []
+    for key, source in f.specific.items():
+        value = c(source) if source in rows.columns else F.lit(None)
+        extras += [F.lit(key), value.cast("string")]
+    specific = F.create_map(*extras) if extras else F.lit(None)
+    instruction = f.instruction() if callable(f.instruction) else F.lit(f.instruction)
     prompts = (
         rows.where(fine)
         .withColumn("gold_index", gold_index)
@@ -276,6 +297,7 @@ def build_prompts(rows: DataFrame, formatter: str, **options) -> Checked:
             "task",
             "item_id",
             f.query(**options).alias("query"),
+            instruction.cast("string").alias("instruction"),
             choices.alias("choices"),
             "gold_index",
             F.get(choices, c("gold_index")).alias("gold"),

@@ -47,6 +47,8 @@ def test_subject_mcq_takes_letters_and_indices(spark):
         "The following are multiple choice questions (with answers) about computer security. "
         "Answer with the option letter from the given choices directly.\n\nQuestion: Q\nA. a\nB. b\nAnswer:"
     )
+    assert good[0].instruction.endswith("about computer security. Answer with the option letter from the given choices directly.")
+    assert good[0].specific is None
     assert good[1].gold_index == 3 and good[1].query.endswith("Question: Q\nAnswer:")
     assert bad == {2: ("invalid label", [])}
 
@@ -57,7 +59,8 @@ def test_threat_mcq_swaps_the_last_line(spark):
     direct, _ = built(spark, rows, schema, "threat_mcq")
     full, _ = built(spark, rows, schema, "threat_mcq", direct=False)
     assert direct[0].query == f"P. {wording.THREAT_DIRECT} Z" and direct[0].gold_index == 1
-    assert direct[0].specific == {"URL": "u"}
+    assert direct[0].specific == {"url": "u", "Question": None}
+    assert direct[0].instruction == wording.THREAT_ASKED
     assert full[0].query == rows[0][0]
 
 
@@ -88,7 +91,8 @@ def test_boolean(spark):
     rows = [("P", "Q", "X"), ("P", "Q", "x")]
     good, bad = built(spark, rows, "prompt string, question string, answer string", "boolean")
     assert (good[0].query, good[0].gold_index, good[0].choices) == ("P\nAnswer:", 2, [" T", " F", " X"])
-    assert good[0].specific == {"question": "Q"} and list(bad) == [1]
+    assert good[0].specific == {"question": "Q", "url": None} and list(bad) == [1]
+    assert good[0].instruction is None
 
 
 def test_multi_answer(spark):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.labels import FOUR_CHOICES
 from ..functions.severity import with_base_score
 from .sampling import join_measured
 
@@ -136,15 +137,38 @@ def best_choice(logprobs: Column) -> Column:
     return (F.array_position(logprobs, F.array_max(logprobs)) - 1).cast("int")
 
 
-def loglikelihood_choice(choices: DataFrame) -> DataFrame:
+def loglikelihood_choice(
+    choices: DataFrame, n_choices: int | None = len(FOUR_CHOICES)
+) -> DataFrame:
     """Score choices stored one per row: (model, task, item_id, choice_idx,
-    logprob, gold_index). Stored as one array per item, ``best_choice`` needs no
-    shuffle and is to be preferred."""
-    order = F.struct(F.col("logprob"), (-F.col("choice_idx")).alias("first"))
-    picked = choices.groupBy("model", "task", "item_id").agg(
-        F.max_by("choice_idx", order).alias("picked"),
-        F.first("gold_index").alias("gold_index"),
-    )
+    logprob, gold_index).
+
+    Stored as one array per item, ``best_choice`` needs no shuffle and is to be
+    preferred. Up to ``n_choices`` choices are kept in a hash aggregate, one more is
+    an error; None takes any number and sorts.
+    """
+    keys = ["model", "task", "item_id"]
+    if n_choices is None:
+        order = F.struct(F.col("logprob"), (-F.col("choice_idx")).alias("first"))
+        picked = choices.groupBy(*keys).agg(
+            F.max_by("choice_idx", order).alias("picked"),
+            F.first("gold_index").alias("gold_index"),
+        )
+    else:
+        at = [
+            F.max(F.when(F.col("choice_idx") == i, F.col("logprob"))).alias(f"_{i}")
+            for i in range(n_choices)
+        ]
+        grouped = choices.groupBy(*keys).agg(
+            *at, F.max("choice_idx").alias("_last"), F.first("gold_index").alias("gold_index")
+        )
+        best = best_choice(F.array(*[F.col(f"_{i}") for i in range(n_choices)]))
+        too_many = F.raise_error(F.concat(F.lit("more choices than expected in "), "task"))
+        picked = grouped.select(
+            *keys,
+            F.when(F.col("_last") < n_choices, best).otherwise(too_many.cast("int")).alias("picked"),
+            "gold_index",
+        )
     return picked.withColumn("value", _flag(F.col("picked") == F.col("gold_index")))
 
 

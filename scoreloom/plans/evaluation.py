@@ -79,9 +79,9 @@ def evaluate_generated(
     return aggregate.with_all(aggregate.task_scores(samples, special))
 
 
-def evaluate_choices(choices: DataFrame) -> DataFrame:
+def evaluate_choices(choices: DataFrame, n_choices: int | None = 4) -> DataFrame:
     """Task scores from choice log-probabilities, with the ``all`` rows."""
-    picked = scoring.loglikelihood_choice(choices)
+    picked = scoring.loglikelihood_choice(choices, n_choices)
     samples = picked.withColumns({"metric": F.lit("acc"), "scorer": F.lit("loglikelihood")})
     return aggregate.with_all(aggregate.task_scores(samples))
 

@@ -123,8 +123,11 @@ def test_loglikelihood_ties(spark):
     rows = [("m", "t", 1, i, x, g) for i, (x, g) in enumerate([(-2.0, 1), (-1.0, 1), (-1.0, 1)])]
     rows += [("m", "t", 2, i, -1.0, 3) for i in range(4)]
     df = spark.createDataFrame(rows, "model string, task string, item_id long, choice_idx int, logprob double, gold_index int")
-    got = {r.item_id: (r.picked, r.value) for r in scoring.loglikelihood_choice(df).collect()}
-    assert got == {1: (1, 1.0), 2: (0, 0.0)}
+    for n in (4, 7, None):
+        got = {r.item_id: (r.picked, r.value) for r in scoring.loglikelihood_choice(df, n).collect()}
+        assert got == {1: (1, 1.0), 2: (0, 0.0)}
+    with pytest.raises(PySparkException, match="more choices than expected in t"):
+        scoring.loglikelihood_choice(df, 3).collect()
     arrays = df.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("choice_idx", "logprob"))).alias("c"))
     best = arrays.select("item_id", scoring.best_choice(F.transform("c", lambda x: x["logprob"])).alias("b"))
     assert {r.item_id: r.b for r in best.collect()} == {1: 1, 2: 0}

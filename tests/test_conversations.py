@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
 
 from scoreloom.operators import conversations as C
 from scoreloom.operators import ordered

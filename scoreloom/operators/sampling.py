@@ -7,32 +7,36 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-SALTS = 32
+SALTS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def _ranked(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
 def limit_per_task(
     df: DataFrame, n: int, task: str = "task", order: str = "item_id", salts: int = SALTS
 ) -> DataFrame:
     """The first ``n`` rows of each task by ``order``.
 
-    Ranked twice: within salted parts of a task, then over the survivors. A task
-    holding most of the rows is therefore spread over ``salts`` groups, and the
-    second round sees at most ``salts * n`` rows of it. For both rounds Spark
-    prunes to ``n`` rows per group before the shuffle.
+    The last id to keep is found per task from two columns alone, ranked first
+    within salted parts of a task and then over the survivors, so a task holding
+    most of the rows is spread over ``salts`` groups. Whole rows are then filtered
+    where they are read: the highest such id reaches the scan, and rows are not
+    shuffled until only the kept ones are left.
     """
-    salt = F.pmod(F.xxhash64(order), F.lit(salts))
-    within = Window.partitionBy(task, "_salt").orderBy(order)
-    overall = Window.partitionBy(task).orderBy(order)
-    return (
-        df.withColumn("_salt", salt)
-        .withColumn("_rank", F.row_number().over(within))
-        .where(F.col("_rank") <= n)
-        .drop("_rank", "_salt")
-        .withColumn("_rank", F.row_number().over(overall))
-        .where(F.col("_rank") <= n)
-        .drop("_rank")
-    )
+    salted = df.select(task, order).withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
+    survivors = _ranked(_ranked(salted, [task, "_salt"], order, n), [task], order, n)
+    lasts = written(survivors.groupBy(task).agg(F.max(order).alias("_last")), "last-ids")
+    highest = lasts.agg(F.max("_last")).first()[0]
+    if highest is None:
+        return df.where(F.lit(False))
+    near = join_measured(df.where(F.col(order) <= F.lit(highest)), lasts, task, order)
+    kept = near.where(F.col(order) <= F.col("_last")).select(*df.columns)
+    # Ids that repeat are all that can still make more than n.
+    return _ranked(kept, [task], order, n)
 
 
 def join_measured(

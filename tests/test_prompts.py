@@ -156,10 +156,23 @@ def test_limit_per_task_on_a_hot_task(spark):
             assert r.ids == every[:n]
 
 
-def test_limit_prunes_before_the_shuffle(spark):
-    df = spark.range(1000).select(F.lit("t").alias("task"), F.col("id").alias("item_id"))
-    plan = sampling.limit_per_task(df, 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 2
+def test_limit_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    rows = spark.range(1000).select(
+        F.concat(F.lit("t"), (F.col("id") % 2).cast("string")).alias("task"), F.col("id").alias("item_id"), F.uuid().alias("text")
+    )
+    rows.write.parquet(path)
+    first = sampling.limit_per_task(spark.read.parquet(path), 5)
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(item_id,9)" in plan
+    assert sorted(r.item_id for r in first.collect()) == list(range(10))
+
+
+def test_limit_with_repeated_ids_and_no_rows(spark):
+    df = spark.createDataFrame([("t", 1)] * 5 + [("t", 0), ("u", 7)], "task string, item_id long")
+    got = sorted(map(tuple, sampling.limit_per_task(df, 3).collect()))
+    assert got == [("t", 0), ("t", 1), ("t", 1), ("u", 7)]
+    assert sampling.limit_per_task(df.where("item_id > 99"), 3).count() == 0
 
 
 def few_shot_rows(spark):

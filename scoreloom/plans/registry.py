@@ -32,6 +32,12 @@ HOUSE_SUBSETS = (
     "cybersecurity_tools_cli",
     "cybersecurity_tools_kali",
 )
+SECURE_LAYOUTS = {
+    "MAET": "listed_mcq",
+    "CWET": "listed_mcq",
+    "KCV": "boolean",
+    "VOOD": "boolean",
+}
 
 
 @dataclass(frozen=True)
@@ -132,6 +138,23 @@ _WITH_VAL = {
 }
 
 
+def secure_task(name: str, subset: str, logprob: bool, owner: str = OWNER) -> Task:
+    """A task over one subset of the suite; a subset not known is an error."""
+    layout = SECURE_LAYOUTS.get(subset)
+    if layout is None:
+        raise ValueError(f"unknown subset {subset!r} of SECURE")
+    return Task(
+        f"secure:{name}",
+        "SECURE",
+        f"{owner}/SECURE",
+        subset,
+        layout,
+        "",
+        **_either(logprob, FULL if layout == "listed_mcq" else MATCHES),
+        **_WITH_VAL,
+    )
+
+
 def _secure(owner):
     for name, subset, logprob in (
         ("maet", "MAET", True),
@@ -140,16 +163,7 @@ def _secure(owner):
         ("cwet_em", "CWET", False),
         ("kcv_em", "KCV", False),
     ):
-        yield Task(
-            f"secure:{name}",
-            "SECURE",
-            f"{owner}/SECURE",
-            subset,
-            "boolean" if subset == "KCV" else "listed_mcq",
-            "",
-            **_either(logprob, MATCHES if subset == "KCV" else FULL),
-            **_WITH_VAL,
-        )
+        yield secure_task(name, subset, logprob, owner)
 
 
 def _secbench(owner):

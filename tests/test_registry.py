@@ -95,3 +95,10 @@ def test_layout_switches():
     assert options["cti_bench:cti-rcm_em"] == {"direct": False}
     assert options["house_mcq:cybersecurity_skills"] == {"include_context": False}
     assert options["secure:maet"] == {}
+
+
+def test_subsets_decide_the_layout():
+    assert registry.secure_task("vood_em", "VOOD", False).formatter == "boolean"
+    assert registry.secure_task("vood_em", "VOOD", False).metrics == registry.MATCHES
+    with pytest.raises(ValueError, match="unknown subset"):
+        registry.secure_task("x", "X", True)

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, rows, toxicity, url_filter
+from . import (
+    decontaminate,
+    language,
+    mixing,
+    pii,
+    quality,
+    rows,
+    secrets,
+    toxicity,
+    url_filter,
+)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +26,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find_personal_data(docs))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rows.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = rows.table(spark, sf_dir, "labels")
@@ -26,6 +41,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, rows.table(spark, sf_dir, "labels"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.find_secrets(docs))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = rows.table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, keep=["page_id"])
@@ -41,9 +66,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op4_toxicity, op8_url_filter, op9_language_id)
+    for f in (
+        op1_decontamination,
+        op2_pii,
+        op4_toxicity,
+        op6_quality,
+        op7_secrets,
+        op8_url_filter,
+        op9_language_id,
+        op10_mixing,
+    )
 }
 
 ORACLE: dict[str, str] = {}

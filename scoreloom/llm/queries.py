@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from . import (
     decontaminate,
     language,
+    line_chunks,
     mixing,
+    near_dedup,
     pii,
     quality,
     rows,
@@ -31,6 +33,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(docs))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_chunks.remove_repeated(docs).withColumn("n_removed", F.col("n_removed").cast("bigint"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rows.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = rows.table(spark, sf_dir, "labels")
@@ -41,6 +48,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rows.table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, rows.table(spark, sf_dir, "labels"))
@@ -76,7 +88,9 @@ QUERIES = {
     for f in (
         op1_decontamination,
         op2_pii,
+        op3_line_dedup,
         op4_toxicity,
+        op5_near_dedup,
         op6_quality,
         op7_secrets,
         op8_url_filter,

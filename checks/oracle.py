@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from scoreloom.functions import labels, severity, wording
-from scoreloom.plans import registry
+from scoreloom.functions import severity, wording
 
+from . import registry_rows as fixed
 from .queries import EXAMPLES, STORED_INTRO, SYSTEM
 from .views import duck_view
 
@@ -60,25 +60,8 @@ def add(key: str, sql: str) -> None:
 
 # Registry rows as a SQL table
 
-TASKS = registry.tasks()
 REG = values(
-    [
-        (
-            i,
-            t.task,
-            t.category,
-            t.repo,
-            t.subset,
-            ",".join(t.metrics),
-            ",".join(t.available_splits),
-            t.few_shot_split,
-            t.few_shot_rule,
-            t.generation_size,
-            len(t.stops or []),
-            t.evaluation_split,
-        )
-        for i, t in enumerate(TASKS)
-    ],
+    fixed.ROWS,
     "reg(position, task, category, repo, subset, metrics, available_splits, few_shot_split, "
     "few_shot_rule, generation_size, n_stops, evaluation_split)",
 )
@@ -133,12 +116,8 @@ add(
     LEFT JOIN (SELECT category, count(*) AS n_items FROM {USED} GROUP BY 1) AS u USING (category)
     """,
 )
-RELATED = "cybermetrics:500 mmlu:cs_security secbench:mcq-en seceval:mcqa secure:maet secure:cwet secure:kcv_em cti_bench:cti-mcq".split()
 SUITES = values(
-    [("house_base", f"{registry.HOUSE}:{s}", 0) for s in registry.HOUSE_SUBSETS]
-    + [("house_instruct", f"{registry.HOUSE}_em:{s}", 0) for s in registry.HOUSE_SUBSETS]
-    + [("related_base", t, 5) for t in [*RELATED, "cti_bench:cti-rcm_em_direct"]]
-    + [("related_instruct", t, 0) for t in [*RELATED, "cti_bench:cti-rcm_em"]],
+    [(suite, task, shots) for suite, (tasks, shots) in fixed.SUITES.items() for task in tasks],
     "s(suite, task, shots)",
 )
 add(
@@ -188,15 +167,16 @@ add("parse_results_tolerant", f"SELECT json_path, json_valid(payload) AS decoded
 add(
     "require_columns",
     f"""
-    SELECT item_id, 'missing required value' AS reason,
-           concat_ws(',', CASE WHEN loose_gold IS NULL THEN 'loose_gold' END,
-                     CASE WHEN set_gold IS NULL THEN 'set_gold' END) AS missing
-    FROM {src('items')} WHERE loose_gold IS NULL OR set_gold IS NULL
+    SELECT item_id, CASE WHEN loose_gold IS NULL OR set_gold IS NULL THEN 'missing required value' END AS reason,
+           CASE WHEN loose_gold IS NULL OR set_gold IS NULL THEN
+             concat_ws(',', CASE WHEN loose_gold IS NULL THEN 'loose_gold' END,
+                       CASE WHEN set_gold IS NULL THEN 'set_gold' END) END AS missing
+    FROM {src('items')}
     """,
 )
 
 
-def index_of(x: str, domain=labels.FOUR_CHOICES) -> str:
+def index_of(x: str, domain=fixed.FOUR) -> str:
     cases = " ".join(f"WHEN '{d}' THEN {i}" for i, d in enumerate(domain))
     return f"CAST(CASE {x} {cases} END AS INTEGER)"
 
@@ -212,10 +192,11 @@ MIXED = (
 add("gold_index_strict", f"SELECT item_id, {index_of('gold')} AS gold_index FROM {src('items')}")
 add("gold_index_normalized", f"SELECT item_id, {index_of(loose('loose_gold'))} AS gold_index FROM {src('items')}")
 add("gold_index_mixed", f"SELECT item_id, {MIXED} AS gold_index FROM {src('items')}")
-SET_INDEX = index_of(loose("set_gold"), labels.ANSWER_SETS)
+SET_INDEX = index_of(loose("set_gold"), fixed.SETS)
 add(
     "gold_set_or_skip",
-    f"SELECT * FROM (SELECT item_id, {SET_INDEX} AS gold_index FROM {src('items')}) AS x WHERE gold_index IS NOT NULL",
+    f"""SELECT item_id, gold_index, CASE WHEN gold_index IS NULL THEN 'unknown answer set' END AS reason
+    FROM (SELECT item_id, {SET_INDEX} AS gold_index FROM {src('items')}) AS x""",
 )
 # A text is missing where n_chars is a multiple of 5, letter B where it is one of 3.
 add(
@@ -226,12 +207,15 @@ add(
     FROM {src('items')}
     """,
 )
+HOLES = f"""(SELECT item_id AS "row", CASE WHEN item_id >= 20 THEN item_id END AS item_id,
+      CASE WHEN task <> 'src19' THEN task END AS task, question FROM {src('items')}) AS h"""
 add(
     "limit_per_task",
     f"""
-    SELECT item_id, task, question FROM (
-      SELECT *, row_number() OVER (PARTITION BY task ORDER BY item_id) AS rn FROM {src('items')}) AS x
+    SELECT 'first' AS part, "row", item_id, task, question FROM (
+      SELECT *, row_number() OVER (PARTITION BY task ORDER BY item_id NULLS LAST) AS rn FROM {HOLES}) AS x
     WHERE rn <= 7
+    UNION ALL SELECT 'every', "row", item_id, task, question FROM {HOLES}
     """,
 )
 
@@ -286,13 +270,42 @@ add(
 # Prompts
 
 
+def _cells(choices: list[str] | str, extras: dict[str, str]) -> tuple[str, str]:
+    shown = choices if isinstance(choices, str) else lit(",".join(" " + x for x in choices))
+    pairs = " || ';' || ".join(f"'{k}=' || coalesce({v}, '-')" for k, v in extras.items())
+    return shown, pairs or "CAST(NULL AS VARCHAR)"
+
+
 def accepted(
-    select: str, source: str, index: str, gold: str, where: str = "TRUE", told: str | None = None
+    select: str,
+    source: str,
+    index: str,
+    gold: str,
+    where: str = "TRUE",
+    told: str | None = None,
+    choices: list[str] | str = fixed.FOUR,
+    extras: dict[str, str] | None = None,
+    required: list[str] = (),
 ) -> str:
+    """Accepted rows with all their cells, and rejected ones with their reason.
+
+    ``where`` says whether all choices that are needed have a text; an absent ``required``
+    value is reported before that, a label without an index after it.
+    """
     told = "CAST(NULL AS VARCHAR)" if told is None else told
-    return f"""SELECT item_id, query, instruction, gold_index, {gold} AS gold FROM (
-      SELECT *, {index} AS gold_index, {select} AS query, {told} AS instruction FROM {source}) AS x
-      WHERE gold_index IS NOT NULL AND {where}"""
+    shown, pairs = _cells(choices, extras or {})
+    absent = " OR ".join(f"{c} IS NULL" for c in required) or "FALSE"
+    return f"""SELECT item_id, CASE WHEN reason IS NULL THEN query END AS query,
+        CASE WHEN reason IS NULL THEN instruction END AS instruction,
+        CASE WHEN reason IS NULL THEN choices END AS choices,
+        CASE WHEN reason IS NULL THEN gold_index END AS gold_index,
+        CASE WHEN reason IS NULL THEN gold END AS gold,
+        CASE WHEN reason IS NULL THEN extras END AS specific, reason FROM (
+      SELECT item_id, query, instruction, gold_index, {gold} AS gold, {shown} AS choices, {pairs} AS extras,
+             CASE WHEN {absent} THEN 'missing required value'
+                  WHEN NOT ({where}) THEN 'choice without text'
+                  WHEN gold_index IS NULL THEN 'invalid label' END AS reason FROM (
+        SELECT *, {index} AS gold_index, {select} AS query, {told} AS instruction FROM {source}) AS x) AS y"""
 
 
 LETTER = "' ' || substr('ABCD', gold_index + 1, 1)"
@@ -306,6 +319,7 @@ add(
         MIXED,
         LETTER,
         told=TOPIC,
+        required=["subject", "question", "mixed_gold"],
     ),
 )
 
@@ -316,11 +330,17 @@ def both(first: str, second: str, name: str = "direct") -> str:
 
 LOOSE_INDEX = index_of(loose("loose_gold"))
 STORED = f"{lit(STORED_INTRO)} || question || {NL} || "
+THREAT = {"extras": {"url": "NULL", "Question": "NULL"}, "required": ["question", "loose_gold"]}
+GIVEN = {
+    "choices": "gold",
+    "extras": {"url": "NULL", "Description": "description", "GT": "gold"},
+    "required": ["description", "gold"],
+}
 add(
     "prompt_p2_cti_mcq",
     both(
-        accepted(STORED + lit(wording.THREAT_DIRECT), src("items"), LOOSE_INDEX, LETTER, told=lit(wording.THREAT_ASKED)),
-        accepted(STORED + lit(wording.THREAT_LAST_LINE), src("items"), LOOSE_INDEX, LETTER, told=lit(wording.THREAT_ASKED)),
+        accepted(STORED + lit(wording.THREAT_DIRECT), src("items"), LOOSE_INDEX, LETTER, told=lit(wording.THREAT_ASKED), **THREAT),
+        accepted(STORED + lit(wording.THREAT_LAST_LINE), src("items"), LOOSE_INDEX, LETTER, told=lit(wording.THREAT_ASKED), **THREAT),
     ),
 )
 
@@ -333,23 +353,25 @@ ZERO = "CAST(0 AS INTEGER)"
 add(
     "prompt_p3_weakness",
     both(
-        accepted(described(wording.WEAKNESS_ASKED, wording.WEAKNESS_CUE), src("weakness"), ZERO, "gold", told=lit(wording.WEAKNESS_ASKED)),
+        accepted(described(wording.WEAKNESS_ASKED, wording.WEAKNESS_CUE), src("weakness"), ZERO, "gold", told=lit(wording.WEAKNESS_ASKED), **GIVEN),
         accepted(
             f"{lit(wording.WEAKNESS_ASKED)} || ' Explain. CVE Description: ' || description",
             src("weakness"),
             ZERO,
             "gold",
             told=lit(wording.WEAKNESS_ASKED),
+            **GIVEN,
         ),
     ),
 )
 add(
     "prompt_p4_severity",
     both(
-        accepted(described(wording.SEVERITY_ASKED, wording.SEVERITY_CUE), src("severity"), ZERO, "gold", told=lit(wording.SEVERITY_ASKED)),
-        accepted(f"{lit(STORED_INTRO)} || description", src("severity"), ZERO, "gold", told=lit(wording.SEVERITY_ASKED)),
+        accepted(described(wording.SEVERITY_ASKED, wording.SEVERITY_CUE), src("severity"), ZERO, "gold", told=lit(wording.SEVERITY_ASKED), **GIVEN),
+        accepted(f"{lit(STORED_INTRO)} || description", src("severity"), ZERO, "gold", told=lit(wording.SEVERITY_ASKED), **GIVEN),
     ),
 )
+TECHNIQUES = {**GIVEN, "extras": {"url": "NULL", "Platform": "NULL", "Description": "NULL", "GT": "gold"}}
 add(
     "prompt_p5_techniques",
     both(
@@ -359,37 +381,46 @@ add(
             ZERO,
             "gold",
             told=lit(wording.TECHNIQUES_ASKED),
+            **TECHNIQUES,
         ),
-        accepted(f"{lit(STORED_INTRO)} || description", src("techniques"), ZERO, "gold", told=lit(wording.TECHNIQUES_ASKED)),
+        accepted(f"{lit(STORED_INTRO)} || description", src("techniques"), ZERO, "gold", told=lit(wording.TECHNIQUES_ASKED), **TECHNIQUES),
     ),
 )
 add(
     "prompt_p6_inline_options",
     accepted(
         f"'Question: ' || question || {NL} || 'Options: B) ' || opt_b || ', A) ' || opt_a || ', D) ' || opt_d "
-        f"|| ', C) ' || opt_c || {NL} || {NL} || {lit(wording.INLINE_CUE)} || {NL} || 'Answer:'",
+        f"|| ', C) ' || CASE WHEN n_chars % 5 = 0 THEN 'None' ELSE opt_c END || {NL} || {NL} "
+        f"|| {lit(wording.INLINE_CUE)} || {NL} || 'Answer:'",
         src("items"),
         LOOSE_INDEX,
         LETTER,
+        required=["question", "loose_gold"],
     ),
 )
 STRICT_INDEX = index_of("gold")
 add(
     "prompt_p7_mcq_list",
-    accepted(mcq(wording.LETTERS_ASKED, *FOUR), src("items"), STRICT_INDEX, LETTER, told=lit(wording.LETTERS_ASKED)),
+    accepted(
+        mcq(wording.LETTERS_ASKED, *FOUR), src("items"), STRICT_INDEX, LETTER, told=lit(wording.LETTERS_ASKED), extras={"id": "NULL"}
+    ),
 )
 add(
     "prompt_p8_boolean",
     accepted(
         f"question || {NL} || 'Answer:'",
         src("items"),
-        index_of("bool_gold", labels.TRUE_FALSE_UNKNOWN),
+        index_of("bool_gold", fixed.THREE),
         "' ' || substr('TFX', gold_index + 1, 1)",
+        choices=fixed.THREE,
+        extras={"question": "question", "url": "NULL"},
     ),
 )
 add(
     "prompt_p9_mcq_list_alt",
-    accepted(mcq(wording.LETTER_ASKED, *FOUR[:3]), src("items"), STRICT_INDEX, LETTER, told=lit(wording.LETTER_ASKED)),
+    accepted(
+        mcq(wording.LETTER_ASKED, *FOUR[:3]), src("items"), STRICT_INDEX, LETTER, told=lit(wording.LETTER_ASKED), extras={"id": "NULL"}
+    ),
 )
 
 
@@ -400,12 +431,19 @@ def answer_set(block: str) -> str:
     )
 
 
+MANY = {
+    "where": "n_chars % 5 <> 0",
+    "told": lit(wording.ANSWER_SET_ASKED),
+    "choices": fixed.SETS,
+    "extras": {"id": "NULL", "topic": "NULL"},
+    "required": ["question", "set_gold"],
+}
 SET_GOLD = f"' ' || {loose('set_gold')}"
 add(
     "prompt_p10_multi_answer",
     both(
-        accepted(answer_set(f"{lit(EXAMPLES)} || {NL}"), src("items"), SET_INDEX, SET_GOLD, told=lit(wording.ANSWER_SET_ASKED)),
-        accepted(answer_set("''"), src("items"), SET_INDEX, SET_GOLD, told=lit(wording.ANSWER_SET_ASKED)),
+        accepted(answer_set(f"{lit(EXAMPLES)} || {NL}"), src("items"), SET_INDEX, SET_GOLD, **MANY),
+        accepted(answer_set("''"), src("items"), SET_INDEX, SET_GOLD, **MANY),
         "examples",
     ),
 )
@@ -431,8 +469,9 @@ add(
             LETTER,
             WHOLE,
             lit(wording.LETTERS_ASKED),
+            extras={"id": "NULL"},
         ),
-        accepted(in_context("''"), src("items"), STRICT_INDEX, LETTER, WHOLE, lit(wording.LETTERS_ASKED)),
+        accepted(in_context("''"), src("items"), STRICT_INDEX, LETTER, WHOLE, lit(wording.LETTERS_ASKED), extras={"id": "NULL"}),
         "context",
     ),
 )
@@ -546,13 +585,28 @@ EM = f"CASE WHEN text <> '' AND {strip('text')} = {strip('gold')} THEN 1.0::DOUB
 PEM = f"CASE WHEN text <> '' AND starts_with({strip('text')}, {strip('gold')}) THEN 1.0::DOUBLE ELSE 0 END"
 ACC = "CASE WHEN letter = gold THEN 1.0::DOUBLE ELSE 0 END"
 add("score_exact_match", f"SELECT model, item_id, {EM} AS value FROM {src('responses')}")
-add("score_prefix_match", f"SELECT model, item_id, {PEM} AS value FROM {src('responses')}")
+add(
+    "score_prefix_match",
+    f"""
+    SELECT model, item_id, {PEM} AS value, {strip('gold')} = '' AS empty_gold
+    FROM (SELECT model, item_id, text, CASE WHEN item_id % 41 = 0 THEN ' ' ELSE gold END AS gold
+          FROM {src('responses')}) AS r
+    """,
+)
 PICKED = f"""SELECT model, task, item_id, gold_index, choice_idx AS picked FROM (
       SELECT *, row_number() OVER (PARTITION BY model, task, item_id ORDER BY logprob DESC, choice_idx) AS rn
       FROM {src('choices')}) AS x WHERE rn = 1"""
+BEST = f"""SELECT model, task, item_id, any_value(gold_index) AS gold_index,
+      first(choice_idx ORDER BY logprob DESC, choice_idx) FILTER (logprob IS NOT NULL) AS picked
+      FROM {src('many_choices')} GROUP BY model, task, item_id"""
 add(
     "score_loglikelihood_choice",
-    f"SELECT model, task, item_id, picked, CASE WHEN picked = gold_index THEN 1.0::DOUBLE ELSE 0 END AS value FROM ({PICKED}) AS p",
+    f"""
+    SELECT form, model, task, item_id, picked, CASE WHEN picked = gold_index THEN 1.0::DOUBLE ELSE 0 END AS value
+    FROM (SELECT 'four' AS form, model, task, item_id, gold_index, picked FROM ({PICKED}) AS p
+          UNION ALL SELECT f.form, model, task, item_id, gold_index, picked
+          FROM ({BEST}) AS b, (SELECT unnest(['counted', 'sorted']) AS form) AS f) AS x
+    """,
 )
 MAD = f"""
     WITH s AS (SELECT item_id, gold, {last_match('text', VECTOR)} AS stated FROM {src('severity')}),
@@ -584,18 +638,26 @@ MULTI = f"""
                 UNION ALL SELECT model, task, item_id, 'pem', 'prefix_match', pem FROM wide
                 UNION ALL SELECT model, task, item_id, 'acc', 'mcq_regex', acc FROM wide WHERE length(task) % 2 = 1)"""
 add("score_multi_metric", f"WITH {MULTI} SELECT model, task, item_id, metric, value FROM samples")
-# The response is cut at the first line feed; rows whose label is wrong have no prompt.
-CUT = LETTERED.replace(
+# The response is cut at the first line feed; rows whose label is wrong have no prompt. Every
+# prompt counts for each model that was run on its task.
+RUN = f"""
+    run AS (SELECT * FROM {src('run')}),
+    prompts AS (SELECT item_id, task, gold FROM {src('items')} WHERE gold <> '?'),
+    wanted AS (SELECT m.model, p.task, p.item_id, p.gold
+               FROM prompts AS p JOIN (SELECT DISTINCT model, task FROM run) AS m ON m.task = p.task),"""
+CUT = RUN + LETTERED.replace(
     f"FROM {src('responses')}",
-    f"""FROM (SELECT r.model, r.task, r.item_id, i.gold, {cut('r.text', NL)} AS text
-               FROM {src('responses').replace(') AS responses', ') AS r')}
-               JOIN (SELECT item_id, gold FROM {src('items')} WHERE gold <> '?') AS i USING (item_id)) AS c""",
+    f"""FROM (SELECT w.model, w.task, w.item_id, w.gold, {cut('r.text', NL)} AS text
+               FROM wanted AS w LEFT JOIN run AS r ON r.model = w.model AND r.task = w.task AND r.item_id = w.item_id) AS c""",
 )
 add(
     "score_responses",
     f"""
     WITH {MULTI.replace(LETTERED, CUT)}
-    SELECT model, task, item_id, metric, value FROM samples
+    SELECT model, task, item_id, metric, value, CAST(NULL AS VARCHAR) AS reason FROM samples
+    UNION ALL
+    SELECT model, task, item_id, NULL, NULL, CASE WHEN task = 'no:such' THEN 'no such task' ELSE 'no such item' END
+    FROM run AS r WHERE NOT EXISTS (SELECT 1 FROM prompts AS p WHERE p.task = r.task AND p.item_id = r.item_id)
     """,
 )
 
@@ -604,32 +666,51 @@ add(
 add(
     "task_mean",
     f"""
-    WITH {LETTERED} SELECT model, task, 'acc' AS metric, round(avg({ACC}), 6) AS value, count(*) AS n
-    FROM lettered GROUP BY model, task
+    WITH {MULTI.replace(LETTERED, CUT)}
+    SELECT model, task, metric, scorer, round(avg(value), 6) AS value, count(*) AS n
+    FROM samples GROUP BY model, task, metric, scorer
     """,
 )
 SCORES = f"""{MULTI},
-    scores AS (SELECT model, task, metric, avg(value) AS value, stddev_samp(value) / sqrt(count(*)) AS stderr,
+    scores AS (SELECT model, task, metric, scorer, avg(value) AS value, stddev_samp(value) / sqrt(count(*)) AS stderr,
                       count(*) AS n FROM samples GROUP BY ALL)"""
 add("task_stderr", f"WITH {SCORES} SELECT model, task, metric, round(stderr, 6) AS stderr FROM scores")
 add(
     "all_rollup",
     f"""
     WITH {SCORES}
-    SELECT model, task, metric, round(value, 6) AS value, round(stderr, 6) AS stderr, n FROM scores
+    SELECT model, task, metric, scorer, round(value, 6) AS value, round(stderr, 6) AS stderr, n FROM scores
     UNION ALL
-    SELECT model, 'all', metric, round(avg(value), 6), round(avg(stderr), 6), CAST(sum(n) AS BIGINT)
-    FROM scores GROUP BY model, metric
+    SELECT model, 'all', metric, scorer, round(avg(value), 6), round(avg(stderr), 6), CAST(sum(n) AS BIGINT)
+    FROM scores GROUP BY model, metric, scorer
     """,
 )
+SUITE_MEANS = f"""{SCORES}, suites AS (
+      SELECT DISTINCT source AS task, 'every' AS suite FROM documents
+      UNION ALL SELECT DISTINCT source, CASE WHEN length(source) % 2 = 0 THEN 'even' ELSE 'odd' END FROM documents),
+    means AS (SELECT model, suite, metric, scorer, avg(value) AS value, count(*) AS n_tasks
+              FROM scores JOIN suites USING (task) GROUP BY model, suite, metric, scorer)"""
 add(
     "suite_mean",
+    f"WITH {SUITE_MEANS} SELECT model, suite, metric, scorer, round(value, 6) AS value, n_tasks FROM means",
+)
+add(
+    "model_delta",
     f"""
-    WITH {SCORES}, suites AS (
-      SELECT DISTINCT source AS task, 'every' AS suite FROM documents
-      UNION ALL SELECT DISTINCT source, CASE WHEN length(source) % 2 = 0 THEN 'even' ELSE 'odd' END FROM documents)
-    SELECT model, suite, metric, round(avg(value), 6) AS value, count(*) AS n_tasks
-    FROM scores JOIN suites USING (task) GROUP BY model, suite, metric
+    WITH {SUITE_MEANS}
+    SELECT m.model, m.suite, m.metric, m.scorer, round(m.value, 6) AS value, round(b.value, 6) AS baseline,
+           round(100 * (m.value - b.value), 6) AS delta
+    FROM means AS m LEFT JOIN means AS b ON b.model = 'org/m1' AND b.suite = m.suite AND b.metric = m.metric
+      AND b.scorer = m.scorer
+    """,
+)
+add(
+    "judge_score_rollup",
+    f"""
+    SELECT model, dimension, round(avg(score), 6) AS value,
+           round(stddev_samp(score) / sqrt(count(score)), 6) AS stderr,
+           count(score) AS n, count(*) - count(score) AS n_unjudged
+    FROM {src('judged')} GROUP BY model, dimension
     """,
 )
 add(
@@ -651,19 +732,20 @@ ACC_SCORES = f"""{LETTERED},
     scores AS (SELECT model, task, avg({ACC}) AS acc, stddev_samp({ACC}) / sqrt(count(*)) AS acc_stderr
                FROM lettered GROUP BY model, task),
     every AS (SELECT * FROM scores UNION ALL SELECT model, 'all', avg(acc), avg(acc_stderr) FROM scores GROUP BY model)"""
+KEY = "CASE WHEN task = 'all' THEN task ELSE task || '|0' END"
 add(
     "sink_result_payload",
     f"""
     WITH {ACC_SCORES}
-    SELECT model, task, 'acc' AS metric, round(acc, 6) AS value FROM every
-    UNION ALL SELECT model, task, 'acc_stderr', round(acc_stderr, 6) FROM every
+    SELECT model, {KEY} AS task, 'acc' AS metric, round(acc, 6) AS value FROM every
+    UNION ALL SELECT model, {KEY}, 'acc_stderr', round(acc_stderr, 6) FROM every
     """,
 )
 add(
     "scan_result_files",
     f"""
     WITH {ACC_SCORES}
-    SELECT model AS folder, model, CAST(1 AS BIGINT) AS files, count(*) AS entries FROM every GROUP BY model
+    SELECT model AS folder, model, CAST(2 AS BIGINT) AS files, 2 * count(*) AS entries FROM every GROUP BY model
     """,
 )
 add(
@@ -691,13 +773,14 @@ CELLS = f"""{LONG},
                                    ORDER BY string_split(json_path, '/')[-1] DESC, json_path DESC) AS rn FROM long) AS x
       WHERE rn = 1)"""
 add("resolve_model_name", f"WITH {NAMED} SELECT json_path, model FROM named")
+NAMED_RUN = r"regexp_extract(json_path, 'results_([^/]+)\.json$', 1) AS run"
 add(
     "flatten_results",
-    f"WITH {LONG} SELECT model, task, json_path, metric, CAST(raw AS DOUBLE) AS value, raw FROM long",
+    f"WITH {LONG} SELECT model, task, json_path, {NAMED_RUN}, metric, CAST(raw AS DOUBLE) AS value, raw FROM long",
 )
 add(
     "drop_stderr",
-    f"WITH {LONG} SELECT model, task, json_path, metric, CAST(raw AS DOUBLE) AS value FROM long WHERE NOT ends_with(metric, '_stderr')",
+    f"WITH {LONG} SELECT model, task, json_path, {NAMED_RUN}, metric, CAST(raw AS DOUBLE) AS value FROM long WHERE NOT ends_with(metric, '_stderr')",
 )
 EVENTS = ("click", "error", "purchase", "signup", "view")
 ACC_COLUMNS = ["all_acc"] + [f"t:{e}|0_acc" for e in EVENTS]
@@ -717,12 +800,34 @@ add(
     """,
 )
 add("trim_model_prefix", f"WITH {ENTRIES} SELECT json_path, task, model FROM entries")
+GRID = f"""{CELLS}, names AS (SELECT DISTINCT "column" FROM cells), models AS (SELECT DISTINCT model FROM cells),
+    grid AS (SELECT model, "column" FROM models, names)"""
 add(
     "split_by_metric",
-    f"""WITH {CELLS} SELECT model, CASE WHEN ends_with("column", '_stderr') THEN 'stderr' ELSE 'acc' END AS metric,
-        "column", value FROM cells""",
+    f"""
+    WITH {GRID}
+    SELECT model, CASE WHEN ends_with("column", '_stderr') THEN 'stderr' ELSE 'acc' END AS metric, "column", value
+    FROM grid LEFT JOIN cells USING (model, "column")
+    """,
+)
+TOLD_LATE = "'2025-02-01T00-00-00.000000'"
+TOLD_EARLY = "'2025-01-31T23-59-59.999999'"
+add(
+    "collect_report",
+    f"""
+    WITH {ACC_SCORES},
+    late AS (SELECT replace(model, 'org/', '') AS model, {KEY} AS task, acc, acc_stderr FROM every),
+    cells AS (SELECT model, task || '_acc' AS "column", acc AS value FROM late
+              UNION ALL SELECT model, task || '_acc_stderr', acc_stderr FROM late),
+    runs AS (SELECT model, task, {TOLD_LATE} AS json_path, acc, acc_stderr FROM late
+             UNION ALL SELECT model, task, {TOLD_EARLY}, acc / 2, acc_stderr FROM late)
+    SELECT part, model, "column", round(value, 6) AS value, CAST(NULL AS VARCHAR) AS task, CAST(NULL AS VARCHAR) AS json_path
+    FROM cells, (SELECT unnest(['whole', 'split']) AS part) AS p
+    UNION ALL SELECT 'plain', model, "column", round(value, 6), NULL, NULL FROM cells WHERE NOT ends_with("column", '_stderr')
+    UNION ALL SELECT 'long', model, 'acc', round(acc, 6), task, json_path FROM runs
+    UNION ALL SELECT 'long', model, 'acc_stderr', round(acc_stderr, 6), task, json_path FROM runs
+    """,
 )
-add("collect_report", f"WITH {CELLS} {pivot(ACC_COLUMNS)}")
 add(
     "sink_csv",
     f"WITH {CELLS} {pivot(['all_acc', 't:click|0_acc'], 'raw')}",
@@ -730,8 +835,7 @@ add(
 add(
     "sink_csv_per_metric",
     f"""
-    WITH {CELLS}, names AS (SELECT DISTINCT "column" FROM cells), models AS (SELECT DISTINCT model FROM cells),
-    grid AS (SELECT model, "column" FROM models, names)
+    WITH {GRID}
     SELECT model, "column", raw AS cell,
            CASE WHEN ends_with("column", '_stderr') THEN 'stderr' ELSE 'acc' END AS metric
     FROM grid LEFT JOIN cells USING (model, "column")
@@ -769,6 +873,15 @@ add(
     WHERE role = 'user'
     """,
 )
+add(
+    "long_histories",
+    f"""
+    SELECT conv_id, turn, CAST(turn + 1 AS INTEGER) AS n, history FROM (
+      SELECT conv_id, turn, role, {TOLD}) OVER (PARTITION BY conv_id ORDER BY turn
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS history FROM {src('long_chat')}) AS x
+    WHERE role = 'user'
+    """,
+)
 add(
     "history_blocks",
     f"SELECT conv_id, turn // 3 AS block, {TOLD} ORDER BY turn) AS history FROM conversations GROUP BY 1, 2",
@@ -786,15 +899,17 @@ add(
     SELECT conv_id, turn, text AS prompt, {strip('next_text')} AS completion FROM (
       SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM {src('chat')}
       WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) AS x
-    WHERE role = 'user' AND next_role = 'assistant'
+    WHERE role = 'user' AND next_role = 'assistant' AND next_text IS NOT NULL
     """,
 )
 add(
     "drop_unanswered_turns",
-    """
+    f"""
     SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, role, text
-    FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations) AS x
-    WHERE NOT (role = 'user' AND next_role IS DISTINCT FROM 'assistant')
+    FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM {src('chat')}
+          WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) AS x
+    WHERE NOT (role = 'user' AND (next_role IS DISTINCT FROM 'assistant' OR next_text IS NULL))
+      AND NOT (role = 'assistant' AND text IS NULL)
     """,
 )
 add(
@@ -828,7 +943,13 @@ add(
     WHERE role <> 'user' OR next_role IS NOT DISTINCT FROM 'assistant'
     """,
 )
-add("reject_empty_replies", f"SELECT conv_id, turn, role, text FROM {src('chat')} WHERE role = 'assistant' AND text IS NOT NULL")
+add(
+    "reject_empty_replies",
+    f"""
+    SELECT conv_id, turn, role, text, CASE WHEN text IS NULL THEN 'empty reply' END AS reason
+    FROM {src('chat')} WHERE role = 'assistant'
+    """,
+)
 add(
     "reply_failure_rates",
     f"SELECT model, count(*) AS requests, count(*) - count(text) AS failures FROM {src('responses')} GROUP BY model",
@@ -845,5 +966,5 @@ add(
 )
 add(
     "register_formatter",
-    accepted("upper(subject) || '?' || question", src("items"), STRICT_INDEX, LETTER),
+    accepted("upper(subject) || '?' || question", src("items"), STRICT_INDEX, LETTER, required=["question", "gold"]),
 )

@@ -6,6 +6,8 @@ can be compared by value.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from scoreloom.operators import (
 from scoreloom.plans import evaluation, registry
 from scoreloom.sources import benchmark, result_files, sinks, task_lists
 
-from .views import spread, table, view
+from .views import table, view
 
 col = F.col
 OPTIONS = ["opt_a", "opt_b", "opt_c", "opt_d"]
@@ -58,7 +60,24 @@ def keyed(order: str) -> F.Column:
 
 
 def prompt_rows(checked) -> DataFrame:
-    return checked.accepted.select("item_id", "query", "instruction", "gold_index", "gold")
+    """Accepted rows with all their cells, rejected ones with their reason."""
+    pairs = F.transform(
+        F.map_entries("specific"),
+        lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-"))),
+    )
+    good = checked.accepted.select(
+        "item_id",
+        "query",
+        "instruction",
+        F.array_join("choices", ",").alias("choices"),
+        "gold_index",
+        "gold",
+        F.array_join(pairs, ";").alias("specific"),
+    )
+    bad = checked.rejected.select(col("key").cast("bigint").alias("item_id"), "reason")
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(
+        bad, allowMissingColumns=True
+    )
 
 
 def samples(df: DataFrame) -> DataFrame:
@@ -100,8 +119,13 @@ def used_tasks(spark, sf) -> DataFrame:
 
 @query
 def scan_benchmark(spark, sf):
+    root = session.scratch_path(spark, "benchmark")
     lines = used_tasks(spark, sf).select("doc_id", "repo", "subset", "split")
-    return benchmark.evaluation_lines(lines, registry.task_registry(spark)).select("doc_id", "task")
+    benchmark.write_benchmark(lines, root)
+    slices = sorted({(t.repo, t.subset, t.evaluation_split) for t in registry.tasks()})
+    parts = [benchmark.scan_benchmark(spark, root, *s) for s in slices]
+    stored = reduce(lambda a, b: a.unionByName(b), parts)
+    return benchmark.evaluation_lines(stored, registry.task_registry(spark)).select("doc_id", "task")
 
 
 @query
@@ -113,9 +137,13 @@ def plan_distinct_datasets(spark, sf):
 
 
 def write_payload_files(spark, sf) -> str:
+    """Two runs of each model; the later one is written first."""
     path = session.scratch_path(spark, "payloads")
     scores = aggregate.with_all(aggregate.task_scores(samples(view(spark, sf, "responses"))))
-    sinks.write_result_payloads(scores, path)
+    scores = scores.withColumn("shots", F.lit(0))
+    sinks.write_result_payloads(scores, path, "2025-02-01T00-00-00.000000")
+    earlier = scores.withColumn("value", col("value") / 2)
+    sinks.write_result_payloads(earlier, path, "2025-01-31T23-59-59.999999")
     return path
 
 
@@ -136,7 +164,7 @@ def sink_result_payload(spark, sf):
     files = result_files.scan_result_files(spark, write_payload_files(spark, sf))
     parsed = result_files.parse_results_tolerant(files).accepted
     long = results.flatten_results(results.task_entries(parsed))
-    return rounded(long.select("model", "task", "metric", "value"), "value")
+    return rounded(results.latest_cells(long).select("model", "task", "metric", "value"), "value")
 
 
 def payload_files(spark, sf) -> DataFrame:
@@ -144,13 +172,14 @@ def payload_files(spark, sf) -> DataFrame:
 
 
 def parsed_payloads(spark, sf) -> DataFrame:
-    return result_files.parse_results_tolerant(payload_files(spark, sf)).accepted
+    return result_files.decode(payload_files(spark, sf))
 
 
 @query
 def parse_results_tolerant(spark, sf):
-    parsed = payload_files(spark, sf).withColumn("payload", results.parse_payload(col("value")))
-    return parsed.select("json_path", col("payload").isNotNull().alias("decoded"))
+    checked = result_files.parse_results_tolerant(payload_files(spark, sf))
+    good = checked.accepted.select("json_path", F.lit(True).alias("decoded"))
+    return good.unionByName(checked.rejected.select("json_path", F.lit(False).alias("decoded")))
 
 
 @query
@@ -166,7 +195,7 @@ def scan_task_list(spark, sf):
 
 @query
 def normalize_task_spec(spark, sf):
-    specs = spread(table(spark, sf, "documents"), "doc_id").select(
+    specs = table(spark, sf, "documents").select(
         "doc_id",
         F.when(col("doc_id") % 9 == 0, F.concat(F.lit(" tasks/"), "source", F.lit(".txt")))
         .when(col("doc_id") % 9 == 1, F.concat_ws(",", "text", F.lit(" , a:b|5,c:d|"), "lang"))
@@ -183,7 +212,7 @@ def payload_report(spark, sf) -> DataFrame:
 @query
 def sink_csv(spark, sf):
     path = session.scratch_path(spark, "report") + ".csv"
-    sinks.write_csv(payload_report(spark, sf), path, ["model", "all_acc", "t:click|0_acc"])
+    sinks.write_csv(payload_report(spark, sf), path, ["model", "all_acc", "t:click|0_acc"], one_file=True)
     return spark.read.option("header", True).csv(path)
 
 
@@ -276,7 +305,8 @@ def curated_suites(spark, sf):
 @query
 def require_columns(spark, sf):
     checked = validation.require_columns(items(spark, sf), ["question", "loose_gold", "set_gold"])
-    return checked.rejected.select("item_id", "reason", F.array_join("missing", ",").alias("missing"))
+    bad = checked.rejected.select("item_id", "reason", F.array_join("missing", ",").alias("missing"))
+    return bad.unionByName(checked.accepted.select("item_id"), allowMissingColumns=True)
 
 
 @query
@@ -301,7 +331,8 @@ def gold_index_mixed(spark, sf):
 @query
 def gold_set_or_skip(spark, sf):
     checked = validation.gold_set_or_skip(items(spark, sf), "set_gold")
-    return checked.accepted.select("item_id", "gold_index")
+    good = checked.accepted.select("item_id", "gold_index")
+    return good.unionByName(checked.rejected.select("item_id", "reason"), allowMissingColumns=True)
 
 
 def gappy(spark, sf) -> DataFrame:
@@ -322,7 +353,19 @@ def require_all_choices(spark, sf):
 
 @query
 def limit_per_task(spark, sf):
-    return sampling.limit_per_task(items(spark, sf), 7).select("item_id", "task", "question")
+    """The first rows of each task, and all rows; some have no id, one task no name."""
+    holes = items(spark, sf).withColumns(
+        {
+            "row": col("item_id"),
+            "item_id": F.when(col("item_id") >= 20, col("item_id")),
+            "task": F.when(col("task") != "src19", col("task")),
+        }
+    )
+    first, every = (sampling.limit_per_task(holes, n) for n in (7, 1_000_000))
+    columns = ["row", "item_id", "task", "question"]
+    return first.select(F.lit("first").alias("part"), *columns).unionByName(
+        every.select(F.lit("every").alias("part"), *columns)
+    )
 
 
 def example_prompts(df: DataFrame) -> DataFrame:
@@ -341,6 +384,7 @@ def attach_few_shots(spark, sf):
         example_prompts(every.where(col("split") == "test")),
         example_prompts(every.where(col("split") == "val")),
         2,
+        allow_none=True,
     )
     own = sampling.attach_few_shots(example_prompts(every), example_prompts(every), 1)
     return held_out.select(F.lit("val").alias("pool"), "item_id", "query").unionByName(
@@ -417,7 +461,7 @@ def prompt_p5_techniques(spark, sf):
 
 @query
 def prompt_p6_inline_options(spark, sf):
-    df = items(spark, sf).withColumns({"answers": keyed("BADC"), "solution": col("loose_gold")})
+    df = gappy(spark, sf).withColumns({"answers": keyed("BADC"), "solution": col("loose_gold")})
     return prompt_rows(prompts.build_prompts(df, "inline_options"))
 
 
@@ -443,7 +487,7 @@ def prompt_p9_mcq_list_alt(spark, sf):
 
 @query
 def prompt_p10_multi_answer(spark, sf):
-    df = items(spark, sf).withColumns({"choices": listed(), "answer": col("set_gold")})
+    df = gappy(spark, sf).withColumns({"choices": listed(), "answer": col("set_gold")})
     return _both(df, "multi_answer", {"examples": EXAMPLES}, {}, "examples")
 
 
@@ -530,16 +574,33 @@ def score_exact_match(spark, sf):
 
 @query
 def score_prefix_match(spark, sf):
-    return view(spark, sf, "responses").select(
-        "model", "item_id", scoring.prefix_match(col("text"), col("gold")).alias("value")
+    """With an empty gold text, which any response starts with, marked."""
+    df = view(spark, sf, "responses").withColumn(
+        "gold", F.when(col("item_id") % 41 == 0, F.lit(" ")).otherwise(col("gold"))
+    )
+    return df.select(
+        "model",
+        "item_id",
+        scoring.prefix_match(col("text"), col("gold")).alias("value"),
+        scoring.matches_anything(col("gold")).alias("empty_gold"),
     )
 
 
 @query
 def score_loglikelihood_choice(spark, sf):
-    return scoring.loglikelihood_choice(view(spark, sf, "choices")).select(
-        "model", "task", "item_id", "picked", "value"
-    )
+    """Four choices in a hash aggregate, and any number in both forms."""
+    of = scoring.loglikelihood_choice
+    four, many = view(spark, sf, "choices"), view(spark, sf, "many_choices")
+    parts = {
+        "four": of(four, len(labels.FOUR_CHOICES)),
+        "counted": of(many, len(labels.ANSWER_SETS)),
+        "sorted": of(many),
+    }
+    shown = [
+        df.select(F.lit(name).alias("form"), "model", "task", "item_id", "picked", "value")
+        for name, df in parts.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), shown)
 
 
 @query
@@ -567,11 +628,10 @@ def score_multi_metric(spark, sf):
     return multi(spark, sf).select("model", "task", "item_id", "metric", "value")
 
 
-@query
-def score_responses(spark, sf):
-    """Responses cut at stops, joined to the prompts' gold answers, scored."""
-    df = view(spark, sf, "responses")
-    responses = df.select(
+def scored_run(spark, sf):
+    """Scores of a run with gaps and strays: responses are cut at stops and joined to the
+    prompts' gold answers."""
+    responses = view(spark, sf, "run").select(
         "model",
         "task",
         "item_id",
@@ -580,14 +640,20 @@ def score_responses(spark, sf):
         .alias("texts"),
     )
     tasks = (
-        df.select("task").distinct().withColumns(
+        table(spark, sf, "documents").select(col("source").alias("task")).distinct().withColumns(
             {"metrics": asked_metrics(), "stops": F.array(F.lit("\n"))}
         )
     )
     rows = items(spark, sf).withColumns({"options": listed(), "answer": col("gold")})
     built = prompts.build_prompts(rows, "listed_mcq").accepted
-    scored = scoring.score_responses(responses, built, tasks)
-    return scored.select("model", "task", "item_id", "metric", "value")
+    return scoring.score_responses(responses, built, tasks)
+
+
+@query
+def score_responses(spark, sf):
+    checked = scored_run(spark, sf)
+    good = checked.accepted.select("model", "task", "item_id", "metric", "value")
+    return good.unionByName(checked.rejected, allowMissingColumns=True)
 
 
 # Means
@@ -595,8 +661,9 @@ def score_responses(spark, sf):
 
 @query
 def task_mean(spark, sf):
-    scores = aggregate.task_scores(samples(view(spark, sf, "responses")))
-    return rounded(scores.select("model", "task", "metric", "value", "n"), "value")
+    """Over all prompts, answered or not."""
+    scores = aggregate.task_scores(scored_run(spark, sf).accepted)
+    return rounded(scores.select("model", "task", "metric", "scorer", "value", "n"), "value")
 
 
 @query
@@ -613,20 +680,34 @@ def all_rollup(spark, sf):
 
 @query
 def suite_mean(spark, sf):
+    return rounded(suite_means(spark, sf), "value")
+
+
+def suite_means(spark, sf) -> DataFrame:
     parity = F.when(F.length("source") % 2 == 0, "even").otherwise("odd")
     suites = (
         table(spark, sf, "documents")
         .select(col("source").alias("task"), F.explode(F.array(F.lit("every"), parity)).alias("suite"))
         .distinct()
     )
-    scores = aggregate.task_scores(multi(spark, sf))
-    return rounded(aggregate.suite_mean(scores, suites), "value")
+    return aggregate.suite_mean(aggregate.task_scores(multi(spark, sf)), suites)
+
+
+@query
+def model_delta(spark, sf):
+    delta = aggregate.model_delta(suite_means(spark, sf), "org/m1", ("suite", "metric", "scorer"))
+    return rounded(delta, "value", "baseline", "delta")
+
+
+@query
+def judge_score_rollup(spark, sf):
+    return rounded(aggregate.judge_score_rollup(view(spark, sf, "judged")), "value", "stderr")
 
 
 @query
 def metric_catalogue(spark, sf):
     generated = multi(spark, sf).select("scorer", "value")
-    picked = scoring.loglikelihood_choice(view(spark, sf, "choices")).select(
+    picked = scoring.loglikelihood_choice(view(spark, sf, "choices"), 4).select(
         F.lit("loglikelihood").alias("scorer"), "value"
     )
     used = generated.unionByName(picked).groupBy("scorer").agg(F.count("value").alias("n"))
@@ -639,7 +720,8 @@ def metric_catalogue(spark, sf):
 
 @query
 def resolve_model_name(spark, sf):
-    return parsed_payloads(spark, sf).select(
+    parsed = result_files.parse_results_tolerant(payload_files(spark, sf)).accepted
+    return parsed.select(
         "json_path", results.resolve_model_name(col("payload"), col("json_path")).alias("model")
     )
 
@@ -678,16 +760,36 @@ def trim_model_prefix(spark, sf):
 
 @query
 def split_by_metric(spark, sf):
-    cells = results.latest_cells(results.flatten_results(entries(spark, sf)))
-    return cells.select(
-        "model", F.substring_index("column", "_", -1).alias("metric"), "column", "value"
-    )
+    report = results.pivot_by_model(results.flatten_results(entries(spark, sf)), cell="value")
+    parts = [
+        part.unpivot("model", None, "column", "value").withColumn("metric", F.lit(metric))
+        for metric, part in results.split_by_metric(report).items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query
 def collect_report(spark, sf):
-    kept = evaluation.decoded_entries(payload_files(spark, sf))
-    return evaluation.lay_out(kept, include_stderr=False, cell="value")
+    """Result files to CSV and back, under each switch."""
+    root = write_payload_files(spark, sf)
+    parts = []
+    for name, switches in {
+        "whole": {},
+        "plain": {"include_stderr": False, "one_file": True},
+        "long": {"pivot": False},
+        "split": {"split": True},
+    }.items():
+        path = session.scratch_path(spark, "report") + ".csv"
+        for written in evaluation.collect_report(spark, root, path, **switches).paths.values():
+            cells = spark.read.option("header", True).csv(written)
+            if name == "long":
+                cells = cells.withColumn("json_path", F.regexp_extract("json_path", "run=([^/]*)/", 1))
+                cells = cells.unpivot(["model", "task", "json_path"], None, "column", "value")
+            else:
+                cells = cells.unpivot("model", None, "column", "value")
+            cells = cells.withColumn("value", F.round(col("value").cast("double"), 6))
+            parts.append(cells.withColumn("part", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 @query
@@ -724,6 +826,15 @@ def history_at_turn(spark, sf):
     return df.select("conv_id", "turn", told("messages").alias("history"))
 
 
+@query
+def long_histories(spark, sf):
+    """The same over conversations of 450 turns."""
+    df = conversations.history_at_turn(view(spark, sf, "long_chat"))
+    return df.select(
+        "conv_id", "turn", F.size("messages").alias("n"), told("messages").alias("history")
+    )
+
+
 @query
 def history_blocks(spark, sf):
     df = conversations.history_blocks(table(spark, sf, "conversations"), 3)
@@ -743,7 +854,7 @@ def prompt_completion_pairs(spark, sf):
 
 @query
 def drop_unanswered_turns(spark, sf):
-    df = conversations.drop_unanswered_turns(table(spark, sf, "conversations"))
+    df = conversations.drop_unanswered_turns(chat(spark, sf))
     return df.select("conv_id", "turn", "position", "role", "text")
 
 
@@ -765,8 +876,8 @@ def chat_history(spark, sf):
 
 @query
 def reject_empty_replies(spark, sf):
-    replies = chat(spark, sf).where(col("role") == "assistant")
-    return conversations.reject_empty_replies(replies).accepted
+    checked = conversations.reject_empty_replies(chat(spark, sf).where(col("role") == "assistant"))
+    return checked.accepted.unionByName(checked.rejected, allowMissingColumns=True)
 
 
 @query
@@ -783,9 +894,12 @@ def register_scorer(spark, sf):
         "mentions", lambda t: t, lambda t, gold: F.coalesce(F.contains(t, gold).cast("double"), F.lit(0.0)),
         aggregate=F.max,
     )
-    scorers = {"mentions": mentions}
-    df = view(spark, sf, "responses").withColumn("metrics", F.array(F.lit("mentions")))
-    scored = scoring.score_multi_metric(df, scorers)
+    assert scoring.register_scorer("mentions", mentions)
+    try:
+        df = view(spark, sf, "responses").withColumn("metrics", F.array(F.lit("mentions")))
+        scored = scoring.score_multi_metric(df)
+    finally:
+        del scoring.SCORERS["mentions"]  # the other queries list what the library brings
     return aggregate.task_scores(scored, {"mentions": mentions.aggregate}).select(
         "model", "task", "metric", "value", "n"
     )

@@ -12,9 +12,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.plans.registry import tasks
+from scoreloom.functions.wording import WEAKNESS_STORED
 
-N_TASKS = len(tasks())
+from .registry_rows import ROWS
+
+N_TASKS = len(ROWS)
 
 
 def _quarters(question: str) -> str:
@@ -73,11 +75,38 @@ SELECT 'org/m' || CAST(midx AS VARCHAR(9)) AS model, source AS task, doc_id AS i
        -CAST(((doc_id + n_chars) * choice_idx + n_chars + midx) % 4 AS DOUBLE) AS logprob
 FROM (SELECT *, @each(0, 1, 2, 3) AS choice_idx
       FROM (SELECT *, @each(0, 1, 2) AS midx FROM documents) AS d) AS c""",
+    # Three, four or sixteen choices per item, with ties and missing values; some items
+    # have none at all.
+    "many_choices": """
+SELECT 'org/m' || CAST(midx AS VARCHAR(9)) AS model, source AS task, doc_id AS item_id, choice_idx,
+       CAST(n_chars % n AS INT) AS gold_index,
+       CASE WHEN (doc_id + choice_idx) % 5 = 0 OR doc_id % 17 = 0 THEN NULL
+            ELSE -CAST(((doc_id + n_chars) * choice_idx + n_chars + midx) % 4 AS DOUBLE) END AS logprob
+FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 16 END AS n,
+             @each(0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15) AS choice_idx
+      FROM (SELECT *, @each(0, 1) AS midx FROM documents) AS d) AS c
+WHERE choice_idx < n""",
+    # Responses as a run leaves them: some are missing, some belong to no task or item.
+    "run": """
+SELECT model, CASE WHEN kind = 1 THEN 'no:such' ELSE task END AS task,
+       CASE WHEN kind = 2 THEN -1 - item_id ELSE item_id END AS item_id, text
+FROM (SELECT *, @each(0, 1, 2) AS kind FROM @responses) AS r
+WHERE (kind = 0 AND item_id % 11 <> 3) OR (kind > 0 AND item_id % 13 = kind)""",
+    # Conversations of 450 turns with a system message.
+    "long_chat": """
+SELECT CAST(floor(doc_id / 150) AS BIGINT) AS conv_id, CAST((doc_id % 150) * 3 + midx AS BIGINT) AS turn,
+       CASE WHEN doc_id % 150 = 0 AND midx = 0 THEN 'system' WHEN midx = 1 THEN 'assistant' ELSE 'user' END AS role,
+       source || ' ' || CAST(n_chars AS VARCHAR(9)) AS text
+FROM (SELECT *, @each(0, 1, 2) AS midx FROM documents) AS d""",
+    # Scores that judges gave; some are missing.
+    "judged": """
+SELECT 'org/m' || CAST(midx AS VARCHAR(9)) AS model, lang AS dimension, doc_id AS item_id,
+       CASE WHEN (n_chars + midx) % 12 < 11 THEN CAST((n_chars + midx) % 12 AS DOUBLE) END AS score
+FROM (SELECT *, @each(0, 1, 2) AS midx FROM documents) AS d""",
     "weakness": """
 SELECT doc_id AS item_id, source AS task, text AS description,
        'CWE-' || CAST(n_chars % 40 + 1 AS VARCHAR(9)) AS gold,
-       'Analyze the following CVE description and map it to the appropriate CWE. Explain. CVE Description: '
-         || text AS prompt,
+       '@stored Explain. CVE Description: ' || text AS prompt,
        CASE WHEN doc_id % 6 = 0 THEN 'not CWE-7 but CWE-' || CAST(n_chars % 40 + 1 AS VARCHAR(9)) || '.'
             WHEN doc_id % 6 = 1 THEN 'CWE-' || CAST(doc_id % 40 + 1 AS VARCHAR(9))
             WHEN doc_id % 6 = 2 THEN 'cwe-' || CAST(n_chars % 40 + 1 AS VARCHAR(9))
@@ -142,11 +171,14 @@ SELECT conv_id, turn, role,
 FROM conversations""",
 }
 
-KEYS = {"documents": "doc_id", "events": "event_id", "conversations": "conv_id"}
+SOURCES = ("documents", "events", "conversations")
 
 
 def _fan_out(sql: str, to: str) -> str:
-    return re.sub(r"@each\(([^)]*)\)", to, sql)
+    return re.sub(r"@each\(([^)]*)\)", to, sql).replace("@stored", WEAKNESS_STORED)
+
+
+VIEWS["run"] = VIEWS["run"].replace("@responses", f"({VIEWS['responses']}) AS given")
 
 
 def duck_view(name: str) -> str:
@@ -158,22 +190,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores where the table is in fewer files than there are cores.
-
-    The small tables are one file with one row group, which one task would read
-    and work through. Tables in many files are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a Spark DataFrame."""
     sql = _fan_out(VIEWS[name], r"explode(array(\1))")
     sql = sql.replace("{", "{{").replace("}", "}}")
-    used = {t: key for t, key in KEYS.items() if f"FROM {t}" in sql}
+    used = [t for t in SOURCES if f"FROM {t}" in sql]
     for source in used:
         sql = sql.replace(f"FROM {source}", f"FROM {{{source}}}")
-    frames = {t: spread(table(spark, sf_dir, t), key) for t, key in used.items()}
-    return spark.sql(sql, **frames)
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})

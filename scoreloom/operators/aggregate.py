@@ -18,15 +18,17 @@ def standard_error(value: Column) -> Column:
 
 
 def task_scores(samples: DataFrame, aggregates: dict | None = None) -> DataFrame:
-    """Value, standard error and count per (model, task, metric).
+    """Value, standard error and count per (model, task, metric), and per scorer where the
+    samples name theirs: scorers that report one metric are never averaged together.
 
     The value is the mean, or for a scorer named in ``aggregates`` what that
     function makes of its values; ``samples`` then has a scorer column.
     """
     value = F.avg("value")
     keys = ["model", "task", "metric"]
-    if aggregates:
+    if aggregates or "scorer" in samples.columns:
         keys.append("scorer")
+    if aggregates:
         cases = F
         for name, aggregate in aggregates.items():
             cases = cases.when(F.col("scorer") == name, aggregate(F.col("value")))
@@ -38,7 +40,7 @@ def task_scores(samples: DataFrame, aggregates: dict | None = None) -> DataFrame
             standard_error(F.col("value")).alias("stderr"),
             F.count("value").alias("n"),
         )
-        .select("model", "task", "metric", "value", "stderr", "n")
+        .select(*keys, "value", "stderr", "n")
     )
 
 
@@ -64,7 +66,8 @@ def task_scores_wide(wide: DataFrame, metrics) -> DataFrame:
 
 
 def _over_tasks(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("model", "task", "metric").agg(
+    scorer = [c for c in ("scorer",) if c in scores.columns]
+    return scores.groupBy("model", "task", "metric", *scorer).agg(
         F.avg("value").alias("value"), F.avg("stderr").alias("stderr"), F.sum("n").alias("n")
     )
 
@@ -84,6 +87,29 @@ def suite_mean(scores: DataFrame, suites: DataFrame) -> DataFrame:
     """Mean of the task means over the tasks of each suite (suite, task)."""
     return (
         scores.join(suites.select("suite", "task"), "task")
-        .groupBy("model", "suite", "metric")
+        .groupBy("model", "suite", "metric", *(c for c in ("scorer",) if c in scores.columns))
         .agg(F.avg("value").alias("value"), F.count("value").alias("n_tasks"))
     )
+
+
+def model_delta(scores: DataFrame, baseline: str, by=("suite", "metric")) -> DataFrame:
+    """How far each model's value is above the baseline model's, in points of 100; null
+    where the baseline has none. ``scores`` has model, value and the columns ``by``."""
+    base = scores.where(F.col("model") == baseline).select(*by, F.col("value").alias("baseline"))
+    return scores.join(base, list(by), "left").select(
+        "model", *by, "value", "baseline",
+        (100 * (F.col("value") - F.col("baseline"))).alias("delta"),
+    )
+
+
+def judge_score_rollup(judged: DataFrame) -> DataFrame:
+    """Means of given judge scores per model and rubric dimension.
+
+    ``judged`` has model, dimension, item_id and score; a null score counts as not judged.
+    """
+    return judged.groupBy("model", "dimension").agg(
+        F.avg("score").alias("value"),
+        standard_error(F.col("score")).alias("stderr"),
+        F.count("score").alias("n"),
+        F.count_if(F.col("score").isNull()).alias("n_unjudged"),
+    )

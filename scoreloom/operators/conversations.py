@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import written
-from .ordered import BLOCK, block_of, has_long_keys, number_in_order, with_next
-from .sampling import join_measured
+from .ordered import BLOCK, number_in_order, with_next
 from .validation import Checked
 
 DEFAULT_SYSTEM = "You are a helpful assistant."
 SENTINELS = ("quit", "exit")
-HISTORY_BLOCK = 256
+
 
 def _is_user() -> Column:
     return F.col("role") == "user"
@@ -42,50 +40,40 @@ def skip_blank_turns(turns: DataFrame) -> DataFrame:
     return stripped.where(~(_is_user() & (F.coalesce("text", F.lit("")) == "")))
 
 
-def truncate_at_sentinel(
-    turns: DataFrame, sentinels=SENTINELS, size: int = BLOCK, long: bool | None = None
-) -> DataFrame:
+def truncate_at_sentinel(turns: DataFrame, sentinels=SENTINELS) -> DataFrame:
     """End a conversation at a user turn that asks to quit; that turn is not kept.
 
-    With a conversation longer than ``size`` turns the ends are found by an
-    aggregate and kept as a table, which is broadcast or joined with salt.
+    The ends are an aggregate, joined back by conversation: broadcast where they are few,
+    else set apart from their aggregate, so that adaptive execution can split the join where
+    a conversation is long.
     """
     quits = _is_user() & F.lower(strip(F.col("text"))).isin(*sentinels)
-    if long is None:
-        long = has_long_keys(turns, "turn", size)
-    if not long:
-        so_far = Window.partitionBy("conv_id").orderBy("turn")
-        ended = F.max(F.coalesce(quits, F.lit(False))).over(so_far)
-        return turns.withColumn("_ended", ended).where(~F.col("_ended")).drop("_ended")
-
     ends = turns.where(quits).groupBy("conv_id").agg(F.min("turn").alias("_end"))
-    joined = join_measured(turns, written(ends, "ends"), "conv_id", "turn")
+    ends = ends.hint("rebalance")
+    joined = turns.join(ends, "conv_id", "left")
     return joined.where(F.col("_end").isNull() | (F.col("turn") < F.col("_end"))).drop("_end")
 
 
-def history_at_turn(turns: DataFrame, size: int = HISTORY_BLOCK) -> DataFrame:
-    """For each user turn, the ordered messages a model is sent.
+def history_at_turn(turns: DataFrame) -> DataFrame:
+    """For each user turn, all messages so far, in order: what a model is sent.
 
-    Messages are listed from the start of the turn's block of ``size`` turns. For
-    conversations within one block that is the whole history. For longer ones the
-    blocks before it are in ``history_blocks``, stored once instead of once per
-    turn, so neither a row nor the output grows with the square of the length.
+    That is the square of a conversation's length in all, which is the size of the result;
+    ``history_blocks`` stores the messages of long conversations once.
     """
     so_far = (
-        Window.partitionBy("conv_id", "block")
+        Window.partitionBy("conv_id")
         .orderBy("turn")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    listed = turns.withColumn("block", block_of("turn", size)).withColumn(
-        "messages", F.collect_list(F.struct("turn", "role", "text")).over(so_far)
-    )
-    return listed.where(_is_user()).select("conv_id", "turn", "block", "messages")
+    messages = F.collect_list(F.struct("turn", "role", "text")).over(so_far)
+    listed = turns.withColumn("messages", messages)
+    return listed.where(_is_user()).select("conv_id", "turn", "messages")
 
 
-def history_blocks(turns: DataFrame, size: int = HISTORY_BLOCK) -> DataFrame:
-    """All messages of each block of ``size`` turns, in order."""
+def history_blocks(turns: DataFrame, size: int) -> DataFrame:
+    """The messages of each block of ``size`` turns, in order: a history cut in pieces."""
     return (
-        turns.withColumn("block", block_of("turn", size))
+        turns.withColumn("block", F.floor(F.col("turn") / size))
         .groupBy("conv_id", "block")
         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
     )
@@ -101,9 +89,11 @@ def single_turn_prompts(turns: DataFrame, system: str = DEFAULT_SYSTEM) -> DataF
 
 
 def prompt_completion_pairs(turns: DataFrame, size: int = BLOCK) -> DataFrame:
-    """User turns that were answered, with the stripped answer."""
+    """User turns that were answered, with the stripped answer. A reply without content
+    is no answer."""
     paired = with_next(turns, "conv_id", "turn", ["role", "text"], size)
-    return paired.where(_is_user() & (F.col("next_role") == "assistant")).select(
+    answered = (F.col("next_role") == "assistant") & F.col("next_text").isNotNull()
+    return paired.where(_is_user() & answered).select(
         "conv_id",
         "turn",
         F.col("text").alias("prompt"),
@@ -111,16 +101,17 @@ def prompt_completion_pairs(turns: DataFrame, size: int = BLOCK) -> DataFrame:
     )
 
 
-def drop_unanswered_turns(
-    turns: DataFrame, size: int = BLOCK, long: bool | None = None
-) -> DataFrame:
-    """Take failed user turns back out of the history and number what is left."""
-    if long is None:
-        long = has_long_keys(turns, "turn", size)
-    seen = with_next(turns, "conv_id", "turn", ["role"], size, long)
-    failed = _is_user() & ~F.coalesce(F.col("next_role") == "assistant", F.lit(False))
-    kept = seen.where(~failed).drop("next_role")
-    return number_in_order(kept, "conv_id", "turn", "position", size, long)
+def drop_unanswered_turns(turns: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Take failed user turns back out of the history and number what is left.
+
+    A turn failed if no reply follows it, or one without content; such a reply goes too.
+    """
+    lost = (F.col("role") == "assistant") & F.col("text").isNull()
+    seen = with_next(turns, "conv_id", "turn", ["role", "text"], size)
+    replied = (F.col("next_role") == "assistant") & F.col("next_text").isNotNull()
+    failed = _is_user() & ~F.coalesce(replied, F.lit(False))
+    kept = seen.where(~failed & ~lost).drop("next_role", "next_text")
+    return number_in_order(kept, "conv_id", "turn", "position", size)
 
 
 def chat_history(turns: DataFrame, system: str = DEFAULT_SYSTEM, size: int = BLOCK) -> DataFrame:
@@ -129,11 +120,10 @@ def chat_history(turns: DataFrame, system: str = DEFAULT_SYSTEM, size: int = BLO
     Up to the turn that asks to quit; without blank input, lost replies and the
     user turns that were left without a reply.
     """
-    long = has_long_keys(turns, "turn", size)
     whole = inject_system_turn(turns, system)
-    entered = skip_blank_turns(truncate_at_sentinel(whole, size=size, long=long))
+    entered = skip_blank_turns(truncate_at_sentinel(whole))
     lost = (F.col("role") == "assistant") & F.col("text").isNull()
-    return drop_unanswered_turns(entered.where(~lost), size, long)
+    return drop_unanswered_turns(entered.where(~lost), size)
 
 
 def reject_empty_replies(replies: DataFrame, text: str = "text") -> Checked:

@@ -87,7 +87,9 @@ def techniques(prompt, direct: bool, cue=wording.TECHNIQUES_CUE) -> Column:
 
 
 def inline_options(question, options, cue=wording.INLINE_CUE) -> Column:
-    shown = F.transform(options, lambda o: F.concat(o["key"], F.lit(") "), o["text"]))
+    shown = F.transform(
+        options, lambda o: F.concat(o["key"], F.lit(") "), F.coalesce(o["text"], F.lit("None")))
+    )
     return F.concat(
         _question(question),
         F.lit("\nOptions: "),
@@ -158,6 +160,7 @@ class Formatter:
     specific: Mapping[str, str] = field(default_factory=dict)
     optional: Sequence[str] = field(default_factory=tuple)
     need_all_choices: str | None = None
+    need_texts: str | None = None
 
 
 c = F.col
@@ -238,6 +241,7 @@ FORMATTERS: dict[str, Formatter] = {
         labels.ANSWER_SETS,
         instruction=wording.ANSWER_SET_ASKED,
         specific={"id": "id", "topic": "topics"},
+        need_texts="choices",
     ),
     "context_mcq": Formatter(
         ["question", "answers", "solution"],
@@ -281,6 +285,11 @@ def build_prompts(rows: DataFrame, formatter: str, **options) -> Checked:
     conditions = [c(name).isNotNull() for name in f.required] + [gold_index.isNotNull()]
     if f.need_all_choices:
         conditions.append(F.size(gaps) == 0)
+    if f.need_texts:
+        # The places, from 0, of choices without a text.
+        places = F.transform(c(f.need_texts), lambda x, i: F.when(x.isNull(), i.cast("string")))
+        gaps = F.coalesce(F.array_compact(places), gaps)
+        conditions.append(~F.exists(f.need_texts, lambda x: x.isNull()))
     fine = reduce(lambda a, b: a & b, conditions)
 
     choices = labels.choices(f.labels) if f.gold_index else F.array(c(f.gold))

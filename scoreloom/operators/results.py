@@ -45,21 +45,32 @@ def resolve_model_name(payload: Column, path: Column) -> Column:
     return F.coalesce(*named, parent_path(path))
 
 
+def run_time(payload: Column, path: Column) -> Column:
+    """When a file's run was: as the payload says, else as its name ``results_<time>.json``
+    does, else the name itself."""
+    said = F.nullif(F.try_variant_get(payload, "$.config_general.run_time", "string"), F.lit(""))
+    name = F.substring_index(path, "/", -1)
+    dated = F.nullif(F.regexp_extract(name, r"\Aresults_(.+)\.json\z", 1), F.lit(""))
+    return F.coalesce(said, dated, name)
+
+
 def task_entries(parsed: DataFrame) -> DataFrame:
-    """One row per file and task: (model, task, json_path, metrics).
+    """One row per file and task: (model, task, json_path, run, metrics).
 
     ``parsed`` has json_path and the decoded payload; entries that are not objects
-    are left out.
+    are left out, and so are payloads that are null. ``run`` tells runs apart in order: the
+    time in the payload, else in the name of the file, else that name.
     """
     spark = parsed.sparkSession
     named = parsed.select(
         "json_path",
         resolve_model_name(F.col("payload"), F.col("json_path")).alias("model"),
+        run_time(F.col("payload"), F.col("json_path")).alias("run"),
         F.try_variant_get("payload", "$.results", "variant").alias("results"),
     )
     return spark.sql(
         """
-        SELECT r.model, t.key AS task, r.json_path, t.value AS metrics
+        SELECT r.model, t.key AS task, r.json_path, r.run, t.value AS metrics
         FROM {named} AS r, LATERAL variant_explode(r.results) AS t
         WHERE t.key IS NOT NULL AND schema_of_variant(t.value) LIKE 'OBJECT%'
         """,
@@ -77,7 +88,7 @@ def flatten_results(entries: DataFrame, keep_empty: bool = False) -> DataFrame:
     explode = "variant_explode_outer" if keep_empty else "variant_explode"
     return spark.sql(
         f"""
-        SELECT e.model, e.task, e.json_path, m.key AS metric,
+        SELECT e.model, e.task, e.json_path, e.run, m.key AS metric,
                try_cast(m.value AS DOUBLE) AS value, CAST(m.value AS STRING) AS raw
         FROM {{entries}} AS e, LATERAL {explode}(e.metrics) AS m
         """,
@@ -135,17 +146,16 @@ def report_column() -> Column:
 
 
 def latest_cells(long: DataFrame) -> DataFrame:
-    """One value per model and report column, from the file with the latest name.
+    """One value per model and report column, from the latest run.
 
-    File names carry the time of the run, which makes repeats deterministic.
+    Runs of one time, which the usual names don't give, go by path.
     """
-    name = F.substring_index("json_path", "/", -1)
     return (
         long.withColumn("column", report_column())
         .groupBy("model", "column")
         .agg(
             F.max_by(
-                F.struct("task", "metric", "value", "raw"), F.struct(name, "json_path")
+                F.struct("task", "metric", "value", "raw"), F.struct("run", "json_path")
             ).alias("cell")
         )
         .select("model", "column", "cell.*")
@@ -161,10 +171,12 @@ def distinct_names(df: DataFrame, column: str, most: int = MAX_REPORT_COLUMNS) -
     return sorted(found)
 
 
-def pivot_by_model(long: DataFrame, columns=None, cell: str = "raw") -> DataFrame:
+def pivot_by_model(
+    long: DataFrame, columns=None, cell: str = "raw", most: int = MAX_REPORT_COLUMNS
+) -> DataFrame:
     """One row per model, one column per task and metric, names in code point order."""
     if columns is None:
-        columns = distinct_names(long.select(report_column().alias("column")), "column")
+        columns = distinct_names(long.select(report_column().alias("column")), "column", most)
     cells = latest_cells(long)
     first = F.first(cell, ignorenulls=True)
     return cells.groupBy("model").pivot("column", columns).agg(first)
@@ -174,21 +186,27 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def results_long_table(entries: DataFrame, metrics=None, with_stderr: bool = True) -> DataFrame:
+def results_long_table(
+    entries: DataFrame, metrics=None, with_stderr: bool = True, most: int = MAX_REPORT_COLUMNS
+) -> DataFrame:
     """One row per file and task, one column per metric.
 
     A task entry already holds its metrics, so they are read out of it in place
-    and nothing is shuffled.
+    and nothing is shuffled. A name that no path can spell is looked up in the entry read
+    as a map.
     """
     if metrics is None:
-        metrics = distinct_names(flatten_results(entries.select(*BASE_COLUMNS, "metrics")), "metric")
+        named = flatten_results(entries.select(*BASE_COLUMNS, "run", "metrics"))
+        metrics = distinct_names(named, "metric", most)
     if not with_stderr:
         metrics = [m for m in metrics if not m.endswith(STDERR_SUFFIX)]
-    paths = {m: '$["' + m + '"]' for m in metrics if '"' not in m}
-    if len(paths) < len(metrics):
-        raise ValueError("metric names must not contain a double quote")
-    cells = [F.try_variant_get("metrics", p, "string").alias(m) for m, p in paths.items()]
-    return entries.select(*BASE_COLUMNS, *cells)
+
+    def cell(name: str) -> Column:
+        if '"' in name or "\\" in name:
+            return F.try_element_at(F.col("metrics").cast("map<string,string>"), F.lit(name))
+        return F.try_variant_get("metrics", '$["' + name + '"]', "string")
+
+    return entries.select(*BASE_COLUMNS, *(cell(m).alias(m) for m in metrics))
 
 
 def metric_group(column: str) -> str:
@@ -209,11 +227,13 @@ def split_by_metric(report: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def result_payloads(scores: DataFrame) -> DataFrame:
+def result_payloads(scores: DataFrame, run_time: str | None = None) -> DataFrame:
     """Task scores to one payload per model.
 
     ``scores`` is (model, task, metric, value, stderr); every metric also gives
-    ``<metric>_stderr``. A payload is as long as tasks times metrics.
+    ``<metric>_stderr``. With a column ``shots`` a task is named ``task|shots``, as result
+    files do; the mean over all tasks keeps its name. A payload is as long as tasks times
+    metrics. ``run_time`` sorts as time does and goes into the payload.
     """
     entries = F.array(
         F.struct(F.col("metric").alias("name"), F.col("value")),
@@ -221,6 +241,9 @@ def result_payloads(scores: DataFrame) -> DataFrame:
             F.concat("metric", F.lit(STDERR_SUFFIX)).alias("name"), F.col("stderr").alias("value")
         ),
     )
+    if "shots" in scores.columns:
+        named = F.concat_ws("|", "task", F.col("shots").cast("string"))
+        scores = scores.withColumn("task", F.when(F.col("task") == "all", F.col("task")).otherwise(named))
     per_task = scores.groupBy("model", "task").agg(
         F.map_from_entries(F.array_sort(F.flatten(F.collect_list(entries)))).alias("metrics")
     )
@@ -230,8 +253,7 @@ def result_payloads(scores: DataFrame) -> DataFrame:
     )
     results = F.map_from_entries(by_task)
     per_model = per_task.groupBy("model").agg(results.alias("results"))
-    return per_model.select(
-        "model",
-        F.struct(F.col("model").alias("model_name")).alias("config_general"),
-        "results",
-    )
+    general = [F.col("model").alias("model_name")]
+    if run_time is not None:
+        general.append(F.lit(run_time).alias("run_time"))
+    return per_model.select("model", F.struct(*general).alias("config_general"), "results")

@@ -5,79 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
-
 SALTS = 64
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def _ranked(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_last()))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+def _place(order: str) -> Column:
+    """Sorts as the order does, null after all else."""
+    return F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("at"))
+
+
 def limit_per_task(
     df: DataFrame, n: int, task: str = "task", order: str = "item_id", salts: int = SALTS
 ) -> DataFrame:
-    """The first ``n`` rows of each task by ``order``.
+    """The first ``n`` rows of each task by ``order``; a null order comes last, and rows
+    without a task are a task.
 
-    The last id to keep is found per task from two columns alone, ranked first
-    within salted parts of a task and then over the survivors, so a task holding
-    most of the rows is spread over ``salts`` groups. Whole rows are then filtered
-    where they are read: the highest such id reaches the scan, and rows are not
-    shuffled until only the kept ones are left.
+    The last place to keep is found per task from two columns alone, ranked first
+    within salted parts of a task and then over the survivors; Spark drops what can't
+    be among the first n before it is shuffled. Whole rows are then joined to the one
+    row per task that holds its last place. Nothing runs before the result is asked for.
     """
     salted = df.select(task, order).withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
     survivors = _ranked(_ranked(salted, [task, "_salt"], order, n), [task], order, n)
-    lasts = written(survivors.groupBy(task).agg(F.max(order).alias("_last")), "last-ids")
-    highest = lasts.agg(F.max("_last")).first()[0]
-    if highest is None:
-        return df.where(F.lit(False))
-    near = join_measured(df.where(F.col(order) <= F.lit(highest)), lasts, task, order)
-    kept = near.where(F.col(order) <= F.col("_last")).select(*df.columns)
+    lasts = survivors.groupBy(F.col(task).alias("_task")).agg(F.max(_place(order)).alias("_last"))
+    near = df.join(lasts, F.col(task).eqNullSafe(F.col("_task")))
+    kept = near.where(_place(order) <= F.col("_last")).select(*df.columns)
     # Ids that repeat are all that can still make more than n.
     return _ranked(kept, [task], order, n)
 
 
-def join_measured(
-    left: DataFrame,
-    right: DataFrame,
-    on: str,
-    spread: str,
-    limit: int = BROADCAST_BYTES,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Left join to a table that is small in most uses.
-
-    The right side is measured; up to ``limit`` bytes it is broadcast. Beyond, the
-    left rows of a key are spread over ``salts`` groups by ``spread`` and the right
-    side is repeated for each, so one frequent key does not end up in one task.
-    """
-    row_bytes = F.octet_length(F.to_json(F.struct(*right.columns)))
-    measured = right.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")).first()
-    if measured["bytes"] <= limit:
-        return left.join(F.broadcast(right), on, "left")
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    repeated = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    return salted.join(repeated, [on, "_salt"], "left").select(
-        on, *[c for c in left.columns if c != on], *[c for c in right.columns if c != on]
-    )
-
-
 def attach_few_shots(
     prompts: DataFrame,
     pool: DataFrame,
     shots: int | Column,
     max_shots: int | None = None,
     separator: str = "\n\n",
+    allow_none: bool = False,
 ) -> DataFrame:
     """Put the first examples of the task's pool before each query.
 
     ``pool`` has task, item_id, query and answer. An item never serves as its own
     example, so one more than asked is kept per task. ``shots`` may differ by row;
-    then ``max_shots`` bounds it.
+    then ``max_shots`` bounds it. A prompt whose pool holds no example for it is an
+    error, or with ``allow_none`` stays as it is.
     """
     if isinstance(shots, Column):
         if max_shots is None:
@@ -88,18 +62,19 @@ def attach_few_shots(
     if max_shots < 1:
         return prompts
     kept = limit_per_task(pool.select("task", "item_id", "query", "answer"), max_shots + 1)
-    examples = kept.groupBy("task").agg(
+    examples = kept.groupBy(F.col("task").alias("_task")).agg(
         F.array_sort(F.collect_list(F.struct("item_id", "query", "answer"))).alias("_examples")
     )
-    # Few rows from a whole pool; measured and joined without reading it again.
-    joined = join_measured(prompts, written(examples, "examples"), "task", "item_id")
+    joined = prompts.join(examples, F.col("task").eqNullSafe(F.col("_task")), "left")
     none = F.array().cast(examples.schema["_examples"].dataType)
     others = F.filter(
-        F.coalesce("_examples", none), lambda e: e["item_id"] != F.col("item_id")
+        F.coalesce("_examples", none), lambda e: ~e["item_id"].eqNullSafe(F.col("item_id"))
     )
     shown = F.transform(
         F.slice(others, F.lit(1), wanted), lambda e: F.concat(e["query"], e["answer"])
     )
-    return joined.withColumn(
-        "query", F.array_join(F.concat(shown, F.array("query")), separator)
-    ).drop("_examples")
+    whole = F.array_join(F.concat(shown, F.array("query")), separator)
+    if not allow_none:
+        missing = F.concat(F.lit("no examples for task "), F.coalesce("task", F.lit("null")))
+        whole = F.when((wanted > 0) & (F.size(others) == 0), F.raise_error(missing)).otherwise(whole)
+    return joined.withColumn("query", whole).drop("_task", "_examples")

@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.labels import FOUR_CHOICES
 from ..functions.severity import with_base_score
-from .sampling import join_measured
+from .validation import Checked
 
 WORST_DISTANCE = 10.0
 
@@ -64,6 +63,11 @@ def _starts_with(found: Column, gold: Column) -> Column:
     return _flag(F.startswith(found, T.strip(gold)))
 
 
+def matches_anything(gold: Column) -> Column:
+    """A gold text that is empty once stripped, which every response starts with."""
+    return T.strip(gold) == ""
+
+
 def _set_f1(predicted: Column, gold: Column) -> Column:
     wanted = F.array_distinct(T.parse_technique_list(gold))
     shared = F.size(F.array_intersect(predicted, wanted))
@@ -137,39 +141,40 @@ def best_choice(logprobs: Column) -> Column:
     return (F.array_position(logprobs, F.array_max(logprobs)) - 1).cast("int")
 
 
-def loglikelihood_choice(
-    choices: DataFrame, n_choices: int | None = len(FOUR_CHOICES)
-) -> DataFrame:
+def loglikelihood_choice(choices: DataFrame, n_choices: int | None = None) -> DataFrame:
     """Score choices stored one per row: (model, task, item_id, choice_idx,
     logprob, gold_index).
 
-    Stored as one array per item, ``best_choice`` needs no shuffle and is to be
-    preferred. Up to ``n_choices`` choices are kept in a hash aggregate, one more is
-    an error; None takes any number and sorts.
+    The highest log-probability is picked, the first one on a tie; a null one never, so an
+    item without any picks none and scores 0. An index below 0 is an error. Stored as one
+    array per item, ``best_choice`` needs no shuffle and is to be preferred.
+
+    With ``n_choices``, the length of the task's label domain, the choices are kept in a
+    hash aggregate, and an index beyond it is an error. Without, they are sorted. Both
+    give the same.
     """
     keys = ["model", "task", "item_id"]
+    bounds = [F.min("choice_idx").alias("_first"), F.max("choice_idx").alias("_last")]
+    gold = F.max("gold_index").alias("gold_index")
     if n_choices is None:
         order = F.struct(F.col("logprob"), (-F.col("choice_idx")).alias("first"))
-        picked = choices.groupBy(*keys).agg(
-            F.max_by("choice_idx", order).alias("picked"),
-            F.first("gold_index").alias("gold_index"),
-        )
+        known = F.when(F.col("logprob").isNotNull(), order)
+        best = F.max_by("choice_idx", known).alias("picked")
+        grouped = choices.groupBy(*keys).agg(best, *bounds, gold)
+        picked, legal = F.col("picked"), F.col("_first") >= 0
     else:
         at = [
             F.max(F.when(F.col("choice_idx") == i, F.col("logprob"))).alias(f"_{i}")
             for i in range(n_choices)
         ]
-        grouped = choices.groupBy(*keys).agg(
-            *at, F.max("choice_idx").alias("_last"), F.first("gold_index").alias("gold_index")
-        )
-        best = best_choice(F.array(*[F.col(f"_{i}") for i in range(n_choices)]))
-        too_many = F.raise_error(F.concat(F.lit("more choices than expected in "), "task"))
-        picked = grouped.select(
-            *keys,
-            F.when(F.col("_last") < n_choices, best).otherwise(too_many.cast("int")).alias("picked"),
-            "gold_index",
-        )
-    return picked.withColumn("value", _flag(F.col("picked") == F.col("gold_index")))
+        grouped = choices.groupBy(*keys).agg(*at, *bounds, gold)
+        picked = best_choice(F.array(*[F.col(f"_{i}") for i in range(n_choices)]))
+        legal = (F.col("_first") >= 0) & (F.col("_last") < n_choices)
+    stray = F.raise_error(F.concat(F.lit("choice out of range in "), "task"))
+    found = grouped.select(
+        *keys, F.when(legal, picked).otherwise(stray.cast("int")).alias("picked"), "gold_index"
+    )
+    return found.withColumn("value", _flag(F.col("picked") == F.col("gold_index")))
 
 
 def to_sample_scores(wide: DataFrame, metrics) -> DataFrame:
@@ -211,21 +216,37 @@ def _rows_per_score(df: DataFrame, asked: str, scorers: dict[str, Scorer], value
     )
 
 
+def _known(asked: Column, scorers: dict[str, Scorer]) -> Column:
+    """The scorers asked for; a name without a scorer, or two scorers that report one
+    metric, are errors."""
+    names = F.array(*[F.lit(name) for name in scorers])
+    metrics = F.create_map(*[F.lit(x) for name, s in scorers.items() for x in (name, s.metric)])
+    unknown = F.array_except(asked, names)
+    reported = F.transform(F.array_distinct(asked), lambda name: metrics[name])
+    return (
+        F.when(
+            F.size(unknown) > 0,
+            F.raise_error(F.concat(F.lit("no scorer named "), F.array_join(unknown, ","))),
+        )
+        .when(
+            F.size(F.array_distinct(reported)) < F.size(reported),
+            F.raise_error(F.concat(F.lit("two scorers of one metric in "), F.array_join(asked, ","))),
+        )
+        .otherwise(asked)
+    )
+
+
 def score_multi_metric(
     df: DataFrame, scorers: dict[str, Scorer] | None = None, asked: str = "metrics"
 ) -> DataFrame:
     """Score each (text, gold) by the scorers its row names, and by no others.
 
     All scores of a row come out of one projection; the text is not repeated per
-    metric. A name without a scorer is an error.
+    metric. A name without a scorer is an error, and so are two scorers of one metric.
     """
     scorers = SCORERS if scorers is None else scorers
-    unknown = F.array_except(F.col(asked), F.array(*[F.lit(name) for name in scorers]))
-    known = F.when(F.size(unknown) == 0, F.col(asked)).otherwise(
-        F.raise_error(F.concat(F.lit("no scorer named "), F.array_join(unknown, ",")))
-    )
     return _rows_per_score(
-        df.withColumn(asked, known),
+        df.withColumn(asked, _known(F.col(asked), scorers)),
         asked,
         scorers,
         lambda name, s: s(F.col("text"), F.col("gold")),
@@ -234,32 +255,54 @@ def score_multi_metric(
 
 def score_responses(
     responses: DataFrame, prompts: DataFrame, tasks: DataFrame, scorers=None
-) -> DataFrame:
+) -> Checked:
     """Sample scores of generated responses.
 
     ``responses`` (model, task, item_id, texts), ``prompts`` (task, item_id, gold),
-    ``tasks`` (task, metrics, stops). Each response is cut at its task's stop
-    strings and reduced to what its scorers extract; only that is joined to the
-    gold answers on (task, item_id). Responses to unknown tasks have no scorers and
-    give no scores.
+    ``tasks`` (task, metrics, stops). Every prompt is scored for every model that was run
+    on its task; one without a response scores as no response does. Each response is cut at
+    its task's stop strings and reduced to what its scorers extract; only that is joined to
+    the gold answers on (task, item_id). A name without a scorer is an error. Responses to a
+    task or an item that is not there are rejected with the reason.
     """
     scorers = SCORERS if scorers is None else scorers
+    asked = tasks.select("task", _known(F.col("metrics"), scorers).alias("metrics"), "stops")
     text = T.cut_at_stops(T.first_response(F.col("texts")), F.col("stops"))
-    asked = tasks.select("task", "metrics", "stops")
-    cut = join_measured(responses, asked, "task", "item_id").select(
+    cut = responses.join(asked, "task", "left").select(
         "model", "task", "item_id", "metrics", text.alias("text")
     )
-    extracted = cut.select(
+    extracted = cut.where(F.col("metrics").isNotNull()).select(
         "model",
         "task",
         "item_id",
-        "metrics",
         *[
             F.when(F.array_contains("metrics", name), s.extract(F.col("text"))).alias(f"_{name}")
             for name, s in scorers.items()
         ],
     )
-    joined = extracted.join(prompts.select("task", "item_id", "gold"), ["task", "item_id"])
-    return _rows_per_score(
+    # One row a task, with the models that were run on it; set apart from how it was made, so
+    # that the join can be split where a task has most prompts.
+    run = responses.groupBy("task").agg(F.array_sort(F.collect_set("model")).alias("_models"))
+    run = asked.select("task", "metrics").join(run, "task").hint("rebalance")
+    items = prompts.select("task", "item_id", "gold")
+    wanted = items.join(run, "task").select(
+        "task", "item_id", "gold", "metrics", F.explode("_models").alias("model")
+    )
+    joined = wanted.join(extracted, ["model", "task", "item_id"], "left")
+    scores = _rows_per_score(
         joined, "metrics", scorers, lambda name, s: s.compare(F.col(f"_{name}"), F.col("gold"))
     )
+    there = responses.select("model", "task", "item_id").join(
+        asked.select("task", F.lit(True).alias("_asked")), "task", "left"
+    )
+    known = items.select("task", "item_id").distinct()
+    lost = there.join(known, ["task", "item_id"], "left_anti")
+    reason = F.when(F.col("_asked").isNull(), "no such task").otherwise("no such item")
+    return Checked(
+        accepted=scores, rejected=lost.select("model", "task", "item_id", reason.alias("reason"))
+    )
+
+
+def count_rejects(rejected: DataFrame) -> DataFrame:
+    """Rejected responses per model, task and reason."""
+    return rejected.groupBy("model", "task", "reason").agg(F.count(F.lit(1)).alias("n"))

@@ -18,10 +18,12 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.window.group.limit.threshold": "20000",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
 _local_folders: dict[str, str] = {}
+_own_folders: set[str] = set()
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -47,8 +49,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path not used before, below the shared folder."""
-    return f"{shared_folder(spark)}/scoreloom/{name}-{uuid.uuid4().hex}"
+    """A path not used before, below a folder of this application in the shared folder.
+
+    The folder is removed when the application ends.
+    """
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/scoreloom/{app}"
+    if folder not in _own_folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _own_folders.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove what a job has written below the shared folder and is done with."""
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -26,11 +26,25 @@ def scan_result_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def decode(files: DataFrame) -> DataFrame:
+    """(json_path, payload), the payload null for a file that is not JSON.
+
+    An object that repeats a key keeps the last value, which this session's reader of
+    variants is set to.
+    """
+    files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return files.select("json_path", parse_payload(F.col("value")).alias("payload"))
+
+
 def parse_results_tolerant(files: DataFrame) -> Checked:
-    """Decode each file; those that are not JSON are set apart, not fatal."""
-    parsed = files.withColumn("payload", parse_payload(F.col("value")))
+    """Decode each file; those that are not JSON are set apart, not fatal.
+
+    What goes on to ``task_entries`` needs no filter and is better taken from ``decode``:
+    the condition would decode every payload a second time.
+    """
+    parsed = decode(files)
     return Checked(
-        accepted=parsed.where(F.col("payload").isNotNull()).select("json_path", "payload"),
+        accepted=parsed.where(F.col("payload").isNotNull()),
         rejected=parsed.where(F.col("payload").isNull()).select(
             "json_path", F.lit("not JSON").alias("reason")
         ),

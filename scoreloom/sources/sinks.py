@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.results import quoted, result_payloads, split_by_metric
 
 
-def write_csv(report: DataFrame, path: str, columns=None, one_file: bool = True) -> None:
+def write_csv(report: DataFrame, path: str, columns=None, one_file: bool = False) -> None:
     """Header and rows, missing cells empty; columns not asked for are left out.
 
-    One file suits a report with a row per model. Tables that grow with the number
-    of result files are written in parts, each with a header.
+    Written in parts, each with a header. ``one_file`` suits a report with a row per model:
+    it is sorted by its first column and written by one task.
     """
     if columns is not None:
         report = report.select(*map(quoted, columns))
     if one_file:
-        report = report.coalesce(1)
+        report = report.repartition(1).sortWithinPartitions(quoted(report.columns[0]))
     report.write.option("header", True).option("nullValue", "").option(
         "emptyValue", ""
     ).option("escape", '"').csv(path)
 
 
-def write_csv_per_metric(report: DataFrame, path: str, one_file: bool = True) -> dict[str, str]:
+def write_csv_per_metric(report: DataFrame, path: str, one_file: bool = False) -> dict[str, str]:
     """One table per metric, at ``<stem>_<metric><suffix>``; returns the paths."""
     folder, _, name = path.rpartition("/")
     stem, dot, suffix = name.rpartition(".")
@@ -46,7 +49,14 @@ def write_sample_details(samples: DataFrame, path: str) -> None:
     gathered.write.partitionBy("model", "task").parquet(path)
 
 
-def write_result_payloads(scores: DataFrame, path: str) -> None:
-    """One JSON object per model, in folders by model."""
-    payloads = result_payloads(scores)
-    payloads.write.partitionBy("model").option("ignoreNullFields", False).json(path)
+def write_result_payloads(scores: DataFrame, path: str, run_time: str | None = None) -> None:
+    """One JSON object per model, in folders by run and model.
+
+    ``run_time`` (now, unless given) sorts as time does; a later run below the same path
+    adds its folders, and readers take the latest cell of each model and task.
+    """
+    run = run_time or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H-%M-%S.%f")
+    payloads = result_payloads(scores, run).withColumn("run", F.lit(run))
+    payloads.write.mode("append").partitionBy("run", "model").option(
+        "ignoreNullFields", False
+    ).json(path)

@@ -50,18 +50,22 @@ def test_long_conversations_pair_and_drop_alike(spark):
         assert sorted(map(str, job(df, 4).collect())) == sorted(map(str, job(df).collect()))
 
 
-def test_history_is_whole_across_blocks(spark):
-    data = gapped()
+def test_history_is_whole_at_any_length(spark):
+    data = gapped() + [(7, t, ["user", "assistant"][t % 2], f"7-{t}") for t in range(1, 521)]
+    data.append((7, 0, "system", "s"))
     df = frame(spark, data)
-    size = 8
-    blocks = {(r.conv_id, r.block): [m.text for m in r.messages] for r in C.history_blocks(df, size).collect()}
-    seen = C.history_at_turn(df, size).collect()
+    seen = C.history_at_turn(df).collect()
     assert len(seen) == sum(1 for r in data if r[2] == "user")
     for r in seen:
-        earlier = [t for b in range(r.block) for t in blocks.get((r.conv_id, b), [])]
         want = [x[3] for x in sorted(data) if x[0] == r.conv_id and x[1] <= r.turn]
-        assert earlier + [m.text for m in r.messages] == want
-        assert len(r.messages) <= size
+        assert [m.text for m in r.messages] == want
+    assert max(len(r.messages) for r in seen) == 521
+
+
+def test_history_blocks_hold_every_message_once(spark):
+    data = gapped()
+    got = [m.text for r in C.history_blocks(frame(spark, data), 8).collect() for m in r.messages]
+    assert sorted(got) == sorted(r[3] for r in data)
 
 
 def test_system_turn(spark):
@@ -93,6 +97,9 @@ def test_pairs_and_unanswered(spark):
     )
     assert rows_of(C.prompt_completion_pairs(df), "turn", "prompt", "completion") == [(2, "q2", "a2")]
     assert rows_of(C.drop_unanswered_turns(df), "position", "text") == [(0, "s"), (1, "q2"), (2, " a2\n")]
+    lost = frame(spark, [(1, 0, "user", "q"), (1, 1, "assistant", None), (1, 2, "user", "r"), (1, 3, "assistant", "b")])
+    assert rows_of(C.prompt_completion_pairs(lost), "turn") == [(2,)]
+    assert rows_of(C.drop_unanswered_turns(lost), "position", "text") == [(0, "r"), (1, "b")]
 
 
 def test_single_turn_prompts(spark):
@@ -108,10 +115,21 @@ def test_empty_replies(spark):
     assert rows_of(C.failure_rates(df), "model", "requests", "failures") == [("m", 2, 1), ("n", 1, 0)]
 
 
-def test_usual_conversations_need_one_shuffle(spark):
-    df = frame(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a")]).repartition(3)
-    plan = C.prompt_completion_pairs(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+def test_nothing_runs_before_it_is_asked_for(spark):
+    df = frame(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a")])
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    C.chat_history(df)
+    C.prompt_completion_pairs(df)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("lazy") == []
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_negative_turns_are_cut_too(spark):
+    data = [(1, t, ["user", "assistant"][t % 2], str(t)) for t in range(-20, 20)]
+    df = frame(spark, data)
+    for size in (3, 7, 1000):
+        got = C.drop_unanswered_turns(df, size)
+        assert rows_of(got, "position", "text") == [(i, str(t)) for i, t in enumerate(range(-20, 20))]
 
 
 def test_chat_history(spark):
@@ -123,9 +141,3 @@ def test_chat_history(spark):
     want = [(0, "system", "s"), (1, "user", "hi"), (2, "assistant", "a"), (3, "user", "more"), (4, "assistant", "b")]
     for size in (3, ordered.BLOCK):
         assert rows_of(C.chat_history(df, "s", size), "position", "role", "text") == want
-
-
-def test_steps_share_one_shuffle(spark):
-    df = frame(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a")]).repartition(3)
-    plan = C.drop_unanswered_turns(C.truncate_at_sentinel(df))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1

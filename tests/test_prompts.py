@@ -156,16 +156,24 @@ def test_limit_per_task_on_a_hot_task(spark):
             assert r.ids == every[:n]
 
 
-def test_limit_reaches_the_scan(spark, tmp_path):
-    path = str(tmp_path / "rows")
-    rows = spark.range(1000).select(
-        F.concat(F.lit("t"), (F.col("id") % 2).cast("string")).alias("task"), F.col("id").alias("item_id"), F.uuid().alias("text")
-    )
-    rows.write.parquet(path)
-    first = sampling.limit_per_task(spark.read.parquet(path), 5)
-    plan = first._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(item_id,9)" in plan
-    assert sorted(r.item_id for r in first.collect()) == list(range(10))
+def test_limit_waits_until_it_is_asked_for(spark):
+    df = spark.createDataFrame([("t", 1, "q", "a")], "task string, item_id long, query string, answer string")
+    spark.sparkContext.setJobGroup("lazy limit", "lazy")
+    sampling.attach_few_shots(sampling.limit_per_task(df, 1), df, 2, allow_none=True)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("lazy limit") == []
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_limit_with_null_ids_and_tasks(spark):
+    rows = [("t", None), ("t", 1), ("t", 2), ("t", 3), (None, 5), (None, 4), (None, None), ("u", None), ("u", None)]
+    df = spark.createDataFrame(rows, "task string, item_id long")
+    for n in (1, 2, 3, 4):
+        got = sorted(map(tuple, sampling.limit_per_task(df, n).collect()), key=str)
+        want = []
+        for task in ("t", None, "u"):
+            own = sorted((i for t, i in rows if t == task), key=lambda i: (i is None, i or 0))
+            want += [(task, i) for i in own[:n]]
+        assert got == sorted(want, key=str)
 
 
 def test_limit_with_repeated_ids_and_no_rows(spark):
@@ -182,7 +190,7 @@ def few_shot_rows(spark):
 
 def test_few_shots_leave_the_item_itself_out(spark):
     pool = few_shot_rows(spark)
-    got = {r.item_id: r.query for r in sampling.attach_few_shots(pool, pool, 2).collect()}
+    got = {r.item_id: r.query for r in sampling.attach_few_shots(pool, pool, 2, allow_none=True).collect()}
     assert got == {
         0: "q1 a1\n\nq2 a2\n\nq0",
         1: "q0 a0\n\nq2 a2\n\nq1",
@@ -192,15 +200,28 @@ def test_few_shots_leave_the_item_itself_out(spark):
     }
 
 
-def test_few_shots_by_row_and_without_broadcast(spark):
+def test_few_shots_by_row(spark):
     pool = few_shot_rows(spark)
     asked = pool.withColumn("shots", (F.col("item_id") % 3).cast("int"))
     got = {r.item_id: r.query for r in sampling.attach_few_shots(asked, pool, F.col("shots"), 2).collect()}
     assert got[0] == "q0" and got[1] == "q0 a0\n\nq1" and got[2] == "q0 a0\n\nq1 a1\n\nq2"
-    small = spark.createDataFrame([("t", "x"), ("u", "y")], "task string, extra string")
-    wide = sampling.join_measured(pool, small, "task", "item_id")
-    salted = sampling.join_measured(pool, small, "task", "item_id", limit=0, salts=4)
-    assert sorted(map(str, wide.collect())) == sorted(map(str, salted.select(wide.columns).collect()))
+
+
+def test_shots_without_examples_are_an_error(spark):
+    pool = few_shot_rows(spark)
+    with pytest.raises(PySparkException, match="no examples for task u"):
+        sampling.attach_few_shots(pool, pool, 1).collect()
+    with pytest.raises(PySparkException, match="no examples for task t"):
+        sampling.attach_few_shots(pool.where("task = 't'"), pool.limit(0), 5).collect()
+
+
+def test_null_options(spark):
+    rows = [("q", [("A", "x"), ("B", None)], "A")]
+    schema = "question string, answers array<struct<key:string,text:string>>, solution string"
+    good, _ = built(spark, rows, schema, "inline_options")
+    assert "Options: A) x, B) None\n" in good[0].query
+    good, bad = built(spark, [("q", ["x", None], "A"), ("q", ["x", "y"], "A")], "question string, choices array<string>, answer string", "multi_answer")
+    assert len(good) == 1 and bad == {0: ("choice without text", ["1"])}
 
 
 def test_few_shots_of_zero_change_nothing(spark):

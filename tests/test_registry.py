@@ -65,7 +65,7 @@ def test_evaluations_end_to_end(spark):
     responses = spark.createDataFrame([("m", "t", 1, ["A"]), ("m", "t", 2, ["B"])], "model string, task string, item_id long, texts array<string>")
     prompts = spark.createDataFrame([("t", 1, " A"), ("t", 2, " A")], "task string, item_id long, gold string")
     tasks = spark.createDataFrame([("t", registry.FULL, ["\n"])], "task string, metrics array<string>, stops array<string>")
-    scores = evaluation.evaluate_generated(responses, prompts, tasks)
+    scores = evaluation.evaluate_generated(responses, prompts, tasks).accepted
     assert {(r.task, r.metric): r.value for r in scores.collect()} == {
         (t, m): 0.5 for t in ("t", "all") for m in ("acc", "em", "pem")
     }

@@ -2,12 +2,14 @@ import csv
 import json
 import os
 
+import pytest
 from conftest import column
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from scoreloom import session
 from scoreloom.operators import aggregate, results
-from scoreloom.plans import evaluation
+from scoreloom.plans import evaluation, registry
 from scoreloom.sources import benchmark, result_files, sinks, task_lists
 
 
@@ -44,7 +46,9 @@ def sample_folder(root):
 def test_pivoted_report(spark, tmp_path):
     sample_folder(tmp_path / "in")
     out = str(tmp_path / "out" / "report.csv")
-    assert evaluation.collect_report(spark, str(tmp_path / "in"), out) == 3
+    report = evaluation.collect_report(spark, str(tmp_path / "in"), out, one_file=True)
+    assert report.rows == 3 and report.paths == {"": out}
+    assert [tuple(r) for r in report.rejected.collect()] == [(str(tmp_path / "in/o/bad.json"), "not JSON")]
     assert read_csv(out) == [
         ["model", "t|0_acc", "t|0_acc_stderr", "u|5_em"],
         ["m1", "0.75", "0.5", "1"],
@@ -56,7 +60,7 @@ def test_pivoted_report(spark, tmp_path):
 def test_report_without_stderr_and_by_metric(spark, tmp_path):
     sample_folder(tmp_path / "in")
     out = str(tmp_path / "report.csv")
-    evaluation.collect_report(spark, str(tmp_path / "in"), out, include_stderr=False, split=True)
+    evaluation.collect_report(spark, str(tmp_path / "in"), out, include_stderr=False, split=True, one_file=True)
     assert read_csv(str(tmp_path / "report_acc.csv"))[0] == ["model", "t|0_acc"]
     assert read_csv(str(tmp_path / "report_em.csv"))[1] == ["m1", "1"]
     assert not os.path.exists(out)
@@ -65,7 +69,7 @@ def test_report_without_stderr_and_by_metric(spark, tmp_path):
 def test_long_report(spark, tmp_path):
     sample_folder(tmp_path / "in")
     out = str(tmp_path / "long.csv")
-    assert evaluation.collect_report(spark, str(tmp_path / "in"), out, pivot=False) == 5
+    assert evaluation.collect_report(spark, str(tmp_path / "in"), out, pivot=False).rows == 5
     rows = read_csv(out, parts=None)
     assert len(rows) == 6
     assert rows[0] == ["model", "task", "json_path", "acc", "acc_stderr", "em"]
@@ -75,7 +79,7 @@ def test_long_report(spark, tmp_path):
 
 def test_no_rows_write_nothing(spark, tmp_path):
     put(tmp_path, "in/x.json", "{}")
-    assert evaluation.collect_report(spark, str(tmp_path / "in"), str(tmp_path / "out.csv")) == 0
+    assert evaluation.collect_report(spark, str(tmp_path / "in"), str(tmp_path / "out.csv")).rows == 0
     assert not (tmp_path / "out.csv").exists()
 
 
@@ -93,6 +97,62 @@ def test_tolerant_parsing(spark):
     assert found[("d/5.json", "a")] == (None, '{"x":1}') and len(found) == 3
 
 
+def test_a_repeated_key_keeps_the_last_value(spark):
+    checked = parsed(spark, '{"results":{"t":{"a":1,"a":2}}}')
+    assert column(results.flatten_results(results.task_entries(checked.accepted)), "value") == [2.0]
+
+
+def test_payloads_are_decoded_once(spark):
+    files = spark.createDataFrame([("a/b.json", "{}")], "json_path string, value string")
+    long = results.flatten_results(results.task_entries(result_files.decode(files)))
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") <= 2 or plan.count("parseJson") <= 2
+    assert "Filter" not in plan.split("Generate variant_explode")[-1]
+
+
+def test_the_later_run_wins_whatever_its_file_is_called(spark, tmp_path):
+    for name, time, value in (("z", "2025-01-02", 0.25), ("a", "2025-01-03", 0.75)):
+        put(tmp_path, f"{name}.json", run("m", {"t|0": {"acc": value}}, run_time=time))
+    files = result_files.scan_result_files(spark, str(tmp_path))
+    cells = results.latest_cells(results.flatten_results(results.task_entries(result_files.decode(files))))
+    assert column(cells, "value") == [0.75]
+    scores = spark.createDataFrame([("m", "t", "acc", 0.5, 0.1, 3)], "model string, task string, metric string, value double, stderr double, shots int")
+    sinks.write_result_payloads(scores, str(tmp_path / "p"), "2025-05-05")
+    sinks.write_result_payloads(scores.withColumn("value", F.lit(0.1)), str(tmp_path / "p"), "2025-05-04")
+    files = result_files.scan_result_files(spark, str(tmp_path / "p"))
+    cells = results.latest_cells(results.flatten_results(results.task_entries(result_files.decode(files))))
+    assert {(r.task, r.metric): r.value for r in cells.collect()} == {("t|3", "acc"): 0.5, ("t|3", "acc_stderr"): 0.1}
+
+
+def test_more_names_than_asked_for_are_an_error(spark):
+    checked = parsed(spark, {"results": {"t": {f"m{i}": i for i in range(5)}}})
+    entries = results.task_entries(checked.accepted)
+    with pytest.raises(ValueError, match="more than 4"):
+        evaluation.lay_out(entries, most=4)
+    assert len(evaluation.lay_out(entries, most=5).columns) == 6
+
+
+def test_metric_names_with_quotes(spark):
+    checked = parsed(spark, {"results": {"t": {'a"b': 1.5, "c'd": 2}}})
+    row = results.results_long_table(results.task_entries(checked.accepted)).first()
+    assert (row['a"b'], row["c'd"]) == ("1.5", "2")
+
+
+def test_what_is_written_goes_with_the_application():
+    import subprocess
+    import sys
+    import tempfile
+
+    shared = tempfile.mkdtemp()
+    code = (
+        "from pyspark.sql import SparkSession\nfrom scoreloom import session\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', {shared!r}).getOrCreate()\n"
+        "assert session.written(s.range(3), 'x').count() == 3\ns.stop()\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, cwd=os.path.dirname(os.path.dirname(__file__)))
+    assert os.listdir(os.path.join(shared, "scoreloom")) == []
+
+
 def test_model_names(spark):
     one = {"t": {"a": 1}}
     checked = parsed(
@@ -164,6 +224,18 @@ def test_task_lists(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("a:b", 0), ("c:d", 5)]
 
 
+def test_specifications_become_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(task_lists, "LIST_FOLDER", str(tmp_path))
+    (tmp_path / "list.txt").write_text("secure:maet|2\nsecbench:mcq-en|0", encoding="utf-8")
+    reg = registry.task_registry(spark)
+    got = evaluation.listed_tasks(spark, ["mmlu:cs_security|5, secure:cwet", str(tmp_path / "list.txt")], reg, 1)
+    assert sorted((r.task, r.shots) for r in got.collect()) == [
+        ("mmlu:cs_security", 5), ("secbench:mcq-en", 0), ("secure:cwet", 1), ("secure:maet", 2),
+    ]
+    with pytest.raises(PySparkException, match="no task named nope"):
+        evaluation.listed_tasks(spark, ["nope"], reg).collect()
+
+
 def test_task_specs(spark):
     cases = {
         "a, b|5 ,,c|x": ["a|2", "b|5", "c|x|2"],
@@ -197,7 +269,7 @@ def test_sample_details(spark, tmp_path):
 
 def test_csv_quotes(spark, tmp_path):
     df = spark.createDataFrame([('a"b,c', "x\ny", None)], "model string, `p|0` string, q string")
-    sinks.write_csv(df, str(tmp_path / "c.csv"), ["model", "p|0", "q"])
+    sinks.write_csv(df, str(tmp_path / "c.csv"), ["model", "p|0", "q"], one_file=True)
     assert read_csv(str(tmp_path / "c.csv")) == [["model", "p|0", "q"], ['a"b,c', "x\ny", ""]]
 
 

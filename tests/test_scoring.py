@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.severity import with_base_score
 from scoreloom.operators import aggregate, scoring
+from scoreloom.plans import evaluation
 
 BARE = "AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"
 
@@ -126,8 +127,15 @@ def test_loglikelihood_ties(spark):
     for n in (4, 7, None):
         got = {r.item_id: (r.picked, r.value) for r in scoring.loglikelihood_choice(df, n).collect()}
         assert got == {1: (1, 1.0), 2: (0, 0.0)}
-    with pytest.raises(PySparkException, match="more choices than expected in t"):
+    with pytest.raises(PySparkException, match="choice out of range in t"):
         scoring.loglikelihood_choice(df, 3).collect()
+    below = df.withColumn("choice_idx", F.col("choice_idx") - 1)
+    holes = df.withColumn("logprob", F.when(F.col("item_id") == 1, F.when(F.col("choice_idx") == 0, -9.0)))
+    for n in (4, None):
+        with pytest.raises(PySparkException, match="choice out of range in t"):
+            scoring.loglikelihood_choice(below, n).collect()
+        got = {r.item_id: (r.picked, r.value) for r in scoring.loglikelihood_choice(holes, n).collect()}
+        assert got == {1: (0, 0.0), 2: (None, 0.0)}
     arrays = df.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("choice_idx", "logprob"))).alias("c"))
     best = arrays.select("item_id", scoring.best_choice(F.transform("c", lambda x: x["logprob"])).alias("b"))
     assert {r.item_id: r.b for r in best.collect()} == {1: 1, 2: 0}
@@ -185,10 +193,50 @@ def test_score_responses_joins_what_was_extracted(spark):
         [("t", ["mcq_regex", "exact_match"], ["\n"]), ("u", ["weakness_id"], None)],
         "task string, metrics array<string>, stops array<string>",
     )
-    got = {(r.task, r.item_id, r.metric): r.value for r in scoring.score_responses(responses, prompts, tasks).collect()}
+    checked = scoring.score_responses(responses, prompts, tasks)
+    got = {(r.task, r.item_id, r.metric): r.value for r in checked.accepted.collect()}
+    assert checked.rejected.count() == 0
     assert got == {
         ("t", 1, "acc"): 1.0, ("t", 1, "em"): 1.0,
         ("t", 2, "acc"): 0.0, ("t", 2, "em"): 0.0,
         ("t", 3, "acc"): 0.0, ("t", 3, "em"): 0.0,
         ("u", 1, "acc"): 1.0,
     }
+
+
+def test_what_was_not_answered_scores_zero(spark):
+    schema = "model string, task string, item_id long, texts array<string>"
+    responses = spark.createDataFrame([("m", "t", 1, ["A"]), ("m", "v", 1, ["A"]), ("m", "t", 9, ["A"]), ("n", "u", 1, ["A"])], schema)
+    prompts = spark.createDataFrame([("t", 1, " A"), ("t", 2, " A"), ("u", 1, " A")], "task string, item_id long, gold string")
+    tasks = spark.createDataFrame(
+        [("t", ["mcq_regex"], None), ("u", ["mcq_regex"], None)], "task string, metrics array<string>, stops array<string>"
+    )
+    checked = evaluation.evaluate_generated(responses, prompts, tasks)
+    got = {(r.model, r.task): (r.value, r.n) for r in checked.accepted.collect()}
+    assert got == {("m", "t"): (0.5, 2), ("m", "all"): (0.5, 2), ("n", "u"): (1.0, 1), ("n", "all"): (1.0, 1)}
+    assert {tuple(r) for r in checked.rejected.collect()} == {("m", "v", "no such task", 1), ("m", "t", "no such item", 1)}
+    wrong = tasks.withColumn("metrics", F.array(F.lit("nope")))
+    with pytest.raises(PySparkException, match="no scorer named nope"):
+        scoring.score_responses(responses, prompts, wrong).accepted.collect()
+
+
+def test_two_scorers_of_one_metric(spark):
+    df = spark.createDataFrame(
+        [("m", "t", 1, "A", "A", ["mcq_regex", "weakness_id"])],
+        "model string, task string, item_id int, text string, gold string, metrics array<string>",
+    )
+    with pytest.raises(PySparkException, match="two scorers of one metric"):
+        scoring.score_multi_metric(df).collect()
+    rows = [("m", "t", "acc", "a", 1.0), ("m", "t", "acc", "b", 0.0)]
+    samples = spark.createDataFrame(rows, "model string, task string, metric string, scorer string, value double")
+    assert sorted((r.scorer, r.value) for r in aggregate.task_scores(samples).collect()) == [("a", 1.0), ("b", 0.0)]
+
+
+def test_delta_and_judged(spark):
+    rows = [("a", "s", "acc", 0.5), ("b", "s", "acc", 0.75), ("b", "x", "acc", 1.0)]
+    scores = spark.createDataFrame(rows, "model string, suite string, metric string, value double")
+    got = {(r.model, r.suite): r.delta for r in aggregate.model_delta(scores, "a").collect()}
+    assert got == {("a", "s"): 0.0, ("b", "s"): 25.0, ("b", "x"): None}
+    judged = spark.createDataFrame([("a", "d", 1, 4.0), ("a", "d", 2, None), ("a", "d", 3, 8.0)], "model string, dimension string, item_id int, score double")
+    row = aggregate.judge_score_rollup(judged).first()
+    assert (row.value, row.n, row.n_unjudged) == (6.0, 2, 1)

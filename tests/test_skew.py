@@ -1,12 +1,11 @@
 """One key holds most rows: the work must be split and the results unchanged."""
 
 import contextlib
-import functools
 
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import conversations, sampling, scoring
+from scoreloom.operators import conversations, scoring
 
 
 @contextlib.contextmanager
@@ -43,26 +42,28 @@ def final_plan(df):
     return rows, df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_a_hot_item_is_split(spark, tiny_partitions):
-    n = 60000
+def test_a_hot_task_is_split(spark, tiny_partitions):
+    n = 30000
     ids = spark.range(0, n, 1, 8)
-    item = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
-    responses = ids.select(
-        F.concat(F.lit("m"), "id").alias("model"),
-        F.lit("t").alias("task"),
-        item.alias("item_id"),
-        F.array(F.when(F.col("id") % 2 == 0, "A").otherwise("B")).alias("texts"),
+    task = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 50).cast("string")))
+    prompts = ids.select(task.alias("task"), F.col("id").alias("item_id"), F.lit(" A").alias("gold"))
+    responses = prompts.where("item_id % 7 > 0").select(
+        F.lit("m").alias("model"),
+        "task",
+        "item_id",
+        F.array(F.when(F.col("item_id") % 2 == 0, "A").otherwise("B")).alias("texts"),
     )
-    prompts = ids.select(F.lit("t").alias("task"), F.col("id").alias("item_id"), F.lit(" A").alias("gold"))
     tasks = spark.createDataFrame(
-        [("t", ["mcq_regex"], None)], "task string, metrics array<string>, stops array<string>"
+        [(t, ["mcq_regex"], ["\n"]) for t in ["hot", *(f"t{i}" for i in range(50))]],
+        "task string, metrics array<string>, stops array<string>",
     )
-    rows, plan = final_plan(scoring.score_responses(responses, prompts, tasks))
-    assert len(rows) == n and sum(r.value for r in rows) == n / 2
+    rows, plan = final_plan(scoring.score_responses(responses, prompts, tasks).accepted)
+    assert len(rows) == n
+    assert sum(r.value for r in rows) == sum(1 for i in range(n) if i % 7 and i % 2 == 0)
     assert "skew=true" in plan
 
 
-def test_a_hot_conversation_is_split(spark, tiny_partitions, monkeypatch):
+def test_a_hot_conversation_is_split(spark, tiny_partitions):
     n = 60000
     turns = spark.range(0, n, 1, 8).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise((F.col("id") / 10).cast("long") + 1).alias("conv_id"),
@@ -72,12 +73,8 @@ def test_a_hot_conversation_is_split(spark, tiny_partitions, monkeypatch):
     )
     cut = {0: 30000, 3000: 29999}
     want = sum(1 for i in range(n) if i < cut.get(0 if i % 3 == 0 else i // 10 + 1, n))
-    for size in (1000, 10 * n):
-        assert conversations.truncate_at_sentinel(turns, size=size).count() == want
-    monkeypatch.setattr(conversations, "join_measured", functools.partial(sampling.join_measured, limit=0))
-    salted = conversations.truncate_at_sentinel(turns, size=1000)
-    assert salted.count() == want and salted.columns == turns.columns
-    assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
+    rows, plan = final_plan(conversations.truncate_at_sentinel(turns))
+    assert len(rows) == want and "skew=true" in plan
 
 
 def test_long_conversations_are_cut_into_blocks(spark):
@@ -92,5 +89,3 @@ def test_long_conversations_are_cut_into_blocks(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(conv_id" in plan and "_block" in plan
     assert pairs.where(F.col("prompt").cast("int") + 1 == F.col("completion").cast("int")).count() == n / 2
-    histories = conversations.history_at_turn(turns, 50)
-    assert histories.agg(F.max(F.size("messages"))).first()[0] <= 50

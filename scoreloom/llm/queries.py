@@ -18,6 +18,9 @@ from . import (
     toxicity,
     url_filter,
 )
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +101,3 @@ QUERIES = {
         op10_mixing,
     )
 }
-
-ORACLE: dict[str, str] = {}

@@ -34,14 +34,9 @@ SITE_RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-#: Globs for what no site rule decides.
-GLOB_RULES = (
-    ("*casino*/**", "block"),
-    ("*free-bets*/**", "block"),
-    ("*porn*/**", "block"),
-    ("*viagra*/**", "block"),
-    ("**/wp-login**", "block"),
-)
+#: Words in a host, and the start of a path, that block what no site rule decides.
+BLOCKED_HOSTS = ("casino", "free-bets", "porn", "viagra")
+BLOCKED_PATHS = ("wp-login",)
 DECISIONS = "host string, path string, rule string, verdict string"
 
 
@@ -62,8 +57,10 @@ def site_rules(sites=SITE_RULES) -> list[Rule]:
     ]
 
 
-def glob_rules(globs=GLOB_RULES) -> list[Rule]:
-    return [Rule(glob, verdict) for glob, verdict in globs]
+def glob_rules(hosts=BLOCKED_HOSTS, paths=BLOCKED_PATHS) -> list[Rule]:
+    """Globs without a name: a word anywhere in the host, a path segment's start."""
+    in_host = [Rule(f"*{word}*{rest}", "block") for word in hosts for rest in ("", "/**")]
+    return in_host + [Rule(f"**/{word}**", "block") for word in paths]
 
 
 @dataclass

@@ -8,7 +8,7 @@ trained together in numpy by gradient steps. A document is as toxic as its most
 passage: a few words among thousands would vanish in one average over all. Training
 follows this: after a first round on all passages, only the most toxic passages of a
 toxic document count as toxic. Two last parameters turn the highest logit into a
-probability, fitted on the documents learned from.
+probability, set on the documents learned from.
 
 Learned from at most ``max_rows`` labelled documents of each class, the ones with the
 smallest hash of their key, whole, up to ``max_chars`` characters together. The table
@@ -41,10 +41,15 @@ WIDTH = 8
 PASSAGE = 16
 SIZES = (3, 4, 5, 6)
 MAX_ROWS = 2500
-MAX_CHARS = 24_000_000
+MAX_CHARS = 12_000_000
 ROUNDS = 4
-#: Words whose score a task remembers.
+#: Passages of a gradient step; a round goes over its passages until it made so many steps.
+BATCH, STEPS = 128, 300
+#: Where one half lies in the gap between clean and toxic documents.
+GAP = 0.4
+#: Words whose score a task remembers, and words whose n-grams are taken at once.
 REMEMBERED = 400_000
+AT_ONCE = 20_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -55,6 +60,11 @@ def words_of(text: str | None) -> list[str]:
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of the n-grams of all words, and how many each word has (one at least)."""
+    parts = [_grams(words[a : a + AT_ONCE]) for a in range(0, len(words), AT_ONCE)]
+    return np.concatenate([r for r, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w}>".encode() for w in words]
     lengths = np.array([len(m) for m in marked], np.int64)
     text = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
@@ -68,7 +78,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         value[begin] = value[begin] * np.uint64(1_000_003) + text[begin + size - 1] + np.uint64(size)
         if size in SIZES:
             mixed = value[begin] * np.uint64(0x9E3779B97F4A7C15)
-            found.append((mixed >> np.uint64(64 - BITS)).astype(np.int64))
+            found.append((mixed >> np.uint64(64 - BITS)).astype(np.int32))
             of.append(word[begin])
     rows_, of_ = np.concatenate(found), np.concatenate(of)
     order = np.argsort(of_, kind="stable")
@@ -103,10 +113,17 @@ class Scorer:
             sums = np.add.reduceat(self.model.weights[rows_], np.cumsum(counts) - counts)
             known.update(zip(new, (sums / counts).tolist()))
             values = list(map(known.get, words))
-        return self.highest(np.array(values))
-
-    def highest(self, values: np.ndarray) -> float:
-        """Over all stretches of PASSAGE words, each begun half a stretch after the last."""
+        return self.highest(words, np.array(values))
+
+    def highest(self, words: list, values: np.ndarray) -> float:
+        """Over all stretches of PASSAGE words, each begun half a stretch after the last. A
+        word that stands again within a stretch counts once."""
+        seen: dict = {}
+        for i in np.flatnonzero(values > 0).tolist():
+            if i - seen.get(words[i], -PASSAGE) < PASSAGE:
+                values[i] = 0
+            else:
+                seen[words[i]] = i
         sums = np.append(0, np.cumsum(values))
         begin = np.arange(0, max(1, len(values) - PASSAGE // 2), PASSAGE // 2)
         end = np.minimum(begin + PASSAGE, len(values))
@@ -121,9 +138,11 @@ def train(texts: list[str], toxic: list[bool], seed: int = 11) -> Model | None:
     if len(set(toxic)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    cut = [words_of(t) for t in texts]
     vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in cut]
+    ids = [
+        np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32)
+        for t in texts
+    ]
     if not vocabulary:
         return None
     rows_, counts = grams(list(vocabulary))
@@ -131,7 +150,7 @@ def train(texts: list[str], toxic: list[bool], seed: int = 11) -> Model | None:
     passages, owner = [], []
     for d, own in enumerate(ids):
         for a in range(0, len(own), PASSAGE):
-            passages.append(own[a : a + PASSAGE])
+            passages.append(np.unique(own[a : a + PASSAGE]))
             owner.append(d)
     owner, label = np.array(owner), np.array(toxic, np.int64)
     table = rng.normal(0, 0.1, (1 << BITS, WIDTH))
@@ -171,29 +190,42 @@ def train(texts: list[str], toxic: list[bool], seed: int = 11) -> Model | None:
     positive = np.flatnonzero(label[owner] == 1)
     if not len(clean) or not len(positive):
         return None
+    hardest = clean[:0]
     for turn in range(ROUNDS):
-        # As many clean passages as toxic ones, twice at least, drawn anew each round.
-        drawn = rng.permutation(clean)[: max(4096, 2 * len(positive))]
-        chosen = rng.permutation(np.concatenate([positive, drawn]))
-        for a in range(0, len(chosen), 128):
-            step(chosen[a : a + 128], 0.15 if turn < 2 else 0.08)
+        # Clean passages, twice as many as toxic ones, drawn anew, and the hardest ones.
+        drawn = np.append(rng.permutation(clean)[: max(4096, 2 * len(positive))], hardest)
+        drawn = np.concatenate([positive, drawn])
+        for _ in range(max(1, STEPS * BATCH // len(drawn))):
+            chosen = rng.permutation(drawn)
+            for a in range(0, len(chosen), BATCH):
+                step(chosen[a : a + BATCH], 0.15 if turn < 2 else 0.08)
         weights = table @ (softmax[:, 1] - softmax[:, 0])
         word_logit = np.add.reduceat(weights[rows_], first) / counts
-        tox = np.flatnonzero(label[owner] == 1)
-        logit = np.array([word_logit[passages[i]].sum() / PASSAGE for i in tox])
+        logit = np.array([word_logit[own].sum() / PASSAGE for own in passages])
         best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, owner[tox], logit)
+        np.maximum.at(best, owner, logit)
+        hardest = clean[logit[clean] >= best[owner[clean]]]
+        tox = np.flatnonzero(label[owner] == 1)
+        logit = logit[tox]
         # From now on, the passages nearly as toxic as the most toxic one of their document.
         positive = tox[logit >= np.minimum(best[owner[tox]], np.maximum(best[owner[tox]] * 0.5, 0))]
     model = Model(weights, float(bias[1] - bias[0]), 1.0, 0.0)
     scorer = Scorer(model)
-    highest = np.array([scorer.document(ws) for ws in cut])
+    highest = np.array(
+        [scorer.highest(own.tolist(), word_logit[own]) if len(own) else model.bias for own in ids]
+    )
     model.slope, model.shift = _calibrate(highest, label)
     return model
 
 
 def _calibrate(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic fit, by Newton steps with a little shrinkage."""
+    """Slope and shift of the probability. Where nearly all clean documents lie below nearly
+    all toxic ones, one half lies in the gap, nearer to the clean: a document with one toxic
+    word only is to be found. Else the logistic fit, by Newton steps with a little shrinkage."""
+    low, high = np.quantile(logit[label == 0], 0.995), np.quantile(logit[label == 1], 0.05)
+    if high > low:
+        slope = 8 / (high - low)
+        return float(slope), float(-slope * (low + GAP * (high - low)))
     scale = max(float(np.abs(logit).max()), 1e-9)
     x = np.stack([logit / scale, np.ones(len(logit))], 1)
     weight = np.where(label == 1, len(label) / (2 * label.sum()), len(label) / (2 * (1 - label).sum()))

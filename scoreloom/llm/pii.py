@@ -150,11 +150,13 @@ def score_instances(
         pattern = pattern.filter(F.col("trusted") >= support).select(
             "kind", "pattern", (F.col("trusted") / (F.col("n") + 1)).alias("score")
         )
+        # Apart from its aggregate, so that the join can be split where a pattern is frequent.
+        pattern = pattern.hint("rebalance")
         open_ = edges.filter("state = 0").select("kind", "pattern", "instance")
         best = open_.join(pattern, ["kind", "pattern"]).groupBy(*key).agg(F.max("score").alias("best"))
         if turn == turns - 1:
             return best.filter(F.col("best") >= confidence).select(*key)
-        known = edges.join(best, key, "left").withColumn(
+        known = edges.join(best.hint("rebalance"), key, "left").withColumn(
             "trust", F.when(F.col("state") == 0, F.coalesce("best", F.lit(0.0))).otherwise(trust)
         )
     raise ValueError("at least one turn")
@@ -204,7 +206,7 @@ def find_personal_data(
     open_ = loose.filter("state = 0").select("key", "version", "kind", "start", "end", "instance")
     span = F.struct("kind", "start", "end")
     added = (
-        open_.join(trusted, ["kind", "instance"], "left_semi")
+        open_.join(trusted.hint("rebalance"), ["kind", "instance"], "left_semi")
         .groupBy(F.col("key").alias("_key"), F.col("version").alias("_version"))
         .agg(F.collect_set(span).alias("added"))
     )

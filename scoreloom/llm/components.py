@@ -11,7 +11,8 @@ from scoreloom.session import written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Apart from its aggregate, so that the join can be split where a node has many links.
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).hint("rebalance")
     return (
         both.filter("v > u")
         .join(least, "u")
@@ -24,7 +25,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = down.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
     to_least = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return to_least.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 

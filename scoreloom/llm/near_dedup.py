@@ -20,9 +20,10 @@ No group of an entry is turned into pairs as a whole:
 1. each member is compared with one pivot only, the nearest of the first and last members
    of its entries; the links give components;
 2. entries of at most ``SMALL`` members give their pairs of different components;
-3. in a larger entry, members still in different components are compared in blocks of
-   ``BLOCK``, each task holding two blocks; the members of the largest component are not
-   compared with each other. A task returns links that join components, fewer than its rows.
+3. in a larger entry, members still in different components are compared in blocks of about
+   ``BLOCK`` shingles, each task holding two blocks; the members of the largest component are
+   not compared with each other. A task returns links that join components, fewer than its
+   rows.
 
 So a large group of near copies costs its size, not its square; what remains are texts that
 share an entry and are not linked, which no index can tell apart before they are compared.
@@ -57,11 +58,11 @@ CHUNKS, CHUNK, ERRORS = 10, 3, 1
 SYMBOLS = CHUNKS * CHUNK
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 BITS, FAR = 192, 52
-SMALL, BLOCK = 16, 256
+SMALL, BLOCK = 16, 300_000
 #: Rows of (id, hash) that may be sent to every task, about 8 MB.
 BROADCAST_ROWS = 200_000
 #: Words whose hash a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 _random = np.random.default_rng(5)
 _FACTORS = _random.integers(1 << 62, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -281,7 +282,8 @@ _LEFT_IN = list(combinations(range(CHUNK), CHUNK - ERRORS))
 
 def _large_entries(active: DataFrame, classes: DataFrame, texts: _Texts) -> DataFrame:
     """Links found in large entries. ``active`` has ``key``, ``family``, ``node``, ``component``."""
-    per = active.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = classes.select("node", "n_shingles")
+    per = active.join(sizes, "node").groupBy("key", "component").agg(F.sum("n_shingles").alias("n"))
     per = per.groupBy("key").agg(
         F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all")
     )
@@ -291,7 +293,7 @@ def _large_entries(active: DataFrame, classes: DataFrame, texts: _Texts) -> Data
         F.ceil(F.col("most.n") / BLOCK).alias("majors"),
         F.ceil((F.col("all") - F.col("most.n")) / BLOCK).alias("minors"),
     )
-    placed = active.join(per, "key").withColumn("major", F.col("component") == F.col("largest"))
+    placed = active.join(per.hint("rebalance"), "key").withColumn("major", F.col("component") == F.col("largest"))
     spread = F.xxhash64("node", F.lit(3))
     block = F.when(F.col("major"), F.pmod(spread, "majors")).otherwise(F.pmod(spread, "minors"))
     placed = placed.withColumn("block", block)
@@ -343,7 +345,8 @@ def near_duplicates(
     ends = keys.groupBy("key").agg(
         F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high")
     )
-    shared = written(keys.join(ends.filter("members > 1"), "key"), "entries")
+    # Apart from its aggregate, so that the join can be split where an entry is large.
+    shared = written(keys.join(ends.filter("members > 1").hint("rebalance"), "key"), "entries")
 
     pivots = shared.select("node", F.explode(F.array("low", "high")).alias("pivot")).filter("node != pivot")
     pairs = pivots.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
@@ -358,7 +361,7 @@ def near_duplicates(
         labelled = shared.select("key", "family", "node", "members").join(found, "node", "left")
         labelled = labelled.withColumn("component", F.coalesce("component", "node"))
         ends = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-        return written(labelled.join(ends.filter("a != b").select("key"), "key"), "open")
+        return written(labelled.join(ends.filter("a != b").select("key").hint("rebalance"), "key"), "open")
 
     active = open_entries(links)
     small = active.filter(F.col("members") <= SMALL).select("key", "node", "component")

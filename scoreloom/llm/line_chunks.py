@@ -1,9 +1,9 @@
 """Line dedup: content-defined chunks of lines that stand elsewhere already are removed.
 
-A line here ends at a line feed or after a sentence (``.``, ``!`` or ``?`` and a space), so
-that running text has lines too. Lines are compared without the white space around them. A
+A line here ends at a line feed or after a sentence (``.``, ``!`` or ``?`` and a space, with
+``SENTENCE`` other characters before), so that running text has lines too. Lines are compared without the white space around them. A
 rolling hash over each two neighbouring line hashes chooses the boundaries of chunks: most
-places are boundaries, one in ``ONE_IN`` is not, and a line of ``MIN_WORDS`` words or more
+places are boundaries, one in ``ONE_IN`` is not, and a line of ``MIN_BYTES`` bytes or more
 always stands alone. Since boundaries follow from the lines next to them, text inserted
 before a passage moves none inside it.
 
@@ -11,9 +11,9 @@ A chunk whose hash occurs more than once is repeated; its first occurrence (by k
 place) stays. Neighbouring repeated chunks with the same first occurrence form a run. The
 lines of a run are compared with the lines there byte by byte, and the run is extended over
 equal lines on both sides, ``REACH`` at most (beyond a reach that long there is nearly
-always a boundary, and so a chunk). Lines so found that follow each other are removed if they have
-``MIN_WORDS`` words together. What is removed equals text at an earlier place, so the
-first copy of any text stays.
+always a boundary, and so a chunk). Lines so found that follow each other are removed if
+they have ``MIN_BYTES`` bytes together. What is removed equals text at an earlier place, so
+the first copy of any text stays.
 
 All of it is column expressions, joins, sums and windows within one document. Chunks are
 shuffled as hashes; only repeated lines and their neighbours are shuffled as text. Joins by
@@ -33,15 +33,21 @@ from pyspark.sql import Window as W
 
 from scoreloom.session import written
 
-from . import rows
+from . import spans
 
-MIN_WORDS = 30
+#: Bytes of lines that are worth removing together: about 25 words.
+MIN_BYTES = 150
 ONE_IN = 8
 REACH = 6
-#: Elements of lists that may be sent to every task together, about 20 MB.
-BROADCAST_ELEMENTS = 500_000
-
-_END = r"(?<=\n)(?=[^\n])|(?<=[.!?]\x20)(?=[^\x20\n])"
+#: Elements of lists that may be sent to every task together, about 40 MB.
+BROADCAST_ELEMENTS = 1_000_000
+
+#: A sentence that ends a line has so many characters at least since the one before.
+SENTENCE = 16
+_END = (
+    r"(?<=[\n\x20])(?:(?<=\n)(?=[^\n])"
+    rf"|(?<=[.!?]\x20)(?=[^\x20\n])(?<=[^.!?\n]{{{SENTENCE}}}[.!?]\x20))"
+)
 _BLANK = " \t\n\x0b\f\r"
 
 
@@ -54,87 +60,100 @@ def lines(text: Column) -> Column:
     return F.transform(pieces(text), lambda p: F.btrim(p, F.lit(_BLANK)))
 
 
-def _n_words(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
 
 
 def chunks(docs: DataFrame, text: str) -> DataFrame:
-    """``id``, ``version``, ``start`` (line), ``n`` (lines) and ``hash`` of each chunk."""
+    """Each chunk: ``id``, ``version``, ``start`` (line), ``n`` (lines), ``bytes``, ``hash``,
+    and half the hash of the line ``before`` and ``after`` it."""
     own = docs.select("id", "version", lines(F.col(text)).alias("lines"))
     own = own.select(
         "id",
         "version",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
-        F.transform("lines", lambda x: F.length(x) >= 2 * MIN_WORDS - 1).alias("long"),
-        F.col("lines"),
+        F.transform("lines", lambda x: F.octet_length(x)).alias("w"),
     )
-    own = own.withColumn(
-        "long",
-        F.transform("long", lambda x, i: F.when(x, _n_words(F.col("lines")[i]) >= MIN_WORDS).otherwise(False)),
-    ).drop("lines")
     rolling = lambda i: F.xxhash64(F.coalesce(F.get("h", i - 1), F.lit(0)), F.get("h", i))
     ends = F.filter(
         F.sequence(F.lit(0), F.size("h") - 1),
         lambda i: (i == F.size("h") - 1)
-        | (F.pmod(rolling(i), F.lit(ONE_IN)) != 0)
-        | F.get("long", i)
-        | F.coalesce(F.get("long", i + 1), F.lit(False)),
+        | (F.get("w", i) >= MIN_BYTES)
+        | (F.get("w", i + 1) >= MIN_BYTES)
+        | (F.pmod(rolling(i), F.lit(ONE_IN)) != 0),
     )
     own = own.withColumn("ends", ends)
 
     def chunk(end: Column, i: Column) -> Column:
         start = F.coalesce(F.get("ends", i - 1) + 1, F.lit(0))
+        n = end - start + 1
         hashed = F.aggregate(
-            F.slice("h", start + 1, end - start + 1), F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x)
+            F.slice("h", start + 1, n), F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x)
+        )
+        return F.struct(
+            start.alias("start"),
+            n.alias("n"),
+            _total(F.slice("w", start + 1, n)).alias("bytes"),
+            hashed.alias("hash"),
+            F.shiftright(F.get("h", start - 1), 32).cast("int").alias("before"),
+            F.shiftright(F.get("h", end + 1), 32).cast("int").alias("after"),
         )
-        return F.struct(start.alias("start"), (end - start + 1).alias("n"), hashed.alias("hash"))
 
     return own.select("id", "version", F.inline(F.transform("ends", chunk)))
 
 
+def _few(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """To be sent to every task if its rows and lists are few altogether."""
+    df = written(df, "line-list")
+    size = F.lit(1) if lists is None else F.size(lists) + 1
+    elements = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if elements <= BROADCAST_ELEMENTS else df
+
+
 def repeated_runs(found: DataFrame) -> DataFrame:
     """Runs of repeated chunks that are not the first: ``id``, ``version``, ``start``, ``n``
-    and the place of the first occurrence, ``k_id``, ``k_version``, ``k_start``."""
-    place = F.struct("id", "version", "start")
-    first = (
-        found.groupBy("hash")
-        .agg(F.count("*").alias("times"), F.min(place).alias("k"))
-        .filter("times > 1")
-        .select("hash", "k")
-    )
+    and the place of the first occurrence, ``k_id``, ``k_version``, ``k_start``.
+
+    Left out are runs that can't come to ``MIN_BYTES`` bytes: too short with the repeated
+    chunks around them, and with other lines before and after them than the first has.
+    """
+    hashes = found.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash")
+    again = written(found.join(_few(hashes), "hash"), "line-repeats")
+    place = F.struct("id", "version", "start", "before", "after")
+    # Apart from its aggregate, so that the join can be split where a chunk is frequent.
+    first = again.groupBy("hash").agg(F.min(place).alias("k")).hint("rebalance")
     other = ~(
         F.col("id").eqNullSafe(F.col("k.id"))
         & (F.col("version") == F.col("k.version"))
         & (F.col("start") == F.col("k.start"))
     )
-    seeds = found.join(first, "hash").filter(other)
+    seeds = again.join(first, "hash").filter(other)
     order = W.partitionBy("id", "version").orderBy("start")
+    # Rows with the same key and text are one document.
+    same = F.coalesce(F.lag("start").over(order) == F.col("start"), F.lit(False))
+    seeds = seeds.withColumn("same", same).filter("NOT same")
+    touches = F.coalesce(F.col("start") == F.lag(F.col("start") + F.col("n")).over(order), F.lit(False))
     goes_on = (
-        (F.col("start") == F.lag(F.col("start") + F.col("n")).over(order))
-        & (F.col("k.start") == F.lag(F.col("k.start") + F.col("n")).over(order))
+        touches
+        & F.coalesce(F.col("k.start") == F.lag(F.col("k.start") + F.col("n")).over(order), F.lit(False))
         & F.col("k.id").eqNullSafe(F.lag("k.id").over(order))
-        & (F.col("k.version") == F.lag("k.version").over(order))
+        & F.coalesce(F.col("k.version") == F.lag("k.version").over(order), F.lit(False))
     )
-    # Rows with the same key and text are one document.
-    again = F.coalesce(F.lag("start").over(order) == F.col("start"), F.lit(False))
-    seeds = seeds.withColumn("again", again).filter("NOT again")
-    seeds = seeds.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    seeds = seeds.withColumn("run", F.sum("new").over(order))
-    return (
-        seeds.groupBy("id", "version", "run")
-        .agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("k").alias("k"))
-        .select(
-            "id", "version", "start", "n",
-            F.col("k.id").alias("k_id"), F.col("k.version").alias("k_version"), F.col("k.start").alias("k_start"),
-        )
+    seeds = seeds.withColumn("new_run", (~goes_on).cast("int")).withColumn("new_row", (~touches).cast("int"))
+    seeds = seeds.withColumn("run", F.sum("new_run").over(order)).withColumn("row", F.sum("new_row").over(order))
+    around = F.sum("bytes").over(W.partitionBy("id", "version", "row"))
+    runs = seeds.withColumn("around", around).groupBy("id", "version", "run").agg(
+        F.min("start").alias("start"),
+        F.sum("n").cast("int").alias("n"),
+        F.min("k").alias("k"),
+        F.max("around").alias("around"),
+        F.min_by(F.col("before") == F.col("k.before"), F.col("start")).alias("same_before"),
+        F.max_by(F.col("after") == F.col("k.after"), F.col("start")).alias("same_after"),
+    )
+    return runs.filter(F.expr(f"around >= {MIN_BYTES} OR same_before OR same_after")).select(
+        "id", "version", "start", "n",
+        F.col("k.id").alias("k_id"), F.col("k.version").alias("k_version"), F.col("k.start").alias("k_start"),
     )
-
-
-def _few(df: DataFrame, lists: str) -> DataFrame:
-    """To be sent to every task if its lists are short altogether."""
-    df = written(df, "line-list")
-    elements = df.agg(F.sum(F.size(lists) + 1)).first()[0] or 0
-    return F.broadcast(df) if elements <= BROADCAST_ELEMENTS else df
 
 
 def _with_lines(places: DataFrame, docs: DataFrame, text: str, names: list[str], side: str) -> DataFrame:
@@ -172,10 +191,59 @@ def _equal_ahead(a: str, b: str) -> Column:
     return F.when(first == 0, F.size(differs)).otherwise(first - 1).cast("int")
 
 
+def _long_enough(found: Column) -> Column:
+    """Stretches (``a`` to ``b``) of lines that follow each other, of MIN_BYTES bytes
+    together; ``found`` has (``line``, ``bytes``), repeated and in any order."""
+
+    def of(given: Column) -> Column:
+        ordered, before = given["ordered"], given["before"]
+        n = F.size(ordered)
+        begins = F.filter(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.coalesce(
+                F.get(ordered, i)["line"] != F.get(ordered, i - 1)["line"] + 1, F.lit(True)
+            ),
+        )
+
+        def stretch(begins: Column) -> Column:
+            cut = F.transform(
+                begins,
+                lambda s, j: F.struct(s.alias("s"), (F.coalesce(F.get(begins, j + 1), n) - 1).alias("e")),
+            )
+            size = lambda x: (
+                F.get(before, x["e"]) + F.get(ordered, x["e"])["bytes"] - F.get(before, x["s"])
+            )
+            return F.transform(
+                F.filter(cut, lambda x: size(x) >= MIN_BYTES),
+                lambda x: F.struct(
+                    F.get(ordered, x["s"])["line"].alias("a"), F.get(ordered, x["e"])["line"].alias("b")
+                ),
+            )
+
+        return F.transform(F.array(begins), stretch)[0]
+
+    # Sorted, equal ones stand together: telling structs apart otherwise takes all pairs.
+    once = F.transform(
+        F.array(F.array_sort(found)),
+        lambda o: F.filter(
+            o, lambda x, i: F.coalesce(F.get(o, i - 1)["line"] != x["line"], F.lit(True))
+        ),
+    )
+    summed = F.transform(
+        once,
+        lambda o: F.struct(
+            o.alias("ordered"), spans.sums_before(F.transform(o, lambda x: x["bytes"])).alias("before")
+        ),
+    )
+    return F.transform(summed, of)[0]
+
+
 def removable(docs: DataFrame, text: str) -> DataFrame:
-    """``id``, ``version`` and the indexes ``gone`` of the lines to remove, for each
-    document that has any. ``docs`` has ``id``, ``version`` and the text."""
-    runs = written(repeated_runs(chunks(docs, text)), "line-runs")
+    """``id``, ``version`` and the stretches of lines that are ``gone`` (``a`` to ``b``, none
+    where all were too short), for each document with a repeated run. ``docs`` has ``id``,
+    ``version`` and the text."""
+    found = written(chunks(docs, text), "line-chunks")
+    runs = written(repeated_runs(found), "line-runs")
     kept = ["k_id", "k_version", "k_start"]
     here = _with_lines(runs, docs, text, kept, "d")
     first = runs.select(
@@ -186,7 +254,7 @@ def removable(docs: DataFrame, text: str) -> DataFrame:
     there = there.select(
         F.col("id").alias("o_id"), F.col("version").alias("o_version"),
         F.col("start").alias("o_start"), F.col("n").alias("o_n"), "k_core", "k_before", "k_after",
-    )
+    ).hint("rebalance")
     same = (
         F.col("k_id").eqNullSafe(F.col("o_id"))
         & (F.col("k_version") == F.col("o_version"))
@@ -201,18 +269,19 @@ def removable(docs: DataFrame, text: str) -> DataFrame:
         F.col("d_core"),
         F.slice("d_after", F.lit(1), F.col("ahead")),
     )
-    sized = F.transform(whole, lambda x, i: F.struct(i.alias("i"), _n_words(x).alias("words")))
-    found = met.select("id", "version", (F.col("start") - F.col("back")).alias("from"), F.inline(sized))
-    found = found.select("id", "version", (F.col("from") + F.col("i")).alias("line"), "words").distinct()
-    order = W.partitionBy("id", "version").orderBy("line")
-    together = found.withColumn("group", F.col("line") - F.row_number().over(order))
-    group = together.groupBy("id", "version", "group").agg(
-        F.sum("words").alias("words"), F.collect_list("line").alias("lines")
+    met = met.select(
+        "id", "version", (F.col("start") - F.col("back")).alias("from"), F.transform(whole, lambda x: F.octet_length(x)).alias("bytes")
+    )
+    equal = F.transform(
+        "equal",
+        lambda r: F.transform(
+            r["bytes"], lambda n, i: F.struct((r["from"] + i).alias("line"), n.alias("bytes"))
+        ),
     )
     return (
-        group.filter(F.col("words") >= MIN_WORDS)
-        .groupBy("id", "version")
-        .agg(F.flatten(F.collect_list("lines")).alias("gone"))
+        met.groupBy("id", "version")
+        .agg(F.collect_set(F.struct("from", "bytes")).alias("equal"))
+        .select("id", "version", _long_enough(F.flatten(equal)).alias("gone"))
     )
 
 
@@ -232,9 +301,11 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = own.join(_few(gone, "gone"), same, "left").withColumn(
         "pieces", F.when(F.col("gone").isNotNull(), pieces(F.col("text")))
     )
-    left = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), "gone")
+    lost = F.flatten(F.transform("gone", lambda x: F.sequence(x["a"], x["b"])))
+    left = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), lost)
     rest = F.array_join(F.transform(left, lambda i: F.get("pieces", i)), "")
-    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    sizes = F.transform("gone", lambda x: x["b"] - x["a"] + 1)
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(_total(sizes))
     made = {text: F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest), "n_removed": removed}
     names = dict.fromkeys([*docs.columns, "n_removed"])
     return found.select(*(made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in names))

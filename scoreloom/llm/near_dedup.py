@@ -281,9 +281,9 @@ _LEFT_IN = list(combinations(range(CHUNK), CHUNK - ERRORS))
 
 
 def _large_entries(active: DataFrame, classes: DataFrame, texts: _Texts) -> DataFrame:
-    """Links found in large entries. ``active`` has ``key``, ``family``, ``node``, ``component``."""
-    sizes = classes.select("node", "n_shingles")
-    per = active.join(sizes, "node").groupBy("key", "component").agg(F.sum("n_shingles").alias("n"))
+    """Links found in large entries. ``active`` has ``key``, ``family``, ``node``,
+    ``n_shingles`` and ``component``."""
+    per = active.groupBy("key", "component").agg(F.sum("n_shingles").alias("n"))
     per = per.groupBy("key").agg(
         F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all")
     )
@@ -314,10 +314,11 @@ def _large_entries(active: DataFrame, classes: DataFrame, texts: _Texts) -> Data
             ),
         )
     )
-    own = classes.select("node", "n_shingles", "signature", "b0", "b1", "b2")
-    found = written(texts.of(active.select("node")), "texts")
-    dealt = placed.select("key", "family", "node", "component", "major", F.explode(across).alias("pair"))
-    dealt = dealt.join(own, "node").join(found, "node")
+    own = classes.select("node", "signature", "b0", "b1", "b2")
+    found = written(texts.of(active.select("node")).join(own, "node"), "texts")
+    dealt = placed.select(
+        "key", "family", "node", "n_shingles", "component", "major", F.explode(across).alias("pair")
+    ).join(found, "node")
     return dealt.groupBy("key", "pair").applyInPandas(_compare_blocks, "u bigint, v bigint")
 
 
@@ -341,7 +342,7 @@ def near_duplicates(
     classes = written(classes, "classes")
     texts = _Texts(docs, key, text, classes)
 
-    keys = classes.select("node", F.posexplode(entries()).alias("family", "key"))
+    keys = classes.select("node", "n_shingles", F.posexplode(entries()).alias("family", "key"))
     ends = keys.groupBy("key").agg(
         F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high")
     )
@@ -358,7 +359,8 @@ def near_duplicates(
     def open_entries(links: DataFrame) -> DataFrame:
         """Members of the entries that still hold more than one component."""
         found = components(links)
-        labelled = shared.select("key", "family", "node", "members").join(found, "node", "left")
+        labelled = shared.select("key", "family", "node", "n_shingles", "members")
+        labelled = labelled.join(found, "node", "left")
         labelled = labelled.withColumn("component", F.coalesce("component", "node"))
         ends = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
         return written(labelled.join(ends.filter("a != b").select("key").hint("rebalance"), "key"), "open")

@@ -1,27 +1,32 @@
-"""Line dedup: content-defined chunks of lines that stand elsewhere already are removed.
+"""Line dedup: content-defined chunks and words that stand elsewhere already are removed.
 
 A line here ends at a line feed or after a sentence (``.``, ``!`` or ``?`` and a space, with
-``SENTENCE`` other characters before), so that running text has lines too. Lines are compared without the white space around them. A
-rolling hash over each two neighbouring line hashes chooses the boundaries of chunks: most
-places are boundaries, one in ``ONE_IN`` is not, and a line of ``MIN_BYTES`` bytes or more
-always stands alone. Since boundaries follow from the lines next to them, text inserted
-before a passage moves none inside it.
-
-A chunk whose hash occurs more than once is repeated; its first occurrence (by key, then
-place) stays. Neighbouring repeated chunks with the same first occurrence form a run. The
-lines of a run are compared with the lines there byte by byte, and the run is extended over
-equal lines on both sides, ``REACH`` at most (beyond a reach that long there is nearly
-always a boundary, and so a chunk). Lines so found that follow each other are removed if
-they have ``MIN_BYTES`` bytes together. What is removed equals text at an earlier place, so
-the first copy of any text stays.
-
-All of it is column expressions, joins, sums and windows within one document. Chunks are
-shuffled as hashes; only repeated lines and their neighbours are shuffled as text. Joins by
-chunk and by first occurrence are plain ones, which adaptive execution splits where a
-passage is in very many documents; a document's lines are never grouped with another's.
+``SENTENCE`` other characters before). A passage may also begin and end inside a line, and
+have no sentence end at all, so what is looked for are seeds of two kinds:
+
+* of each ``WINDOW`` neighbouring words the one with the least hash, with the words after it,
+  ``SEED`` together. The choice follows from these words alone, so any passage of
+  ``WINDOW + SEED - 1`` words has a seed in it, the same one whatever stands around it;
+* chunks of whole lines. A rolling hash over each two neighbouring line hashes chooses their
+  boundaries: most places are boundaries, one in ``ONE_IN`` is not, and a line of ``MIN_BYTES``
+  bytes or more always stands alone. Only chunks of long words (``DENSE`` bytes each) are
+  seeds: a stretch without any has so many words that it holds chosen ones.
+
+A seed whose hash occurs more than once is repeated; its first occurrence (by key, then
+place) stays. Repeated seeds with the same first document and distance that overlap or touch
+form a run. Its words are compared with those there by SHA-256, and it is extended word by
+word on both sides until they differ, ``REACH`` words at most (a passage that goes on has
+another seed by then). Stretches so found that overlap or touch are removed if they have ``MIN_BYTES`` bytes or ``MIN_WORDS`` words
+together, with the white space after each word. White space between words is not compared.
+What is removed equals words at an earlier place, so the first copy of any passage stays.
+
+All of it is column expressions, joins, aggregates and windows within one document. Seeds
+are shuffled as hashes; only repeated words and their neighbours are shuffled as text. Joins
+by seed and by first occurrence are plain ones, which adaptive execution splits where a
+passage is in very many documents; a document's words are never grouped with another's.
 
 Defined cases: a null text stays null and an empty one empty; rows with the same key and
-text are one document and lose the same lines; a null key comes first. A document may be
+text are one document and lose the same words; a null key comes first. A document may be
 left with an empty text. Each row gives one row.
 """
 
@@ -33,12 +38,17 @@ from pyspark.sql import Window as W
 
 from scoreloom.session import written
 
-from . import spans
+from . import rows, spans
 
-#: Bytes of lines that are worth removing together: about 25 words.
-MIN_BYTES = 150
+#: Bytes, or words, that are worth removing together: 150 bytes are about 25 words.
+MIN_BYTES, MIN_WORDS = 150, 50
 ONE_IN = 8
-REACH = 6
+#: Words of a window and of a seed; as many words of MIN_BYTES bytes have DENSE bytes each.
+WINDOW, SEED, DENSE = 10, 10, 8
+#: A passage has less words than a window beyond its seeds, or all but one if they are chunks.
+REACH, CHUNK_REACH = WINDOW, WINDOW + SEED
+#: Low bits of a word's hash that are replaced by its place: 2 ** 31 bytes at most are a text.
+PLACE = 30
 #: Elements of lists that may be sent to every task together, about 40 MB.
 BROADCAST_ELEMENTS = 1_000_000
 
@@ -49,6 +59,7 @@ _END = (
     rf"|(?<=[.!?]\x20)(?=[^\x20\n])(?<=[^.!?\n]{{{SENTENCE}}}[.!?]\x20))"
 )
 _BLANK = " \t\n\x0b\f\r"
+_WORD_END = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 
 
 def pieces(text: Column) -> Column:
@@ -60,19 +71,29 @@ def lines(text: Column) -> Column:
     return F.transform(pieces(text), lambda p: F.btrim(p, F.lit(_BLANK)))
 
 
+def _words(trimmed: Column) -> Column:
+    """The words of a line or text without white space around it."""
+    none = F.array().cast("array<string>")
+    return F.when(trimmed == "", none).otherwise(F.split(trimmed, rows.SPACES, -1))
+
+
 def _total(sizes: Column) -> Column:
     return F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
 
 
-def chunks(docs: DataFrame, text: str) -> DataFrame:
-    """Each chunk: ``id``, ``version``, ``start`` (line), ``n`` (lines), ``bytes``, ``hash``,
-    and half the hash of the line ``before`` and ``after`` it."""
+def seeds(docs: DataFrame, text: str) -> DataFrame:
+    """Each seed: ``id``, ``version``, ``start`` (word), ``n`` (words), ``chunk`` (or chosen
+    words) and ``hash``."""
     own = docs.select("id", "version", lines(F.col(text)).alias("lines"))
     own = own.select(
         "id",
         "version",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
         F.transform("lines", lambda x: F.octet_length(x)).alias("w"),
+        F.transform("lines", _words).alias("split"),
+    )
+    own = own.select(
+        "id", "version", "h", "w", F.transform("split", F.size).alias("c"), F.flatten("split").alias("words")
     )
     rolling = lambda i: F.xxhash64(F.coalesce(F.get("h", i - 1), F.lit(0)), F.get("h", i))
     ends = F.filter(
@@ -82,24 +103,50 @@ def chunks(docs: DataFrame, text: str) -> DataFrame:
         | (F.get("w", i + 1) >= MIN_BYTES)
         | (F.pmod(rolling(i), F.lit(ONE_IN)) != 0),
     )
-    own = own.withColumn("ends", ends)
+    # A word's hash with its place in the low bits: the least of a window is its first.
+    marked = F.transform(
+        F.slice("words", F.lit(1), F.greatest(F.size("words") - (SEED - 1), F.lit(0))),
+        lambda x, i: F.shiftleft(F.shiftright(F.xxhash64(x), PLACE), PLACE).bitwiseOR(i.cast("bigint")),
+    )
+    own = own.select(
+        "id", "version", "h", "w", "words", ends.alias("ends"),
+        spans.sums_before(F.col("c")).alias("before"), "c", marked.alias("marked"),
+    )
+    least = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("marked") - (WINDOW - 1), F.lit(1))),
+        lambda s: F.array_min(F.slice("marked", s, F.lit(WINDOW))),
+    )
+    least = F.when(F.size("marked") > 0, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+    own = own.withColumn("least", least)
 
     def chunk(end: Column, i: Column) -> Column:
-        start = F.coalesce(F.get("ends", i - 1) + 1, F.lit(0))
-        n = end - start + 1
+        first = F.coalesce(F.get("ends", i - 1) + 1, F.lit(0))
+        n = end - first + 1
         hashed = F.aggregate(
-            F.slice("h", start + 1, n), F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x)
+            F.slice("h", first + 1, n), F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x)
         )
         return F.struct(
-            start.alias("start"),
-            n.alias("n"),
-            _total(F.slice("w", start + 1, n)).alias("bytes"),
+            F.get("before", first).alias("start"),
+            (F.get("before", end) + F.get("c", end) - F.get("before", first)).alias("n"),
+            F.lit(True).alias("chunk"),
             hashed.alias("hash"),
-            F.shiftright(F.get("h", start - 1), 32).cast("int").alias("before"),
-            F.shiftright(F.get("h", end + 1), 32).cast("int").alias("after"),
+            (_total(F.slice("w", first + 1, n)) + n).alias("bytes"),
         )
 
-    return own.select("id", "version", F.inline(F.transform("ends", chunk)))
+    def chosen(x: Column) -> Column:
+        start = x.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+        return F.struct(
+            start.alias("start"),
+            F.lit(SEED).alias("n"),
+            F.lit(False).alias("chunk"),
+            F.xxhash64(F.slice("words", start + 1, F.lit(SEED))).alias("hash"),
+            F.lit(0).alias("bytes"),
+        )
+
+    # Other chunks can stand only in stretches that hold chosen words or one of these.
+    dense = F.filter(F.transform("ends", chunk), lambda x: (x["n"] > 0) & (x["bytes"] >= DENSE * x["n"]))
+    every = F.concat(dense, F.transform("least", chosen))
+    return own.select("id", "version", F.inline(every)).drop("bytes")
 
 
 def _few(df: DataFrame, lists: str | None = None) -> DataFrame:
@@ -111,183 +158,125 @@ def _few(df: DataFrame, lists: str | None = None) -> DataFrame:
 
 
 def repeated_runs(found: DataFrame) -> DataFrame:
-    """Runs of repeated chunks that are not the first: ``id``, ``version``, ``start``, ``n``
-    and the place of the first occurrence, ``k_id``, ``k_version``, ``k_start``.
-
-    Left out are runs that can't come to ``MIN_BYTES`` bytes: too short with the repeated
-    chunks around them, and with other lines before and after them than the first has.
-    """
+    """Runs of repeated seeds that are not the first: ``n`` words from word ``start`` of ``id``
+    and ``version``, and from ``k_start`` of ``k_id`` and ``k_version``, where they stood first.
+    Seeds with the same first document and distance that overlap or touch are one run. Words
+    to compare on each side of it are ``reach``."""
     hashes = found.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash")
-    again = written(found.join(_few(hashes), "hash"), "line-repeats")
-    place = F.struct("id", "version", "start", "before", "after")
-    # Apart from its aggregate, so that the join can be split where a chunk is frequent.
+    # Rows with the same key and text are one document.
+    again = found.join(_few(hashes), "hash").groupBy("id", "version", "start", "n", "chunk", "hash").agg(
+        F.count("*").alias("times")
+    )
+    again = written(again.drop("times"), "line-repeats")
+    place = F.struct("id", "version", "start")
+    # Apart from its aggregate, so that the join can be split where a seed is frequent.
     first = again.groupBy("hash").agg(F.min(place).alias("k")).hint("rebalance")
     other = ~(
         F.col("id").eqNullSafe(F.col("k.id"))
         & (F.col("version") == F.col("k.version"))
         & (F.col("start") == F.col("k.start"))
     )
-    seeds = again.join(first, "hash").filter(other)
-    order = W.partitionBy("id", "version").orderBy("start")
-    # Rows with the same key and text are one document.
-    same = F.coalesce(F.lag("start").over(order) == F.col("start"), F.lit(False))
-    seeds = seeds.withColumn("same", same).filter("NOT same")
-    touches = F.coalesce(F.col("start") == F.lag(F.col("start") + F.col("n")).over(order), F.lit(False))
-    goes_on = (
-        touches
-        & F.coalesce(F.col("k.start") == F.lag(F.col("k.start") + F.col("n")).over(order), F.lit(False))
-        & F.col("k.id").eqNullSafe(F.lag("k.id").over(order))
-        & F.coalesce(F.col("k.version") == F.lag("k.version").over(order), F.lit(False))
+    met = again.join(first, "hash").filter(other).select(
+        "id", "version", "start", (F.col("start") + F.col("n")).alias("end"), "chunk",
+        F.col("k.id").alias("k_id"), F.col("k.version").alias("k_version"),
+        (F.col("start") - F.col("k.start")).alias("apart"),
     )
-    seeds = seeds.withColumn("new_run", (~goes_on).cast("int")).withColumn("new_row", (~touches).cast("int"))
-    seeds = seeds.withColumn("run", F.sum("new_run").over(order)).withColumn("row", F.sum("new_row").over(order))
-    around = F.sum("bytes").over(W.partitionBy("id", "version", "row"))
-    runs = seeds.withColumn("around", around).groupBy("id", "version", "run").agg(
+    line = ["id", "version", "k_id", "k_version", "apart"]
+    order = W.partitionBy(*line).orderBy("start", "end")
+    so_far = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    met = met.withColumn("new", F.coalesce(F.col("start") > so_far, F.lit(True)).cast("int"))
+    met = met.withColumn("run", F.sum("new").over(order))
+    runs = met.groupBy(*line, "run").agg(
         F.min("start").alias("start"),
-        F.sum("n").cast("int").alias("n"),
-        F.min("k").alias("k"),
-        F.max("around").alias("around"),
-        F.min_by(F.col("before") == F.col("k.before"), F.col("start")).alias("same_before"),
-        F.max_by(F.col("after") == F.col("k.after"), F.col("start")).alias("same_after"),
+        (F.max("end") - F.min("start")).alias("n"),
+        F.when(F.max("chunk"), F.lit(CHUNK_REACH)).otherwise(F.lit(REACH)).alias("reach"),
     )
-    return runs.filter(F.expr(f"around >= {MIN_BYTES} OR same_before OR same_after")).select(
-        "id", "version", "start", "n",
-        F.col("k.id").alias("k_id"), F.col("k.version").alias("k_version"), F.col("k.start").alias("k_start"),
+    return runs.select(
+        "id", "version", "start", "n", "reach",
+        "k_id", "k_version", (F.col("start") - F.col("apart")).alias("k_start"),
     )
 
 
-def _with_lines(places: DataFrame, docs: DataFrame, text: str, names: list[str], side: str) -> DataFrame:
-    """Places (``id``, ``version``, ``start``, ``n`` and more columns ``names``) with the lines
-    there, and up to REACH before and after them, last one first before."""
+def _with_words(places: DataFrame, docs: DataFrame, text: str, names: list[str], side: str) -> DataFrame:
+    """Places (``id``, ``version``, ``start``, ``n``, ``reach`` and more columns ``names``) with the
+    SHA-256 of the words there, and the words before (last one first) and after them."""
     own = places.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(
-        F.collect_list(F.struct("start", "n", *names)).alias("places")
+        F.collect_list(F.struct("start", "n", "reach", *names)).alias("places")
     )
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
     one = docs.select("id", "version", text).join(_few(own, "places"), same)
-    one = one.withColumn("lines", lines(F.col(text)))
+    one = one.withColumn("words", _words(F.btrim(F.col(text), F.lit(_BLANK))))
 
-    def at(p: Column) -> Column:
+    def at(words: Column, p: Column) -> Column:
         start, n = p["start"], p["n"]
-        back = F.least(start, F.lit(REACH))
+        back = F.least(start, p["reach"])
+        joined = lambda found: F.array_join(found, " ")
         return F.struct(
             start.alias("start"),
             n.alias("n"),
+            p["reach"].alias("reach"),
             *(p[x].alias(x) for x in names),
-            F.slice("lines", start + 1, n).alias(f"{side}_core"),
-            F.reverse(F.slice("lines", start - back + 1, back)).alias(f"{side}_before"),
-            F.slice("lines", start + n + 1, F.lit(REACH)).alias(f"{side}_after"),
+            F.unhex(F.sha2(joined(F.slice(words, start + 1, n)), 256)).alias(f"{side}_core"),
+            joined(F.reverse(F.slice(words, start - back + 1, back))).alias(f"{side}_before"),
+            joined(F.slice(words, start + n + 1, p["reach"])).alias(f"{side}_after"),
         )
 
-    return one.select("id", "version", F.inline(F.transform("places", at)))
+    # An array of one element stands for "let": the words are split once, not per place.
+    found = F.transform(F.array("words"), lambda w: F.transform("places", lambda p: at(w, p)))[0]
+    return one.select("id", "version", F.inline(found))
 
 
 def _equal_ahead(a: str, b: str) -> Column:
-    """How many elements two arrays share from their start."""
-    differs = F.transform(
-        F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b")),
-        lambda x: F.coalesce(x["a"] == x["b"], F.lit(False)),
-    )
-    first = F.array_position(differs, F.lit(False))
-    return F.when(first == 0, F.size(differs)).otherwise(first - 1).cast("int")
+    """How many words two texts share from their start."""
+    differs = F.zip_with(_words(F.col(a)), _words(F.col(b)), lambda x, y: F.coalesce(x == y, F.lit(False)))
 
+    def of(equal: Column) -> Column:
+        first = F.array_position(equal, F.lit(False))
+        return F.when(first == 0, F.size(equal)).otherwise(first - 1).cast("int")
 
-def _long_enough(found: Column) -> Column:
-    """Stretches (``a`` to ``b``) of lines that follow each other, of MIN_BYTES bytes
-    together; ``found`` has (``line``, ``bytes``), repeated and in any order."""
-
-    def of(given: Column) -> Column:
-        ordered, before = given["ordered"], given["before"]
-        n = F.size(ordered)
-        begins = F.filter(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.coalesce(
-                F.get(ordered, i)["line"] != F.get(ordered, i - 1)["line"] + 1, F.lit(True)
-            ),
-        )
-
-        def stretch(begins: Column) -> Column:
-            cut = F.transform(
-                begins,
-                lambda s, j: F.struct(s.alias("s"), (F.coalesce(F.get(begins, j + 1), n) - 1).alias("e")),
-            )
-            size = lambda x: (
-                F.get(before, x["e"]) + F.get(ordered, x["e"])["bytes"] - F.get(before, x["s"])
-            )
-            return F.transform(
-                F.filter(cut, lambda x: size(x) >= MIN_BYTES),
-                lambda x: F.struct(
-                    F.get(ordered, x["s"])["line"].alias("a"), F.get(ordered, x["e"])["line"].alias("b")
-                ),
-            )
-
-        return F.transform(F.array(begins), stretch)[0]
-
-    # Sorted, equal ones stand together: telling structs apart otherwise takes all pairs.
-    once = F.transform(
-        F.array(F.array_sort(found)),
-        lambda o: F.filter(
-            o, lambda x, i: F.coalesce(F.get(o, i - 1)["line"] != x["line"], F.lit(True))
-        ),
-    )
-    summed = F.transform(
-        once,
-        lambda o: F.struct(
-            o.alias("ordered"), spans.sums_before(F.transform(o, lambda x: x["bytes"])).alias("before")
-        ),
-    )
-    return F.transform(summed, of)[0]
+    return F.transform(F.array(differs), of)[0]
 
 
 def removable(docs: DataFrame, text: str) -> DataFrame:
-    """``id``, ``version`` and the stretches of lines that are ``gone`` (``a`` to ``b``, none
-    where all were too short), for each document with a repeated run. ``docs`` has ``id``,
-    ``version`` and the text."""
-    found = written(chunks(docs, text), "line-chunks")
+    """``id``, ``version`` and the stretches of words that stand earlier (``a`` to ``b``, in
+    order, none touching the next). ``docs`` has ``id``, ``version`` and the text."""
+    found = written(seeds(docs, text), "line-seeds")
     runs = written(repeated_runs(found), "line-runs")
-    kept = ["k_id", "k_version", "k_start"]
-    here = _with_lines(runs, docs, text, kept, "d")
+    here = _with_words(runs, docs, text, ["k_id", "k_version", "k_start"], "d")
     first = runs.select(
-        F.col("k_id").alias("id"), F.col("k_version").alias("version"), F.col("k_start").alias("start"), "n"
+        F.col("k_id").alias("id"), F.col("k_version").alias("version"), F.col("k_start").alias("start"), "n", "reach"
     ).distinct()
     # Rows with the same key and text are one document.
-    there = _with_lines(first, docs, text, [], "k").dropDuplicates(["id", "version", "start", "n"])
+    there = _with_words(first, docs, text, [], "k").dropDuplicates(["id", "version", "start", "n", "reach"])
     there = there.select(
-        F.col("id").alias("o_id"), F.col("version").alias("o_version"),
-        F.col("start").alias("o_start"), F.col("n").alias("o_n"), "k_core", "k_before", "k_after",
+        F.col("id").alias("o_id"), F.col("version").alias("o_version"), F.col("start").alias("o_start"),
+        F.col("n").alias("o_n"), F.col("reach").alias("o_reach"), "k_core", "k_before", "k_after",
     ).hint("rebalance")
     same = (
         F.col("k_id").eqNullSafe(F.col("o_id"))
         & (F.col("k_version") == F.col("o_version"))
         & (F.col("k_start") == F.col("o_start"))
         & (F.col("n") == F.col("o_n"))
+        & (F.col("reach") == F.col("o_reach"))
     )
-    met = here.join(there, same).filter(F.col("d_core") == F.col("k_core"))
-    met = met.withColumn("back", _equal_ahead("d_before", "k_before"))
-    met = met.withColumn("ahead", _equal_ahead("d_after", "k_after"))
-    whole = F.concat(
-        F.reverse(F.slice("d_before", F.lit(1), F.col("back"))),
-        F.col("d_core"),
-        F.slice("d_after", F.lit(1), F.col("ahead")),
-    )
-    met = met.select(
-        "id", "version", (F.col("start") - F.col("back")).alias("from"), F.transform(whole, lambda x: F.octet_length(x)).alias("bytes")
-    )
-    equal = F.transform(
-        "equal",
-        lambda r: F.transform(
-            r["bytes"], lambda n, i: F.struct((r["from"] + i).alias("line"), n.alias("bytes"))
-        ),
-    )
-    return (
-        met.groupBy("id", "version")
-        .agg(F.collect_set(F.struct("from", "bytes")).alias("equal"))
-        .select("id", "version", _long_enough(F.flatten(equal)).alias("gone"))
+    met = here.join(there, same).filter(F.col("d_core") == F.col("k_core")).select(
+        "id",
+        "version",
+        (F.col("start") - _equal_ahead("d_before", "k_before")).alias("a"),
+        (F.col("start") + F.col("n") - 1 + _equal_ahead("d_after", "k_after")).alias("b"),
     )
+    met = met.groupBy("id", "version", "a").agg(F.max("b").alias("b"))
+    order = W.partitionBy("id", "version").orderBy("a")
+    so_far = F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1))
+    met = met.withColumn("new", F.coalesce(F.col("a") > so_far + 1, F.lit(True)).cast("int"))
+    met = met.withColumn("nth", F.sum("new").over(order))
+    whole = met.groupBy("id", "version", "nth").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return whole.groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("gone"))
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the lines that stand at an earlier place removed from ``text``,
-    and ``n_removed``, the number of lines removed."""
+    """The documents with the words that stand at an earlier place removed from ``text``, and
+    ``n_removed``, the number of lines from which words were removed."""
     own = docs.select(
         F.col(key).alias("id"),
         F.xxhash64(text).alias("version"),
@@ -298,14 +287,50 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.col("id").alias("_id"), F.col("version").alias("_version"), "gone"
     )
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
-    found = own.join(_few(gone, "gone"), same, "left").withColumn(
-        "pieces", F.when(F.col("gone").isNotNull(), pieces(F.col("text")))
-    )
-    lost = F.flatten(F.transform("gone", lambda x: F.sequence(x["a"], x["b"])))
-    left = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), lost)
-    rest = F.array_join(F.transform(left, lambda i: F.get("pieces", i)), "")
-    sizes = F.transform("gone", lambda x: x["b"] - x["a"] + 1)
-    removed = F.when(F.col("gone").isNull(), 0).otherwise(_total(sizes))
-    made = {text: F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest), "n_removed": removed}
+    found = own.join(_few(gone, "gone"), same, "left")
+    found = found.select("text", "row", F.when(F.col("gone").isNotNull(), _without("text", "gone")).alias("cut"))
+    made = {text: F.coalesce("cut.text", "text"), "n_removed": F.coalesce("cut.n_removed", F.lit(0))}
     names = dict.fromkeys([*docs.columns, "n_removed"])
     return found.select(*(made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in names))
+
+
+def _without(text: str, gone: str) -> Column:
+    """``text`` without the stretches of words that are worth it, and ``n_removed``. White
+    space goes with the word before it, and with the first word what stands before."""
+
+    def part(given: Column, x: Column) -> Column:
+        return F.slice(given["words"], x["a"] + 1, x["b"] - x["a"] + 1)
+
+    def worth(given: Column) -> Column:
+        size = lambda x: _total(
+            F.transform(part(given, x), lambda w: F.octet_length(F.rtrim(w, F.lit(_BLANK))) + 1)
+        )
+        long = F.filter(
+            F.col(gone), lambda x: (x["b"] - x["a"] >= MIN_WORDS - 1) | (size(x) > MIN_BYTES)
+        )
+        return F.struct(*(given[c].alias(c) for c in ("lead", "words", "line")), long.alias("gone"))
+
+    def of(given: Column) -> Column:
+        cut, words = given["gone"], given["words"]
+        after = lambda i: F.coalesce(F.get(cut, i)["b"] + 1, F.lit(0))
+        between = F.transform(
+            cut, lambda x, i: F.slice(words, after(i - 1) + 1, x["a"] - after(i - 1))
+        )
+        last = F.slice(words, after(F.size(cut) - 1) + 1, F.size(words))
+        lead = F.when(F.get(cut, F.lit(0))["a"] == 0, "").otherwise(given["lead"])
+        left = F.array_join(F.flatten(F.concat(between, F.array(last))), "")
+        touched = F.transform(
+            cut, lambda x: F.slice(given["line"], x["a"] + 1, x["b"] - x["a"] + 1)
+        )
+        return F.struct(
+            F.concat(lead, left).alias("text"),
+            F.size(F.array_distinct(F.flatten(touched))).alias("n_removed"),
+        )
+
+    of_word = F.transform(lines(F.col(text)), lambda x, i: F.array_repeat(i, F.size(_words(x))))
+    given = F.struct(
+        F.regexp_extract(F.col(text), f"^{rows.SPACES}", 0).alias("lead"),
+        F.split(F.ltrim(F.col(text), F.lit(_BLANK)), _WORD_END, -1).alias("words"),
+        F.flatten(of_word).alias("line"),
+    )
+    return F.transform(F.transform(F.array(given), worth), of)[0]

@@ -144,3 +144,42 @@ def test_pieces_are_the_text(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for r in frame.select("i", lc.pieces(frame.t).alias("p")).collect():
         assert "".join(r.p) == texts[r.i] and r.p == cut(texts[r.i])
+
+
+def test_passages_inside_running_text_go(spark):
+    """Mid-sentence, at any word, without a sentence end in the passage or around it."""
+    rng = random.Random(11)
+    plain = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [plain(rng.randint(51, 120)) for _ in range(40)]
+    shared += [" ".join(sentence(rng) for _ in range(30)).split()[3 : 3 + rng.randint(51, 90)] for _ in range(20)]
+    shared += [[w[:1] + w[-1:] for w in plain(51)] for _ in range(5)]  # 2 letters a word
+    docs, rest = [], {}
+    for p in shared:
+        for copy in range(3):
+            before, after = plain(rng.randint(1, 90)), plain(rng.randint(1, 90))
+            if copy:
+                rest[len(docs)] = " ".join(before + after)
+            docs.append((len(docs), " ".join(before + p + after)))
+    got = out_of(spark, docs)
+    for i, t in docs:
+        assert got[i] == (t, 0) if i not in rest else (got[i][0] == rest[i] and got[i][1] > 0), i
+
+
+def test_long_words_and_lines_without_words_go(spark):
+    rng = random.Random(12)
+    urls = "\n".join(f"https://host{rng.randrange(10**6)}.example.org/{rng.randrange(10**9)}" for _ in range(4))
+    wide = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(80))
+    docs = [(i, f"{prose(rng, 3)}\n{p}\n{prose(rng, 3)}") for i, p in enumerate([urls, urls, wide, wide])]
+    got = out_of(spark, docs)
+    assert got[0] == (docs[0][1], 0) and got[2] == (docs[2][1], 0)
+    assert got[1] == (docs[1][1].replace(urls + "\n", ""), 4)
+    assert got[3] == (docs[3][1].replace(wide + "\n", ""), 1)
+
+
+def test_white_space_and_repeated_rows(spark):
+    rng = random.Random(13)
+    p = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    docs = [(1, " ".join(p)), (2, "\n " + "\n".join(p) + " \tx"), (3, "a  b\t" + "  ".join(p) + "\n\nc d")]
+    frame = spark.createDataFrame(docs + docs, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.text) for r in lc.remove_repeated(frame).collect())
+    assert got == sorted([(1, docs[0][1]), (2, "x"), (3, "a  b\tc d")] * 2)

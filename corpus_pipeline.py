@@ -49,22 +49,33 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(near_dedup.near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
-    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
+    """Of each group the document that is first by id (nulls last) and hash of the text stays.
+    Rows that repeat an id and its text are one document, and texts that differ are several."""
+    found = near_dedup.grouped(docs.select("doc_id", "text"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("_version").alias("_is"), "_component")
+    found = written(found, "near-duplicates")
+    same = F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_is") == F.col("_first._is"))
+    by = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_is")
+    first = found.filter("_component IS NOT NULL").groupBy("_component").agg(F.min(by).alias("_first"))
+    dropped = found.join(first.hint("rebalance"), "_component").filter(~same).select("_id", "_is").distinct()
+    dropped = written(dropped, "dropped")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    left = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    again = written(again.select(F.col("doc_id").alias("_id")), "repeated-ids")
+    own = docs.withColumn("_text_version", F.xxhash64("text"))
+    is_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_version") == F.col("_is"))
+    left = own.join(dropped, is_row, "left_anti")
+    # Without an id and words nothing says that two rows are one document.
+    again = found.filter("_id IS NOT NULL OR _component IS NOT NULL")
+    again = again.groupBy("_id", "_is").count().filter("count > 1").select("_id", "_is")
+    again = written(again, "repeated-rows")
     if again.isEmpty():
-        return left
-    # Rows that repeat an id are one document; the first by all its columns stays.
-    same = F.col("doc_id") == F.col("_id")
-    first = left.join(again, same, "left_semi").groupBy("doc_id").agg(
+        return left.drop("_text_version")
+    # Of rows that are one document, the first by all columns stays.
+    once = left.join(again, is_row, "left_semi").groupBy("doc_id", "_text_version").agg(
         F.min(F.struct(*docs.columns)).alias("_row")
     )
-    rest = left.join(again, same, "left_anti")
-    return rest.unionByName(first.select(*(F.col("_row")[c].alias(c) for c in docs.columns)))
+    rest = left.join(again, is_row, "left_anti").drop("_text_version")
+    return rest.unionByName(once.select(*(F.col("_row")[c].alias(c) for c in docs.columns)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -327,6 +327,14 @@ def near_duplicates(
 ) -> DataFrame:
     """The documents (``key`` and the columns ``keep``) with ``n_shingles``,
     ``component_id`` (the least key reachable) and ``kept`` (whether it is its own)."""
+    return grouped(docs, key, text, keep).drop("_version", "_component")
+
+
+def grouped(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """The same with ``_version``, the hash of the text, and ``_component``, a number that no
+    two components share, whatever their ids; null for a document without words."""
     keep = [key, *(c for c in keep or () if c != key)]
     own = docs.select(*keep, F.xxhash64(text).alias("_version"), F.col(text).alias("_text"))
     sketched = written(sketch(own, "_text", [*keep, "_version"]), "sketches")
@@ -379,15 +387,19 @@ def near_duplicates(
 
     found = components(links)
     labelled = classes.select("node", "class", "least").join(found, "node", "left")
+    number = F.coalesce("component", "node").alias("_component")
     least = labelled.filter("component IS NOT NULL").groupBy("component").agg(
         F.min("least").alias("component_least")
     )
     labelled = labelled.join(least, "component", "left").select(
-        F.col("class"), F.coalesce("component_least", "least").alias("_least")
+        F.col("class"), F.coalesce("component_least", "least").alias("_least"), number
     )
     component = F.when(F.col("class").isNull(), F.col(key)).otherwise(F.col("_least"))
     return (
         sketched.join(labelled, "class", "left")
         .withColumn("component_id", component)
-        .select(*keep, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+        .select(
+            *keep, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"),
+            "_version", "_component",
+        )
     )

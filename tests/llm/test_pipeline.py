@@ -98,3 +98,23 @@ def test_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         rows.table(spark, str(tmp_path / "odd"), t).limit(0).write.parquet(str(tmp_path / f"none/{t}.parquet"))
     assert cp.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Null ids, and ids with several texts: one document of each group and every other text stay."""
+    rng = random.Random(21)
+    prose = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e, f, g = (prose() for _ in range(7))
+    docs = [
+        (1, a), (None, a + " end"), (None, b), (None, c), (None, c), (None, c + " end"),  # nulls: b and one c stay
+        (2, a + " more"), (2, d), (3, d + " end"), (9, d + " more"),  # d's group has id 2 as first
+        (5, e), (5, f), (5, f), (6, g), (6, g + " end"), (7, None), (7, None), (None, None), (None, None), (8, ""),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = [(r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, frame, "").collect()]
+    assert len(got) == len(set(got)) + 1  # the rows without an id and a text
+    last = [x for x in got if x[0] == 6 or (x[0] is None and x[1] and x[1].startswith(c))]
+    assert len(last) == 2 and {x[0] for x in last} == {6, None}
+    rest = [x for x in got if x not in last]
+    want = [(1, a), (None, b), (2, d), (5, e), (5, f), (7, None), (None, None), (None, None), (8, "")]
+    assert sorted(rest, key=str) == sorted(want, key=str)

@@ -10,8 +10,11 @@ follows this: after a first round on all passages, only the most toxic passages
 toxic document count as toxic. Two last parameters turn the highest logit into a
 probability, set on the documents learned from.
 
-Learned from at most ``max_rows`` labelled documents of each class, the ones with the
-smallest hash of their key, whole, up to ``max_chars`` characters together. The table
+Learned from at most ``max_rows`` labelled documents with a word of each class, the ones with
+the smallest hash of their key, whole. A class has half of ``max_chars`` characters at least;
+texts longer than ``1 / LONG`` of that half come after all others, and a text that doesn't fit
+beside those before it is passed over. If none of a class fits, pieces spread over its shortest
+text are learned from. They are chosen by key and length, and only then read. The table
 (2 ** BITS rows) is sent to every task; since all is linear, only the difference of the
 two classes per row is needed there. Documents are not shuffled, and each word is scored
 once per task's memory.
@@ -32,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import rows
 
@@ -42,6 +44,7 @@ PASSAGE = 16
 SIZES = (3, 4, 5, 6)
 MAX_ROWS = 2500
 MAX_CHARS = 12_000_000
+LONG = 20
 ROUNDS = 4
 #: Passages of a gradient step; a round goes over its passages until it made so many steps.
 BATCH, STEPS = 128, 300
@@ -253,29 +256,53 @@ def learn(
         F.col("_key").isNotNull() & F.col("_toxic").isNotNull()
     )
     known = known if learn_from is None else known.filter(learn_from)
-    known = known.groupBy("_key").agg((F.max("_toxic") > 0).alias("_toxic"))
-    order = F.xxhash64("_key", F.lit(5))
-    chosen = None
-    for side in (True, False):  # the key and class only: max_rows small rows at most
-        part = known.filter(F.col("_toxic") == side).orderBy(order, "_key").limit(max_rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    ids = {r[0]: r[1] for r in chosen.collect()}
-    if not ids:
-        return None
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(k, v) for k, v in sorted(ids.items())], chosen.schema)
-    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(
-        F.col("_text").isNotNull()
-    )
-    found = found.join(F.broadcast(wanted), "_key").groupBy("_key", "_toxic").agg(
-        F.min("_text").alias("_text")
-    )
-    so_far = F.sum(F.length("_text")).over(W.orderBy(order, "_key").rowsBetween(W.unboundedPreceding, 0))
-    sample = found.withColumn("_n", so_far).filter(F.col("_n") <= max_chars).drop("_n").collect()
+    known = known.groupBy("_key").agg((F.max("_toxic") > 0).alias("_toxic")).hint("rebalance")
+    given = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    some = given.filter(F.regexp_like("_text", F.lit(r"[\p{L}\p{N}]")))
+    # Of a key with several texts, one of the shortest.
+    sizes = some.select("_key", F.struct(F.length("_text").alias("n"), F.xxhash64("_text").alias("version")).alias("_is"))
+    known = sizes.join(known, "_key").groupBy("_key", "_toxic").agg(F.min("_is").alias("_is"))
+    known = known.select("_key", "_toxic", F.col("_is.n").alias("_n"), F.col("_is.version").alias("_version"))
+    half = max_chars // 2
+    order = [F.col("_n") > half // LONG, F.xxhash64("_key", F.lit(5)), F.col("_key")]
+    parts = []
+    for side in (True, False):  # no texts: max_rows small rows at most
+        part = known.filter(F.col("_toxic") == side)
+        drawn = part.orderBy(*order).limit(max_rows).collect()
+        if not drawn:
+            return None
+        parts.append((part, drawn))
+    needed = [sum(r["_n"] for r in drawn) for _, drawn in parts]
+    wanted, cut = [], {}
+    for (part, drawn), other in zip(parts, reversed(needed)):
+        room, chosen = max(half, max_chars - other), []
+        whole = room
+        for r in drawn:
+            if r["_n"] <= room:
+                chosen.append(r)
+                room -= r["_n"]
+        if not chosen:
+            chosen = part.orderBy("_n", *order[1:]).limit(1).collect()
+            cut[chosen[0]["_key"]] = whole
+        wanted += chosen
+    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in wanted], known.schema)
+    found = given.join(F.broadcast(wanted), "_key").filter(F.xxhash64("_text") == F.col("_version"))
+    for k, whole in cut.items():
+        found = found.withColumn("_text", F.when(F.col("_key") == k, _spread(F.col("_text"), whole)).otherwise(F.col("_text")))
+    sample = found.groupBy("_key", "_toxic").agg(F.min("_text").alias("_text")).collect()
     sample.sort(key=lambda r: r["_key"])
     return train([r["_text"] for r in sample], [r["_toxic"] for r in sample])
 
 
+def _spread(text: Column, chars: int) -> Column:
+    """Pieces of a text, evenly spread over it, of so many characters together."""
+    n = max(1, chars // 1000)
+    step = (F.length(text) / n).cast("int")
+    return F.array_join(
+        F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substr(text, i * step + 1, F.lit(chars // n))), " "
+    )
+
+
 def score(
     docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None
 ) -> DataFrame:

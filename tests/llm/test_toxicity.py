@@ -93,3 +93,26 @@ def test_held_out_labels(spark):
     held = found.filter("held_out").join(labels, "doc_id").collect()
     assert len(held) > 50
     assert np.mean([r.predicted == r.toxic for r in held]) >= 0.85
+
+
+def test_long_texts_and_labels_without_a_text_do_not_end_the_sample(spark):
+    texts, toxic, common = made(120, 5)
+    long = " ".join(random.Random(6).choices(common, k=40_000))
+    docs = list(enumerate(texts)) + [(1000 + i, long) for i in range(60)] + [(3000, None)]
+    labels = [(i, int(x)) for i, x in enumerate(toxic)] + [(1000 + i, i % 2) for i in range(60)]
+    labels += [(5000 + i, i % 2) for i in range(600)] + [(3000, 1)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    learned = tx.learn(frame, known, max_rows=100, max_chars=160_000)
+    clean = " ".join(common[:50])
+    assert score(learned, clean) < 0.5 <= score(learned, f"{clean} {BAD[0]} {BAD[1]} {clean}")
+
+
+def test_a_class_of_long_texts_only_is_learned(spark):
+    rng = random.Random(9)
+    texts, toxic, common = made(120, 5)
+    long = " ".join(rng.choice(BAD) if i % 20 == 0 else rng.choice(common) for i in range(20_000))
+    docs = [(i, t) for i, (t, x) in enumerate(zip(texts, toxic)) if not x] + [(1000, long)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, int(i == 1000)) for i, _ in docs], "doc_id bigint, toxic int")
+    assert tx.learn(frame, known, max_chars=40_000) is not None

@@ -51,8 +51,58 @@ SELECT page_id, host, path, rule, CASE
          ELSE 'allow' END AS verdict
 FROM r"""
 
+_OP11 = rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_LOWER}) AS t FROM documents),
+     g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
+FROM d JOIN g USING (t)"""
+
+_OP12 = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+     h AS (SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
+     c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+     p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(pre) END AS BIGINT) AS prefix_chars,
+       CAST(CASE WHEN form <> 'plain' THEN length(mid) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+                        ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
+def _op13(rounds: int = 5, k: int = 40) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS MATERIALIZED (SELECT v.id, c.c, sum((v.x - c.x) * (v.x - c.x)) AS d FROM e AS v JOIN c{i} AS c USING (i) GROUP BY v.id, c.c),
+     a{i} AS MATERIALIZED (SELECT id, min(struct_pack(d := d, c := c)) AS m FROM d{i} GROUP BY id)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT m.c AS c, i, sum(x) AS s, count(*) AS n FROM a{i} JOIN e USING (id) GROUP BY m.c, i),
+     c{i + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{i} LEFT JOIN s{i} USING (c, i))""")
+    between = ",\n     ".join(steps)
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS id, vec_id, embedding AS v FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     q AS MATERIALIZED (SELECT id, vec_id, list_transform(v, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM k),
+     e AS MATERIALIZED (SELECT id, unnest(v) AS x, unnest(range(1, 65)) AS i FROM q),
+     f AS (SELECT id, row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c FROM q),
+     c0 AS MATERIALIZED (SELECT c, i, x FROM f JOIN e USING (id) WHERE c < {k}),
+     {between},
+     t AS (SELECT id, m.c AS c, m.d AS d FROM a{rounds}),
+     w AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS sha FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM t JOIN q USING (id) JOIN w USING (c)"""
+
+
 ORACLE: dict[str, str] = {
     "op1_decontamination": _OP1,
     "op5_near_dedup": _OP5,
     "op8_url_filter": _OP8,
+    "op11_exact_dedup": _OP11,
+    "op12_fill_in_middle": _OP12,
+    "op13_centroids": _op13(),
 }

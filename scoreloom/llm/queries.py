@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    centroids,
     decontaminate,
+    exact_dedup,
+    fill_in_middle,
     language,
     line_chunks,
     mixing,
@@ -86,6 +89,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.exact_duplicates(docs)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(docs, keep=["doc_id"]))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = rows.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.digest(*centroids.cluster(vectors))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,5 +117,8 @@ QUERIES = {
         op8_url_filter,
         op9_language_id,
         op10_mixing,
+        op11_exact_dedup,
+        op12_fill_in_middle,
+        op13_centroids,
     )
 }

@@ -15,10 +15,12 @@ have no sentence end at all, so what is looked for are seeds of two kinds:
 A seed whose hash occurs more than once is repeated; its first occurrence (by key, then
 place) stays. Repeated seeds with the same first document and distance that overlap or touch
 form a run. Its words are compared with those there by SHA-256, and it is extended word by
-word on both sides until they differ, ``REACH`` words at most (a passage that goes on has
-another seed by then). Stretches so found that overlap or touch are removed if they have ``MIN_BYTES`` bytes or ``MIN_WORDS`` words
-together, with the white space after each word. White space between words is not compared.
-What is removed equals words at an earlier place, so the first copy of any passage stays.
+word on both sides until they differ, ``REACH`` words at most (a passage that goes on is long
+enough by then). Stretches that continue each other in the same earlier document are one
+passage, and it is removed, with the white space after each word, if it has ``MIN_BYTES`` bytes
+or ``MIN_WORDS`` words by itself: short phrases that stand in several earlier documents stay,
+also where they follow each other. White space between words is not compared. What is removed
+equals words at an earlier place, so the first copy of any passage stays.
 
 All of it is column expressions, joins, aggregates and windows within one document. Seeds
 are shuffled as hashes; only repeated words and their neighbours are shuffled as text. Joins
@@ -45,8 +47,9 @@ MIN_BYTES, MIN_WORDS = 150, 50
 ONE_IN = 8
 #: Words of a window and of a seed; as many words of MIN_BYTES bytes have DENSE bytes each.
 WINDOW, SEED, DENSE = 10, 10, 8
-#: A passage has less words than a window beyond its seeds, or all but one if they are chunks.
-REACH, CHUNK_REACH = WINDOW, WINDOW + SEED
+#: Words that are compared on each side of a run. A passage may have seeds that stand in a still
+#: earlier document too; with so many words it is found whole by any seed that does not.
+REACH = MIN_WORDS
 #: Low bits of a word's hash that are replaced by its place: 2 ** 31 bytes at most are a text.
 PLACE = 30
 #: Elements of lists that may be sent to every task together, about 40 MB.
@@ -189,7 +192,7 @@ def repeated_runs(found: DataFrame) -> DataFrame:
     runs = met.groupBy(*line, "run").agg(
         F.min("start").alias("start"),
         (F.max("end") - F.min("start")).alias("n"),
-        F.when(F.max("chunk"), F.lit(CHUNK_REACH)).otherwise(F.lit(REACH)).alias("reach"),
+        F.lit(REACH).alias("reach"),
     )
     return runs.select(
         "id", "version", "start", "n", "reach",
@@ -238,8 +241,8 @@ def _equal_ahead(a: str, b: str) -> Column:
 
 
 def removable(docs: DataFrame, text: str) -> DataFrame:
-    """``id``, ``version`` and the stretches of words that stand earlier (``a`` to ``b``, in
-    order, none touching the next). ``docs`` has ``id``, ``version`` and the text."""
+    """``id``, ``version`` and the stretches of words (``a`` to ``b``, in order) that stand
+    in an earlier place as one. ``docs`` has ``id``, ``version`` and the text."""
     found = written(seeds(docs, text), "line-seeds")
     runs = written(repeated_runs(found), "line-runs")
     here = _with_words(runs, docs, text, ["k_id", "k_version", "k_start"], "d")
@@ -259,19 +262,21 @@ def removable(docs: DataFrame, text: str) -> DataFrame:
         & (F.col("n") == F.col("o_n"))
         & (F.col("reach") == F.col("o_reach"))
     )
-    met = here.join(there, same).filter(F.col("d_core") == F.col("k_core")).select(
-        "id",
-        "version",
-        (F.col("start") - _equal_ahead("d_before", "k_before")).alias("a"),
-        (F.col("start") + F.col("n") - 1 + _equal_ahead("d_after", "k_after")).alias("b"),
+    met = here.join(there, same).filter(F.col("d_core") == F.col("k_core"))
+    ahead, behind = _equal_ahead("d_before", "k_before"), _equal_ahead("d_after", "k_after")
+    met = met.select(
+        "id", "version", "k_id", "k_version", (F.col("start") - F.col("k_start")).alias("apart"),
+        (F.col("start") - ahead).alias("a"), (F.col("start") + F.col("n") - 1 + behind).alias("b"),
     )
-    met = met.groupBy("id", "version", "a").agg(F.max("b").alias("b"))
-    order = W.partitionBy("id", "version").orderBy("a")
+    # Stretches grow together only if they continue each other in one earlier document.
+    line = ["id", "version", "k_id", "k_version", "apart"]
+    met = met.groupBy(*line, "a").agg(F.max("b").alias("b"))
+    order = W.partitionBy(*line).orderBy("a")
     so_far = F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1))
     met = met.withColumn("new", F.coalesce(F.col("a") > so_far + 1, F.lit(True)).cast("int"))
     met = met.withColumn("nth", F.sum("new").over(order))
-    whole = met.groupBy("id", "version", "nth").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return whole.groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("gone"))
+    whole = met.groupBy(*line, "nth").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return whole.groupBy("id", "version").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("gone"))
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,23 +313,18 @@ def _without(text: str, gone: str) -> Column:
         long = F.filter(
             F.col(gone), lambda x: (x["b"] - x["a"] >= MIN_WORDS - 1) | (size(x) > MIN_BYTES)
         )
-        return F.struct(*(given[c].alias(c) for c in ("lead", "words", "line")), long.alias("gone"))
+        # Stretches from different earlier documents may overlap: places, each once.
+        places = F.flatten(F.transform(long, lambda x: F.sequence(x["a"], x["b"])))
+        return F.struct(*(given[c].alias(c) for c in ("lead", "words", "line")), places.alias("gone"))
 
     def of(given: Column) -> Column:
-        cut, words = given["gone"], given["words"]
-        after = lambda i: F.coalesce(F.get(cut, i)["b"] + 1, F.lit(0))
-        between = F.transform(
-            cut, lambda x, i: F.slice(words, after(i - 1) + 1, x["a"] - after(i - 1))
-        )
-        last = F.slice(words, after(F.size(cut) - 1) + 1, F.size(words))
-        lead = F.when(F.get(cut, F.lit(0))["a"] == 0, "").otherwise(given["lead"])
-        left = F.array_join(F.flatten(F.concat(between, F.array(last))), "")
-        touched = F.transform(
-            cut, lambda x: F.slice(given["line"], x["a"] + 1, x["b"] - x["a"] + 1)
-        )
+        words, gone = given["words"], given["gone"]
+        stay = F.array_except(F.sequence(F.lit(0), F.size(words) - 1), gone)
+        left = F.array_join(F.transform(stay, lambda i: F.get(words, i)), "")
+        lead = F.when(F.array_min(gone) == 0, "").otherwise(given["lead"])
+        touched = F.transform(gone, lambda i: F.get(given["line"], i))
         return F.struct(
-            F.concat(lead, left).alias("text"),
-            F.size(F.array_distinct(F.flatten(touched))).alias("n_removed"),
+            F.concat(lead, left).alias("text"), F.size(F.array_distinct(touched)).alias("n_removed")
         )
 
     of_word = F.transform(lines(F.col(text)), lambda x, i: F.array_repeat(i, F.size(_words(x))))

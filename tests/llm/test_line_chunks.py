@@ -183,3 +183,56 @@ def test_white_space_and_repeated_rows(spark):
     frame = spark.createDataFrame(docs + docs, "doc_id bigint, text string")
     got = sorted((r.doc_id, r.text) for r in lc.remove_repeated(frame).collect())
     assert got == sorted([(1, docs[0][1]), (2, "x"), (3, "a  b\tc d")] * 2)
+
+
+def test_short_phrases_of_several_documents_stay(spark):
+    rng = random.Random(14)
+    plain = lambda n: " ".join(f"x{rng.randrange(1000)}" for _ in range(n))
+    phrases = [plain(20) for _ in range(6)]
+    docs = [(i, f"{plain(30)} {p} {plain(30)}") for i, p in enumerate(phrases)]
+    docs += [(50, " ".join(phrases)), (51, "\n".join(phrases[::-1]) + "\n" + plain(5))]
+    assert out_of(spark, docs) == {i: (t, 0) for i, t in docs}
+
+
+def test_stretches_of_two_documents_that_overlap(spark):
+    rng = random.Random(15)
+    w = [f"y{rng.randrange(10**6)}" for _ in range(100)]
+    text = lambda *parts: " ".join(x for p in parts for x in p)
+    own = [[f"z{rng.randrange(10**6)}" for _ in range(20)] for _ in range(6)]
+    docs = [(0, text(own[0], w[:60], own[1])), (1, text(own[2], w[50:], own[3])), (2, text(own[4], w, own[5]))]
+    got = out_of(spark, docs)
+    assert got[0] == (docs[0][1], 0) and got[1] == (docs[1][1], 0)
+    assert got[2][0] == text(own[4], own[5])
+
+
+def repeated_at(docs, minimum=lc.MIN_WORDS):
+    """Per document the places of words that any earlier place (document, then word) has with
+    ``minimum - 1`` or more neighbours in a row: by looking at all windows of all texts."""
+    seen, out = set(), {}
+    for i, t in docs:
+        words, gone = t.split(), set()
+        for s in range(len(words) - minimum + 1):
+            window = tuple(words[s : s + minimum])
+            if window in seen:
+                gone.update(range(s, s + minimum))
+            seen.add(window)
+        out[i] = gone
+    return out
+
+
+@pytest.mark.parametrize("seed", [16, 17])
+def test_all_places_against_all_windows(spark, seed):
+    """Words so long that 50 of them and not 150 bytes decide, so that the windows are the rule."""
+    rng = random.Random(seed)
+    plain = lambda n: [chr(97 + rng.randrange(26)) + chr(97 + rng.randrange(26)) for _ in range(n)]
+    shared = [plain(rng.randint(30, 90)) for _ in range(8)]
+    docs = []
+    for i in range(60):
+        parts = [plain(rng.randint(5, 60))]
+        for _ in range(rng.randrange(3)):
+            parts += [rng.choice(shared), plain(rng.randint(5, 60))]
+        docs.append((i, " ".join(w for p in parts for w in p)))
+    want, got = repeated_at(docs), out_of(spark, docs)
+    for i, t in docs:
+        left = [w for s, w in enumerate(t.split()) if s not in want[i]]
+        assert got[i][0].split() == left, i

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 import re
 
 from scoreloom.functions import severity, wording
 
 from . import registry_rows as fixed
-from .queries import EXAMPLES, STORED_INTRO, SYSTEM
+from .queries import EXAMPLES, SEEDS, STORED_INTRO, SYSTEM
 from .views import duck_view
 
 NL = "chr(10)"
@@ -955,6 +957,200 @@ add(
     f"SELECT model, count(*) AS requests, count(*) - count(text) AS failures FROM {src('responses')} GROUP BY model",
 )
 
+# Corpus
+
+# Markup in the syntax of the other engine: no possessive quantifiers, no references back.
+_S = r"[\x20\x09-\x0D]"
+_IN = r"""(?:[^>"']|"[^"]*"|''[^'']*''|["''])*(?:>|\z)""".replace("[^>\"']", "[^>\"'']")
+_REST = rf"(?:[\x20\x09-\x0D/]{_IN}|>|\z)"
+_RAW = "script style noscript template title textarea svg iframe select".split()
+_UNREAD = "|".join(
+    [r"<!--(?:.*?-->|.*\z)"]
+    + [rf"<{e}{_REST}(?:.*?</{e}(?:[\x20\x09-\x0D/][^>]*)?(?:>|\z)|.*\z)" for e in _RAW]
+    + [r"<[!?][^>]*(?:>|\z)", r"</[^a-z>][^>]*(?:>|\z)"]
+)
+_BREAKING = (
+    "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption "
+    "figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary "
+    "table tbody td tfoot th thead tr ul"
+).replace(" ", "|")
+_APART = (
+    "ad ads advert advertisement banner breadcrumb breadcrumbs cookie cookies footer menu nav navbar navigation promo "
+    "share sidebar social sponsor sponsored widget"
+).replace(" ", "|")
+_NAMED = rf"""(?:"(?:[^"]*[^A-Za-z0-9"])?(?:{_APART})(?:[^A-Za-z0-9"][^"]*)?"|''(?:[^'']*[^A-Za-z0-9''])?(?:{_APART})(?:[^A-Za-z0-9''][^'']*)?'')"""
+_SUBSTITUTIONS = [
+    (r"[\x01-\x05]", " "),
+    (f"(?is){_UNREAD}", " "),
+    (f"(?i)<a{_REST}", "\x01"),
+    (f"(?i)</a{_REST}", "\x02"),
+    (f"(?i)<(?:aside|footer|form|menu|nav){_REST}", "\x04"),
+    (
+        f"(?i)<(?:div|header|ol|p|section|table|ul){_S}(?:[^>]*?{_S})?(?:class|id|role){_S}*={_S}*{_NAMED}{_IN}",
+        "\x04",
+    ),
+    (f"(?i)<(?:{_BREAKING}){_REST}", "\x03"),
+    (f"(?i)</(?:{_BREAKING}){_REST}", "\x05"),
+    (rf"(?i)</?[a-z][^\x20\x09-\x0D/>]*{_REST}", ""),
+]
+_JOINED = [
+    (r"[\x20\x09-\x0D\x{0085}\x{00A0}]+", " "),
+    (r"\x04 ?\x05", "\x03"),
+    (r"[\x03\x05][\x03\x05 ]*", "\x03"),
+    (r" ?\x03?\x04[\x03\x04 ]*", "\x04"),
+]
+
+
+def _chr(x: str) -> str:
+    return "''" if x == "" else " || ".join(f"chr({ord(c)})" for c in x)
+
+
+def _substituted(column: str, pairs) -> str:
+    for pattern, by in pairs:
+        column = f"regexp_replace({column}, '{pattern}', {_chr(by)}, 'g')"
+    return column
+
+
+_NAMES = ", ".join(f"'{n}': chr({c})" for n, c in [*name2codepoint.items(), ("apos", 39)])
+_COUNT = "len(string_split({0}, ' '))"
+add(
+    "page_text",
+    rf"""
+    WITH marked AS (SELECT page_id, string_split({_substituted("coalesce(html, '')", _SUBSTITUTIONS)}, '&') AS parts FROM pages),
+    part AS (SELECT page_id, i, parts[i] AS p, regexp_extract(parts[i], '^#([0-9]{{1,9}});', 1) AS d,
+             regexp_extract(parts[i], '^#[xX]([0-9A-Fa-f]{{1,8}});', 1) AS x, regexp_extract(parts[i], '^([A-Za-z][A-Za-z0-9]*);', 1) AS n
+             FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM marked)),
+    coded AS (SELECT *, CASE WHEN d <> '' THEN CAST(d AS BIGINT) WHEN x <> '' THEN CAST('0x' || x AS BIGINT) END AS c,
+              MAP {{{_NAMES}}}[n] AS named, substr(p, strpos(p, ';') + 1) AS rest FROM part),
+    decoded AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN p
+                WHEN c = 0 OR c > 1114111 OR c BETWEEN 55296 AND 57343 THEN chr(65533) || rest
+                WHEN c < 32 THEN ' ' || rest WHEN c IS NOT NULL THEN chr(CAST(c AS INT)) || rest
+                WHEN named IS NOT NULL THEN named || rest ELSE '&' || p END, '' ORDER BY i) AS t FROM coded GROUP BY page_id),
+    joined AS (SELECT page_id, regexp_extract_all({_substituted("t", _JOINED)}, '[]?[^]+') AS pieces FROM decoded),
+    piece AS (SELECT page_id, i, starts_with(pieces[i], chr(4)) AS apart,
+              trim(regexp_replace(regexp_replace(pieces[i], '[-]', '', 'g'), ' +', ' ', 'g')) AS t,
+              trim(regexp_replace(regexp_replace(regexp_replace(pieces[i], '\A[^]*|[^]*(?:|\z)', ' ', 'g'),
+                   '[-]', '', 'g'), ' +', ' ', 'g')) AS u
+              FROM (SELECT page_id, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM joined)),
+    sized AS (SELECT page_id, i, t, apart, {_COUNT.format('t')} AS w,
+              {_COUNT.format('t')} - CASE WHEN u = '' THEN 0 ELSE {_COUNT.format('u')} END AS l FROM piece WHERE t <> ''),
+    judged AS (SELECT *, NOT apart AND 3 * l <= w AS plain, NOT apart AND 3 * l <= w AND w >= 15 AS long FROM sized),
+    beside AS (SELECT *, plain AND (long OR coalesce(lag(long) OVER o, FALSE) OR coalesce(lead(long) OVER o, FALSE)) AS kept
+               FROM judged WINDOW o AS (PARTITION BY page_id ORDER BY i))
+    SELECT pages.page_id, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (kept), '') AS text, count(i) AS n_blocks,
+           count(i) FILTER (kept) AS n_kept
+    FROM pages LEFT JOIN beside ON beside.page_id = pages.page_id GROUP BY pages.page_id
+    """,
+)
+
+_FOLDED = r"lower(trim(regexp_replace(text, '[\x20\x09-\x0D\x{0085}\x{00A0}]+', ' ', 'g')))"
+_CLASSED = f"""
+    (SELECT doc_id, n_chars, lang, source, text, h, CASE WHEN h IS NOT NULL THEN min(doc_id) OVER (PARTITION BY h) END AS keep_id,
+            CASE WHEN h IS NOT NULL THEN count(*) OVER (PARTITION BY h) END AS n
+     FROM (SELECT *, md5({_FOLDED}) AS h FROM documents) AS x)"""
+add(
+    "exact_dedup",
+    f"""
+    SELECT doc_id, h AS class_hash, keep_id, n AS class_size, h IS NULL OR doc_id = keep_id AS kept FROM {_CLASSED}
+    """,
+)
+add(
+    "exact_classes",
+    f"SELECT h AS class_hash, min(doc_id) AS keep_id, count(*) AS class_size FROM {_CLASSED} WHERE h IS NOT NULL GROUP BY h",
+)
+add(
+    "dedup_keep_best",
+    f"""
+    SELECT doc_id, text, lang, source, n_chars
+    FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY n_chars DESC NULLS LAST, doc_id) AS r FROM {_CLASSED}) AS x
+    WHERE r = 1 OR h IS NULL
+    """,
+)
+_WORDS = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
+add(
+    "corpus_stats",
+    f"""
+    SELECT source, lang, CAST(GROUPING_ID(source, lang) AS BIGINT) AS level, count(*) AS documents,
+           CAST(sum(CASE WHEN w = 0 THEN 1 ELSE 0 END) AS BIGINT) AS blank, CAST(sum(w) AS BIGINT) AS words,
+           CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, min(w) AS fewest, max(w) AS most
+    FROM (SELECT *, {_WORDS} AS w FROM documents) AS x GROUP BY CUBE (source, lang)
+    """,
+)
+add(
+    "replay_mix",
+    """
+    SELECT doc_id, source, lang, 'domain' AS origin FROM documents WHERE starts_with(source, 'src1')
+    UNION ALL
+    SELECT doc_id, source, lang, 'replay' AS origin FROM (
+      SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY md5(CAST(doc_id AS VARCHAR))) AS r,
+             count(*) OVER (PARTITION BY source, lang) AS n
+      FROM documents WHERE NOT coalesce(starts_with(source, 'src1'), FALSE)) AS x
+    WHERE r <= (n + 9) // 10
+    """,
+)
+_NOTICES = [
+    ("apache-2.0", r"apache{s}license,?{s}version{s}2(?:\.0)?"),
+    ("cc-by-nc", r"cc[ -]by-nc(?:-(?:sa|nd))?(?: [0-9]\.[0-9])?"),
+    ("cc-by-sa", r"cc[ -]by-sa(?: [0-9]\.[0-9])?"),
+    ("cc-by", r"cc[ -]by(?: [0-9]\.[0-9])?"),
+    ("cc0", r"cc0|public{s}domain{s}dedication"),
+    ("gpl", r"gnu{s}(?:lesser{s}|affero{s})?general{s}public{s}license"),
+    ("mit", r"mit{s}license"),
+    ("bsd", r"bsd{s}(?:[234]-clause{s})?license"),
+    ("mpl-2.0", r"mozilla{s}public{s}license"),
+    ("reserved", r"all{s}rights{s}reserved"),
+    ("terms", r"terms{s}of{s}(?:service|use)"),
+]
+_NOTICES = [(i, p.replace("{s}", r"[\x20\x09-\x0D]+")) for i, p in _NOTICES]
+_ANY_NOTICE = "|".join(f"(?:{p})" for _, p in _NOTICES)
+_WHICH = " ".join(rf"WHEN regexp_full_match(x, '(?i)(?:{p})') THEN '{i}'" for i, p in _NOTICES)
+_SCANNED = rf"""
+    (SELECT doc_id, source, found, list_filter(found, lambda x, i: list_position(found, x) = i) AS ids FROM (
+       SELECT doc_id, source, list_transform(regexp_extract_all(coalesce(text, ''),
+              '(?i)(?:\A|[^A-Za-z0-9])({_ANY_NOTICE})(?:\z|[^A-Za-z0-9])', 1), lambda x: CASE {_WHICH} END) AS found
+       FROM documents) AS y)"""
+add(
+    "licence_scan",
+    f"SELECT doc_id, array_to_string(ids, ',') AS licences, CAST(len(found) AS BIGINT) AS n_notices FROM {_SCANNED}",
+)
+add(
+    "licences_by_source",
+    f"""
+    WITH s AS (SELECT doc_id, source, len(found) AS n, CASE WHEN len(ids) = 0 THEN ['none'] ELSE ids END AS ids FROM {_SCANNED}),
+    e AS (SELECT source, ids[i] AS licence, i, n FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM s))
+    SELECT source, licence, CAST(GROUPING_ID(source, licence) AS BIGINT) AS level,
+           CASE WHEN GROUPING_ID(source, licence) = 0 THEN count(*) ELSE count(*) FILTER (i = 1) END AS documents,
+           CAST(sum(CASE WHEN i = 1 THEN n ELSE 0 END) AS BIGINT) AS notices
+    FROM e GROUP BY ROLLUP (source, licence)
+    """,
+)
+add(
+    "seed_categories",
+    f"""
+    WITH m AS (SELECT DISTINCT doc_id, source, text, coalesce(category, 'none') AS category, coalesce(kind, 'none') AS kind
+               FROM documents LEFT JOIN {values(SEEDS, "seeds(prefix, category, kind)")} ON starts_with(source, prefix))
+    SELECT category, kind, CAST(GROUPING_ID(category, kind) AS BIGINT) AS level, count(DISTINCT source) AS sources,
+           count(*) AS documents, CAST(sum({_WORDS}) AS BIGINT) AS words
+    FROM m GROUP BY CUBE (category, kind)
+    """,
+)
+add(
+    "validate_conversations",
+    f"""
+    WITH n AS (SELECT *, lead(turn) OVER w AS nt, lead(role) OVER w AS nr, row_number() OVER w AS rn
+               FROM {src('chat')} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    c AS (SELECT conv_id, count(*) AS n_turns, min(turn) = 0 AND bool_and(nt IS NULL OR nt = turn + 1) AS contiguous,
+          bool_and(coalesce(role IN ('system', 'user', 'assistant'), FALSE)) AS roles_known,
+          bool_and(coalesce(role <> 'system' OR turn = 0, FALSE)) AS system_first,
+          bool_and(coalesce(nt IS NULL OR CASE WHEN role = 'user' THEN nr = 'assistant' ELSE nr = 'user' END, FALSE))
+            AND bool_and(rn > 1 OR coalesce(role IN ('system', 'user'), FALSE)) AS alternates,
+          bool_and(nt IS NOT NULL OR coalesce(role = 'assistant', FALSE)) AS answered,
+          bool_and(coalesce({strip('text')} <> '', FALSE)) AS no_blank
+          FROM n GROUP BY conv_id)
+    SELECT *, contiguous AND roles_known AND system_first AND alternates AND answered AND no_blank AS valid FROM c
+    """,
+)
+
 # Extension
 
 add(

@@ -17,6 +17,8 @@ from scoreloom.functions import text as T
 from scoreloom.operators import (
     aggregate,
     conversations,
+    corpus,
+    pages,
     prompts,
     results,
     sampling,
@@ -33,6 +35,10 @@ OPTIONS = ["opt_a", "opt_b", "opt_c", "opt_d"]
 STORED_INTRO = "Read the question. "
 EXAMPLES = "Question: Which are even? A: 1 B: 2 C: 3 D: 4\nAnswer: BD"
 SYSTEM = "Answer in one line."
+SEEDS = [
+    ("src1", "knowledge", "reference"), ("src12", "knowledge", "reference"), ("src2", "skills", "reference"),
+    ("src1", "tools", "manual"), ("src3", "tools", "manual"), ("src4", "tools", "reference"),
+]
 QUERIES = {}
 
 
@@ -885,6 +891,71 @@ def reply_failure_rates(spark, sf):
     return conversations.failure_rates(view(spark, sf, "responses"))
 
 
+# Corpus
+
+
+@query
+def page_text(spark, sf):
+    return pages.page_text(table(spark, sf, "pages")).select("page_id", "text", "n_blocks", "n_kept")
+
+
+def documents(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+@query
+def exact_dedup(spark, sf):
+    return corpus.exact_dedup(documents(spark, sf))
+
+
+@query
+def exact_classes(spark, sf):
+    return corpus.exact_classes(documents(spark, sf))
+
+
+@query
+def dedup_keep_best(spark, sf):
+    df = documents(spark, sf)
+    members = corpus.exact_dedup(df).select("doc_id", col("class_hash").alias("cluster"))
+    return corpus.keep_best(df, members, ["n_chars"])
+
+
+@query
+def corpus_stats(spark, sf):
+    stats = corpus.corpus_stats(documents(spark, sf), ["source", "lang"])
+    return stats.drop("texts", "words_p50", "words_p90", "words_p99")  # estimates; see the tests
+
+
+@query
+def replay_mix(spark, sf):
+    df = documents(spark, sf)
+    domain = col("source").startswith("src1")
+    mixed = corpus.replay_mix(df.where(domain), df.where(~F.coalesce(domain, F.lit(False))), 0.1, ["source", "lang"])
+    return mixed.select("doc_id", "source", "lang", "origin")
+
+
+@query
+def licence_scan(spark, sf):
+    found = corpus.licence_scan(documents(spark, sf))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), "n_notices")
+
+
+@query
+def licences_by_source(spark, sf):
+    return corpus.licences_by_source(corpus.licence_scan(documents(spark, sf)))
+
+
+@query
+def seed_categories(spark, sf):
+    seeds = session.local_table(spark, SEEDS, "prefix string, category string, kind string")
+    return corpus.seed_categories(documents(spark, sf), seeds)
+
+
+@query
+def validate_conversations(spark, sf):
+    return conversations.validate_conversations(chat(spark, sf))
+
+
 # Extension
 
 

@@ -141,3 +141,48 @@ def failure_rates(replies: DataFrame, key: str = "model", text: str = "text") ->
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col(text).isNull()).alias("failures"),
     )
+
+
+#: Who may speak.
+ROLES = ("system", "user", "assistant")
+
+
+def validate_conversations(turns: DataFrame, size: int = BLOCK) -> DataFrame:
+    """One row per conversation with ``n_turns``, a flag per rule, and ``valid``, all of them:
+
+    ``contiguous``: turns are 0, 1, 2 and so on; ``roles_known``; ``system_first``: only turn 0 may
+    be a system message; ``alternates``: a user speaks first, then assistant and user in turn;
+    ``answered``: the assistant has the last word; ``no_blank``: every message has some text.
+
+    Each turn is checked against the next one, found in blocks of ``size`` turns with the first
+    row of the next block carried over, so a conversation of any length is many tasks. The
+    flags are aggregates that combine before the shuffle. A null turn or role breaks the
+    rules about it; repeated turns are not contiguous; a null ``conv_id`` is a conversation.
+    """
+    # A key that equals itself also where it is null, for the joins that carry rows over.
+    own = turns.select("turn", "role", "text", F.array("conv_id").alias("_conv"))
+    linked = with_next(own, "_conv", "turn", ["turn", "role"], size)
+    role, after = F.col("role"), F.col("next_role")
+    last = F.col("next_turn").isNull() & F.col("turn").isNotNull()
+    first = F.min_by(role, F.struct(F.col("turn").isNotNull().alias("a"), F.col("turn").alias("b")))
+    follows = F.when(role == "user", after == "assistant").otherwise(after == "user")
+
+    def every(rule: Column) -> Column:
+        return F.bool_and(F.coalesce(rule, F.lit(False)))
+
+    checked = linked.groupBy("_conv").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        (every(last | (F.col("next_turn") == F.col("turn") + 1)) & F.coalesce(F.min("turn") == 0, F.lit(False))).alias(
+            "contiguous"
+        ),
+        every(role.isin(*ROLES)).alias("roles_known"),
+        every((role != "system") | (F.col("turn") == 0)).alias("system_first"),
+        (every(last | follows) & F.coalesce(first.isin("system", "user"), F.lit(False))).alias("alternates"),
+        every(~last | (role == "assistant")).alias("answered"),
+        every(strip(F.col("text")) != "").alias("no_blank"),
+    )
+    flags = ["contiguous", "roles_known", "system_first", "alternates", "answered", "no_blank"]
+    valid = F.lit(True)
+    for flag in flags:
+        valid = valid & F.col(flag)
+    return checked.select(F.col("_conv")[0].alias("conv_id"), "n_turns", *flags, valid.alias("valid"))

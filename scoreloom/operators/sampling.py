@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 SALTS = 64
 
 
-def _ranked(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_last()))
+def _ranked(df: DataFrame, by: list[str], order: str, n: int, ties: list[Column] = []) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_last(), *ties))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
@@ -21,8 +21,8 @@ def _place(order: str) -> Column:
 def limit_per_task(
     df: DataFrame, n: int, task: str = "task", order: str = "item_id", salts: int = SALTS
 ) -> DataFrame:
-    """The first ``n`` rows of each task by ``order``; a null order comes last, and rows
-    without a task are a task.
+    """The first ``n`` rows of each task by ``order``; a null order comes last, rows without a
+    task are a task, and of rows that are equal in ``order`` those whose values hash lowest stay.
 
     The last place to keep is found per task from two columns alone, ranked first
     within salted parts of a task and then over the survivors; Spark drops what can't
@@ -34,8 +34,10 @@ def limit_per_task(
     lasts = survivors.groupBy(F.col(task).alias("_task")).agg(F.max(_place(order)).alias("_last"))
     near = df.join(lasts, F.col(task).eqNullSafe(F.col("_task")))
     kept = near.where(_place(order) <= F.col("_last")).select(*df.columns)
-    # Ids that repeat are all that can still make more than n.
-    return _ranked(kept, [task], order, n)
+    # Ids that repeat are all that can still make more than n. Which of them stay is settled by
+    # the rows themselves, so that reruns agree.
+    comparable = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    return _ranked(kept, [task], order, n, [F.xxhash64(*comparable)])
 
 
 def attach_few_shots(

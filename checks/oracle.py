@@ -9,7 +9,7 @@ import re
 from scoreloom.functions import severity, wording
 
 from . import registry_rows as fixed
-from .queries import EXAMPLES, SEEDS, STORED_INTRO, SYSTEM
+from .queries import EXAMPLES, PHRASES, SEEDS, STORED_INTRO, SYSTEM
 from .views import duck_view
 
 NL = "chr(10)"
@@ -1151,6 +1151,28 @@ add(
     """,
 )
 
+_PHRASES = [(" ".join(re.findall("[a-z0-9]+", p.lower())), len(re.findall("[a-z0-9]+", p.lower())), w) for p, w in PHRASES]
+add(
+    "domain_filter_lexicon",
+    rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{Nd}}]+') AS w FROM documents),
+    p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+    x AS (SELECT * FROM {values(_PHRASES, "x(phrase, n, weight)")}),
+    q AS (SELECT doc_id, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM p, (SELECT DISTINCT n FROM x) AS y
+          WHERE w[i] IN (SELECT string_split(phrase, ' ')[1] FROM x) AND i + n - 1 <= len(w)),
+    m AS (SELECT doc_id, i, max(n) AS n, max_by(weight, n) AS weight FROM q JOIN x USING (phrase) GROUP BY doc_id, i),
+    l AS (SELECT doc_id, list(struct_pack(free := i + n, at := i, n := 1, weight := weight) ORDER BY i) AS ms FROM m GROUP BY doc_id),
+    g AS (SELECT doc_id, list_reduce(ms, lambda a, x: CASE WHEN x.at < a.free THEN a ELSE
+            struct_pack(free := x.free, at := x.at, n := a.n + 1, weight := a.weight + x.weight) END) AS s FROM l)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(s.n, 0) AS BIGINT) AS n_phrases,
+           CAST(coalesce(s.weight, 0) AS BIGINT) AS weight, len(w) > 0 AND 1000 * coalesce(s.weight, 0) >= 90 * len(w) AS in_domain
+    FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+    """,
+)
+
+#: Queries that SQL can't express: a trained model, tested on held-out rows.
+WITHOUT_SQL = {"domain_filter_model"}
+
 # Extension
 
 add(

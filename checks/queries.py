@@ -18,6 +18,7 @@ from scoreloom.operators import (
     aggregate,
     conversations,
     corpus,
+    filters,
     pages,
     prompts,
     results,
@@ -35,6 +36,11 @@ OPTIONS = ["opt_a", "opt_b", "opt_c", "opt_d"]
 STORED_INTRO = "Read the question. "
 EXAMPLES = "Question: Which are even? A: 1 B: 2 C: 3 D: 4\nAnswer: BD"
 SYSTEM = "Answer in one line."
+PHRASES = [
+    ("the", 1), ("of the", 3), ("the end of", 4), ("of", 1), ("in the", 2), ("that is", 2), ("is", 1), ("is the", 4),
+    ("the of", 2), ("de la", 3), ("la", 1), ("des", 2), ("license", 5), ("License, Version 2", 9),
+    ("GNU General Public License", 12), ("general public", 3), ("all rights", 4), ("and to", 2), ("to the", 2),
+]
 SEEDS = [
     ("src1", "knowledge", "reference"), ("src12", "knowledge", "reference"), ("src2", "skills", "reference"),
     ("src1", "tools", "manual"), ("src3", "tools", "manual"), ("src4", "tools", "reference"),
@@ -956,6 +962,24 @@ def validate_conversations(spark, sf):
     return conversations.validate_conversations(chat(spark, sf))
 
 
+@query
+def domain_filter_lexicon(spark, sf):
+    found = filters.domain_filter_lexicon(documents(spark, sf), PHRASES, per_thousand=90)
+    return found.select("doc_id", "n_words", "n_phrases", "weight", "in_domain")
+
+
+@query
+def domain_filter_model(spark, sf):
+    """Learned from four fifths of the labelled documents, applied to all."""
+    df = documents(spark, sf)
+    held_out = F.crc32(col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, sf, "labels").select("doc_id", col("quality").alias("label"))
+    path = session.scratch_path(spark, "domain-model")
+    filters.fit_domain_model(df.where(~held_out).join(labels, "doc_id"), path)
+    scored = filters.score_domain_model(df, path)
+    return scored.select("doc_id", held_out.alias("held_out"), "domain_score", "in_domain")
+
+
 # Extension
 
 

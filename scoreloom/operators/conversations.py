@@ -178,7 +178,7 @@ def validate_conversations(turns: DataFrame, size: int = BLOCK) -> DataFrame:
         every(role.isin(*ROLES)).alias("roles_known"),
         every((role != "system") | (F.col("turn") == 0)).alias("system_first"),
         (every(last | follows) & F.coalesce(first.isin("system", "user"), F.lit(False))).alias("alternates"),
-        every(~last | (role == "assistant")).alias("answered"),
+        (every(~last | (role == "assistant")) & F.bool_or(last)).alias("answered"),
         every(strip(F.col("text")) != "").alias("no_blank"),
     )
     flags = ["contiguous", "roles_known", "system_first", "alternates", "answered", "no_blank"]

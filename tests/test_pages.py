@@ -1,0 +1,105 @@
+"""Text of pages: malformed markup, character references, navigation."""
+
+import html as stdlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from scoreloom.functions import markup
+from scoreloom.operators.pages import page_text
+
+WORDS = " ".join(f"word{i}" for i in range(16))
+
+
+def texts(spark, pages, **more):
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    return [r.text for r in page_text(frame, **more).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (None, ""),
+        ("", ""),
+        ("just text, no tag " + WORDS, "just text, no tag " + WORDS),
+        (f"<p>{WORDS}", WORDS),  # never closed
+        (f"<P CLASS=x>{WORDS}</P\n>", WORDS),
+        (f"<p title='a>b' x=\"</p>\">{WORDS}</p>", WORDS),
+        (f"<p title=\"it's\">{WORDS}</p>", WORDS),
+        (f"<p>{WORDS} a < b, c <3 and d > e</p>", f"{WORDS} a < b, c <3 and d > e"),
+        (f"<p>{WORDS}<", WORDS + "<"),
+        (f"<p>{WORDS}<b", WORDS),  # a tag that the page ends in
+        (f"<p>{WORDS}</>", WORDS + "</>"),
+        (f"<p>in<b>ner</b> {WORDS}</p>", f"inner {WORDS}"),
+        (f"<!-- <p>{WORDS}</p> --><p>{WORDS} x", WORDS + " x"),
+        (f"<p>{WORDS}<!-- never closed <p>{WORDS}", WORDS),
+        (f"<script>var a='<!--', b='<p>{WORDS}</p>'</script ><p>{WORDS} y", WORDS + " y"),
+        (f"<!-- <script> --><p>{WORDS}</p>", WORDS),
+        (f"<script>never closed <p>{WORDS}", ""),
+        (f"<style>p::before{{content:'</p>'}}</style><p>{WORDS}", WORDS),
+        (f"<SCRIPT src=x>a</sCript><p>{WORDS}", WORDS),
+        (f"<scripts>{WORDS}</scripts>", WORDS),  # another element
+        (f"<!DOCTYPE html><?xml a?><title>{WORDS}</title><p>{WORDS}", WORDS),
+        (f"<p>{WORDS}\n\t two &nbsp; blanks</p>", f"{WORDS} two blanks"),
+        (f"<p>{WORDS}</p><h2>A heading</h2><p>{WORDS}</p>", f"{WORDS}\nA heading\n{WORDS}"),
+        (f"<p>{WORDS}</p><p>near</p><p>far</p>", f"{WORDS}\nnear"),
+        (f"<nav><p>{WORDS}</p></nav><p>{WORDS} z</p>", f"{WORDS} z"),
+        (f"<nav></nav><p>{WORDS} z</p>", f"{WORDS} z"),
+        (f"<div class='top ad-box'>{WORDS}</div><div class='shadow'>{WORDS} z</div>", f"{WORDS} z"),
+        (f"<p><a href=x>{WORDS}</a> two words</p>", ""),
+        (f"<p>{WORDS} <a href='x>y'>one link</a></p>", f"{WORDS} one link"),
+        (f"<p><a href=x>{WORDS}<p>{WORDS} z", f"{WORDS} z"),  # a link that is never closed
+        (f"<p>\x01{WORDS}\x04</p>", WORDS),
+        ("<ul>" + "<li><a href=x>Home page</a></li>" * 30 + f"</ul><p>{WORDS}", WORDS),
+    ],
+)
+def test_pages(spark, page, text):
+    assert texts(spark, [page]) == [text]
+
+
+def test_references(spark):
+    given = [
+        "&amp;lt;", "a &lt; b", "&eacute;&Eacute;", "&#233;&#xe9;&#XE9;", "&#128512;", "&#x1F600;", "&#0;",
+        "&#xD800;", "&#1114112;", "&#99999999999;", "&bogus;", "&amp", "&;", "& &&", "&apos;&quot;", "x&#65;&#66;y",
+    ]
+    want = [
+        "&lt;", "a < b", "éÉ", "ééé", "😀", "😀", "�", "�", "�", "&#99999999999;", "&bogus;", "&amp", "&;", "& &&",
+        "'\"", "xABy",
+    ]
+    frame = spark.createDataFrame(list(enumerate(given)), "i int, t string")
+    got = [r.x for r in frame.select("i", markup.references(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == want
+    for text, out in zip(given[:6], want[:6]):
+        assert stdlib.unescape(text) == out
+
+
+def test_long_and_hostile_pages(spark):
+    pages = [
+        "<p>" * 100_000 + WORDS,
+        f"<p {'x=1 ' * 50_000}>{WORDS}",
+        "<a " + '"' * 40_001 + f">{WORDS}",
+        f"{WORDS} " * 20_000,
+        "<" * 50_000 + f"<p>{WORDS}",
+        " " * 200_000 + f"<p>{WORDS}" + "<p> " * 50_000,
+        "&" * 50_000 + f"<p>{WORDS}",
+    ]
+    got = texts(spark, pages)
+    assert [t.endswith("word15") for t in got] == [True, True, False, True, True, True, True]
+    assert len(got[3].split()) == 16 * 20_000
+
+
+def test_nothing_of_any_markup_is_left(spark):
+    rng = random.Random(1)
+    parts = ["<p>", "</p>", "<a href='q'>", "</a>", "<!--", "-->", "<script>", "</script>", "<b", ">", '"', "'", "&lt;", "x ", WORDS]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(300)]
+    for text in texts(spark, pages):
+        assert not any(mark in text for mark in "\x01\x02\x03\x04\x05")
+        assert "<p>" not in text and "</a>" not in text and "<script>" not in text
+
+
+def test_counts_and_other_columns(spark):
+    frame = spark.createDataFrame([(1, f"<p>{WORDS}</p><nav>x</nav>", "t", 7)], "page_id int, html string, text string, n_kept int")
+    [r] = page_text(frame, out="body").collect()
+    assert (r.body, r.text, r.n_blocks, r.n_kept) == (WORDS, "t", 2, 1)
+    assert page_text(frame.limit(0)).count() == 0

@@ -645,12 +645,13 @@ add("score_multi_metric", f"WITH {MULTI} SELECT model, task, item_id, metric, va
 RUN = f"""
     run AS (SELECT * FROM {src('run')}),
     prompts AS (SELECT item_id, task, gold FROM {src('items')} WHERE gold <> '?'),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY model, task, item_id ORDER BY md5(text) NULLS LAST) AS nth FROM run),
     wanted AS (SELECT m.model, p.task, p.item_id, p.gold
-               FROM prompts AS p JOIN (SELECT DISTINCT model, task FROM run) AS m ON m.task = p.task),"""
+               FROM prompts AS p JOIN (SELECT DISTINCT model, task FROM run WHERE model IS NOT NULL) AS m ON m.task = p.task),"""
 CUT = RUN + LETTERED.replace(
     f"FROM {src('responses')}",
     f"""FROM (SELECT w.model, w.task, w.item_id, w.gold, {cut('r.text', NL)} AS text
-               FROM wanted AS w LEFT JOIN run AS r ON r.model = w.model AND r.task = w.task AND r.item_id = w.item_id) AS c""",
+               FROM wanted AS w LEFT JOIN ranked AS r ON r.model = w.model AND r.task = w.task AND r.item_id = w.item_id AND r.nth = 1) AS c""",
 )
 add(
     "score_responses",
@@ -658,8 +659,10 @@ add(
     WITH {MULTI.replace(LETTERED, CUT)}
     SELECT model, task, item_id, metric, value, CAST(NULL AS VARCHAR) AS reason FROM samples
     UNION ALL
-    SELECT model, task, item_id, NULL, NULL, CASE WHEN task = 'no:such' THEN 'no such task' ELSE 'no such item' END
-    FROM run AS r WHERE NOT EXISTS (SELECT 1 FROM prompts AS p WHERE p.task = r.task AND p.item_id = r.item_id)
+    SELECT model, task, item_id, NULL, NULL, CASE WHEN task = 'no:such' THEN 'no such task' WHEN NOT known THEN 'no such item'
+           WHEN model IS NULL THEN 'no model' ELSE 'repeated response' END
+    FROM (SELECT *, EXISTS (SELECT 1 FROM prompts AS p WHERE p.task = r.task AND p.item_id = r.item_id) AS known FROM ranked AS r) AS x
+    WHERE NOT known OR model IS NULL OR nth > 1
     """,
 )
 

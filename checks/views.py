@@ -88,9 +88,10 @@ FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 16 END AS n,
 WHERE choice_idx < n""",
     # Responses as a run leaves them: some are missing, some belong to no task or item.
     "run": """
-SELECT model, CASE WHEN kind = 1 THEN 'no:such' ELSE task END AS task,
-       CASE WHEN kind = 2 THEN -1 - item_id ELSE item_id END AS item_id, text
-FROM (SELECT *, @each(0, 1, 2) AS kind FROM @responses) AS r
+SELECT CASE WHEN kind < 4 THEN model END AS model, CASE WHEN kind = 1 THEN 'no:such' ELSE task END AS task,
+       CASE WHEN kind = 2 THEN -1 - item_id ELSE item_id END AS item_id,
+       CASE WHEN kind = 3 THEN 'B' || chr(10) || text ELSE text END AS text
+FROM (SELECT *, @each(0, 1, 2, 3, 4) AS kind FROM @responses) AS r
 WHERE (kind = 0 AND item_id % 11 <> 3) OR (kind > 0 AND item_id % 13 = kind)""",
     # Conversations of 450 turns with a system message.
     "long_chat": """

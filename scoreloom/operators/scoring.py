@@ -19,6 +19,9 @@ from .validation import Checked
 
 WORST_DISTANCE = 10.0
 
+#: Rejects of one repeated response that are made at once.
+STEP = 10_000
+
 
 def _flag(condition: Column) -> Column:
     return F.coalesce(condition.cast("double"), F.lit(0.0))
@@ -263,23 +266,32 @@ def score_responses(
     on its task; one without a response scores as no response does. Each response is cut at
     its task's stop strings and reduced to what its scorers extract; only that is joined to
     the gold answers on (task, item_id). A name without a scorer is an error. Responses to a
-    task or an item that is not there are rejected with the reason.
+    task or an item that is not there, without a model, or beyond the first to one prompt are
+    rejected with the reason; the first is the one whose text has the least MD5, none last.
     """
     scorers = SCORERS if scorers is None else scorers
     asked = tasks.select("task", _known(F.col("metrics"), scorers).alias("metrics"), "stops")
-    text = T.cut_at_stops(T.first_response(F.col("texts")), F.col("stops"))
-    cut = responses.join(asked, "task", "left").select(
-        "model", "task", "item_id", "metrics", text.alias("text")
-    )
-    extracted = cut.where(F.col("metrics").isNotNull()).select(
+    whole = T.first_response(F.col("texts"))
+    cut = responses.join(asked, "task").where(F.col("model").isNotNull()).select(
+        "model", "task", "item_id", "metrics", F.md5(whole).alias("_hash"),
+        T.cut_at_stops(whole, F.col("stops")).alias("text"),
+    )
+    extracted = cut.select(
         "model",
         "task",
         "item_id",
-        *[
-            F.when(F.array_contains("metrics", name), s.extract(F.col("text"))).alias(f"_{name}")
-            for name, s in scorers.items()
-        ],
+        F.struct(
+            F.col("_hash").isNull().alias("none"),
+            F.col("_hash").alias("hash"),
+            *[
+                F.when(F.array_contains("metrics", name), s.extract(F.col("text"))).alias(f"_{name}")
+                for name, s in scorers.items()
+            ],
+        ).alias("_found"),
     )
+    # A response counts once: of repeated ones that whose text hashes lowest.
+    once = extracted.groupBy("model", "task", "item_id").agg(F.min("_found").alias("_found"))
+    once = once.select("model", "task", "item_id", *(F.col("_found")[f"_{n}"].alias(f"_{n}") for n in scorers))
     # One row a task, with the models that were run on it; set apart from how it was made, so
     # that the join can be split where a task has most prompts.
     run = responses.groupBy("task").agg(F.array_sort(F.collect_set("model")).alias("_models"))
@@ -288,19 +300,39 @@ def score_responses(
     wanted = items.join(run, "task").select(
         "task", "item_id", "gold", "metrics", F.explode("_models").alias("model")
     )
-    joined = wanted.join(extracted, ["model", "task", "item_id"], "left")
+    joined = wanted.join(once, ["model", "task", "item_id"], "left")
     scores = _rows_per_score(
         joined, "metrics", scorers, lambda name, s: s.compare(F.col(f"_{name}"), F.col("gold"))
     )
-    there = responses.select("model", "task", "item_id").join(
-        asked.select("task", F.lit(True).alias("_asked")), "task", "left"
+    return Checked(accepted=scores, rejected=_unscored(responses, items, asked))
+
+
+def _unscored(responses: DataFrame, items: DataFrame, asked: DataFrame) -> DataFrame:
+    """A row per response that is not scored, with the reason; keys alone are read."""
+    known = items.select("task", "item_id").distinct().withColumn("_known", F.lit(True))
+    tasks = asked.select("task", F.lit(True).alias("_asked"))
+    there = responses.select("model", "task", "item_id").join(tasks, "task", "left")
+    marked = there.join(known, ["task", "item_id"], "left").select(
+        "model",
+        "task",
+        "item_id",
+        F.when(F.col("_asked").isNull(), "no such task")
+        .when(F.col("_known").isNull(), "no such item")
+        .when(F.col("model").isNull(), "no model")
+        .alias("reason"),
+    )
+    strays = marked.where(F.col("reason").isNotNull())
+    counts = marked.where(F.col("reason").isNull()).groupBy("model", "task", "item_id").agg(
+        F.count(F.lit(1)).alias("_n")
     )
-    known = items.select("task", "item_id").distinct()
-    lost = there.join(known, ["task", "item_id"], "left_anti")
-    reason = F.when(F.col("_asked").isNull(), "no such task").otherwise("no such item")
-    return Checked(
-        accepted=scores, rejected=lost.select("model", "task", "item_id", reason.alias("reason"))
+    # One row per response beyond the first, made in steps, for a response may be repeated much.
+    last = F.floor((F.col("_n") - 2) / STEP)
+    steps = counts.where(F.col("_n") > 1).withColumn("_step", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    in_step = F.least(F.lit(STEP).cast("bigint"), F.col("_n") - 1 - F.col("_step") * STEP)
+    repeated = steps.withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), in_step))).select(
+        "model", "task", "item_id", F.lit("repeated response").alias("reason")
     )
+    return strays.unionByName(repeated)
 
 
 def count_rejects(rejected: DataFrame) -> DataFrame:

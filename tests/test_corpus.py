@@ -157,7 +157,7 @@ def test_validation_names_the_broken_rules(spark):
         8: ([(0, "user", "u"), (0, "user", "u"), (1, "assistant", "a")], {"contiguous", "alternates"}),
         9: ([(0, "assistant", "a")], {"alternates"}),
         10: ([(None, "user", "u")], {"contiguous", "answered", "alternates"}),
-        11: ([(0, None, "u"), (1, "assistant", "a")], {"roles_known", "system_first", "alternates"}),
+        11: ([(0, None, "u"), (1, "assistant", "a")], {"roles_known", "alternates"}),
         None: (good[1:3], {"contiguous"}),
     }
     got = flags(spark, [(c, *turn) for c, (turns, _) in cases.items() for turn in turns])

@@ -1,6 +1,8 @@
 import itertools
 from decimal import ROUND_CEILING, Decimal
 
+import hashlib
+
 import pytest
 from conftest import column
 from pyspark.errors import PySparkException
@@ -240,3 +242,25 @@ def test_delta_and_judged(spark):
     judged = spark.createDataFrame([("a", "d", 1, 4.0), ("a", "d", 2, None), ("a", "d", 3, 8.0)], "model string, dimension string, item_id int, score double")
     row = aggregate.judge_score_rollup(judged).first()
     assert (row.value, row.n, row.n_unjudged) == (6.0, 2, 1)
+
+
+def test_responses_without_a_model_and_repeated_ones_are_rejects(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "STEP", 3)
+    rows = [("m", "t", 1, ["A"])] * 9 + [("m", "t", 2, ["B"]), ("m", "t", 2, ["A"]), ("m", "t", 2, None), (None, "t", 1, ["A"])]
+    rows += [("m", "t", None, ["A"]), ("m", None, 1, ["A"])]
+    responses = spark.createDataFrame(rows, "model string, task string, item_id int, texts array<string>")
+    prompts = spark.createDataFrame([("t", 1, "A"), ("t", 2, "A"), ("t", 3, "A")], "task string, item_id int, gold string")
+    tasks = spark.createDataFrame([("t", ["exact_match"], [])], "task string, metrics array<string>, stops array<string>")
+    checked = scoring.score_responses(responses, prompts, tasks)
+    # The least MD5 of A and B is A's; an answer counts once, and a prompt without one too.
+    scores = {(r.item_id, r.value) for r in checked.accepted.collect()}
+    assert checked.accepted.count() == 3 and {i for i, _ in scores} == {1, 2, 3}
+    assert (1, 1.0) in scores and (3, 0.0) in scores
+    kept = min(["A", "B"], key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    assert (2, float(kept == "A")) in scores
+    counts = {(r.model, r.task, r.reason): r.n for r in scoring.count_rejects(checked.rejected).collect()}
+    assert counts == {
+        ("m", "t", "repeated response"): 10, (None, "t", "no model"): 1, ("m", "t", "no such item"): 1,
+        ("m", None, "no such task"): 1,
+    }
+    assert checked.rejected.count() + 2 == len(rows)

@@ -69,7 +69,7 @@ def phrases(items: list[tuple[str | None, bytes | None]], window: int = WINDOW)
     for name, text in items:
         own = [codes.setdefault(w, len(codes) + 1) for w in words_of(text)]
         for i in range(max(1, len(own) - window + 1) if own else 0):
-            owners.setdefault(tuple(own[i : i + window]), set()).update([name] if name else [])
+            owners.setdefault(tuple(own[i : i + window]), set()).update([] if name is None else [name])
     matrix = np.zeros((len(owners), window), np.int64)
     for i, phrase in enumerate(owners):
         matrix[i, : len(phrase)] = phrase
@@ -307,7 +307,7 @@ def find_contamination(
     least ``percent`` of all."""
     own = benchmark.select(
         F.col(item).cast("string").alias("name"), F.col(phrase).cast("binary").alias("text")
-    ).filter(F.col("text").isNotNull())
+    ).filter(F.col("text").isNotNull()).distinct()
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-total // block_bytes) or 1
     block = F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import rows
 
@@ -127,16 +128,15 @@ def learn(
     usable = docs.filter(
         learn_from & F.col(key).isNotNull() & F.col(language).isNotNull() & F.col(text).isNotNull()
     )
-    counts = {r[0]: r[1] for r in usable.groupBy(language).count().collect()}
-    if not counts:
-        return {}
-    # A share of each language's rows by hash.
-    spread = 1 << 30
-    share = F.create_map(
-        *(F.lit(x) for name, n in counts.items() for x in (name, min(spread, spread * per_language // n)))
-    )
-    sample = usable.filter(F.pmod(F.xxhash64(key), F.lit(spread)) < share[F.col(language)])
-    chosen = sample.select(F.col(language).alias("_lang"), F.col(text).alias("_text")).repartition(8)
+    own = usable.select(F.col(language).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    # Of each language the distinct texts that hash lowest; tasks keep no more than these
+    # before they are shuffled, as hashes alone.
+    distinct = own.select("_lang", "_hash").distinct()
+    least = F.row_number().over(W.partitionBy("_lang").orderBy("_hash"))
+    first = distinct.withColumn("_nth", least).filter(F.col("_nth") <= per_language).drop("_nth")
+    # A text that very many rows share is combined before its shuffle.
+    chosen = own.join(first.hint("rebalance"), ["_lang", "_hash"], "left_semi")
+    chosen = chosen.groupBy("_lang", "_hash").agg(F.first("_text").alias("_text")).select("_lang", "_text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

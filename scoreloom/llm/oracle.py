@@ -15,7 +15,7 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOW
      dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) AS l WHERE len(w) >= n),
      hit AS (SELECT dp.doc_id, dp.i, dp.n, bw.item FROM dp JOIN bw ON bw.n = dp.n AND array_to_string(dp.w[dp.i:dp.i + dp.n - 1], ' ') = bw.win),
      hw AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit) AS p GROUP BY doc_id),
-     hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) AS i GROUP BY doc_id)
+     hi AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) AS i GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated

@@ -2,13 +2,14 @@
 
 Base counts are taken of every text in its own row. The rules compare ratios of them with
 cutoffs; a rule rejects above its cutoff. Cutoffs come from labelled documents, all of
-them a holdout since the grid is fixed beforehand: for each rule, stratum (band of length)
-and cutoff, the good documents ``n`` and the rejected good ones ``k`` are counted, and the
-cutoff holds if the exact binomial upper bound of the false rejection rate is below the
-rule's share of ``limit``, that is if P(Binomial(n, share) <= k) is at most ``alpha``
-divided by the number of all tests (rules x strata x cutoffs). The strictest cutoff that
-holds is used; where none holds, for want of labels, the rule rejects nothing. So with
-probability 1 - alpha, no stratum loses more than ``limit`` of its good documents.
+them a holdout since the grid is fixed beforehand. The grid is a chain of settings, from loose
+to strict, with one cutoff per rule each. For each stratum (band of length) and setting, the
+distinct good texts ``n`` and the rejected ones among them ``k`` are counted, and the setting
+holds if the exact binomial upper bound of the false rejection rate is below ``limit``, that
+is if P(Binomial(n, limit) <= k) is at most ``alpha`` divided by the number of strata. Settings
+are tested in their order until one fails, which needs no further correction; the last that
+held is used, and where none does, for want of labels, no rule rejects. So with probability
+1 - alpha, no stratum loses more than ``limit`` of its good documents.
 
 All of it is column expressions, one join with the labels and one sum with a row per
 stratum. Texts are not shuffled. Windows of five words are told apart by 64-bit hashes.
@@ -21,6 +22,7 @@ row gives one row.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +97,7 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         _without(F.col("text"), r"[A-Z]").alias("_capitals"),
         lines.alias("_lines"),
         F.when(F.size("words") >= WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias("_h"),
+        F.xxhash64("text").alias("text_hash"),
     )
     own = own.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"))
     own = own.withColumn("n_repeat_words", _repeat_words(F.col("_h")).cast("bigint"))
@@ -114,6 +117,7 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         failed.alias("base_failed"),
         band.alias("stratum"),
         F.struct(*(v.alias(k) for k, v in features.items())).alias("features"),
+        "text_hash",
     )
 
 
@@ -132,6 +136,56 @@ def log_at_most(k: Column, n: Column, rate: float) -> Column:
     return F.aggregate(steps, state, add, lambda s: s["sum"])
 
 
+def held_out(counted: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """``stratum`` and ``features`` of each distinct text that is labelled good: copies of a text
+    and rows that repeat one are no trials of their own."""
+    good = labels.select(F.col(key).alias("key"), F.col(label).alias("good")).dropna()
+    good = good.groupBy("key").agg(F.min("good").alias("good")).filter("good = 1").select("key")
+    held = counted.filter("NOT base_failed").select("key", "stratum", "features", "text_hash").join(good, "key")
+    return held.groupBy("stratum", "text_hash").agg(F.first("features").alias("features"))
+
+
+def chained_cutoffs(
+    counted: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    label: str = "quality",
+    limit: float = LIMIT,
+    alpha: float = ALPHA,
+    grid: dict[str, tuple[float, ...]] = GRID,
+) -> DataFrame:
+    """One row per stratum with labels: ``stratum`` and ``cutoff``, a struct with a cutoff for
+    each rule, all null where not even the loosest setting holds.
+
+    Setting ``i`` has the ``i``-th cutoff of every rule. What all its rules reject together is
+    tested at the whole ``limit``, loosest setting first, and the first that fails ends the
+    chain: its order is fixed beforehand, so each test may use the stratum's whole share of
+    ``alpha``, and only the strata divide it.
+    """
+    settings = range(min(len(c) for c in grid.values()))
+    held = held_out(counted, labels, key, label)
+
+    def over(i: int) -> Column:
+        return reduce(lambda a, b: a | b, [F.col(f"features.{r}") > c[i] for r, c in grid.items()])
+
+    summed = held.groupBy("stratum").agg(
+        F.count("*").alias("n"), *(F.sum(over(i).cast("bigint")).alias(f"t{i}") for i in settings)
+    )
+    n, level = F.col("n").cast("double"), math.log(alpha / (len(BANDS) + 1))
+
+    def holds(i: int) -> Column:
+        k = F.col(f"t{i}")
+        possible = F.when(k <= n * limit, k).otherwise(0)
+        return (k <= n * limit) & (log_at_most(possible, n, limit) <= level)
+
+    last = F.lit(-1)
+    for i in reversed(settings):  # settings before the first that fails
+        last = F.when(~holds(i), i - 1).otherwise(F.lit(i) if i == settings[-1] else last)
+    chosen = summed.select("stratum", last.alias("last"))
+    at = [F.get(F.array(*(F.lit(x) for x in c)), F.col("last")).alias(r) for r, c in grid.items()]
+    return chosen.select("stratum", F.struct(*at).alias("cutoff"))
+
+
 def cutoffs(
     counted: DataFrame,
     labels: DataFrame,
@@ -141,11 +195,9 @@ def cutoffs(
     alpha: float = ALPHA,
     grid: dict[str, tuple[float, ...]] = GRID,
 ) -> DataFrame:
-    """One row per stratum with labels: ``stratum`` and ``cutoff``, a struct of the
-    strictest cutoff that holds for each rule, null where none does."""
-    good = labels.select(F.col(key).alias("key"), F.col(label).alias("good")).dropna()
-    good = good.groupBy("key").agg(F.min("good").alias("good")).filter("good = 1").select("key")
-    held = counted.filter("NOT base_failed").select("key", "stratum", "features").join(good, "key")
+    """As :func:`chained_cutoffs`, but each rule has its own strictest cutoff, tested at its part
+    of ``limit`` and of ``alpha``: fairer to single rules, and in want of far more labels."""
+    held = held_out(counted, labels, key, label)
     tests = [(r, c) for r, cs in grid.items() for c in cs]
     rejected = [
         F.sum((F.col(f"features.{r}") > c).cast("bigint")).alias(f"t{i}") for i, (r, c) in enumerate(tests)
@@ -181,7 +233,7 @@ def judge(
     rules above their cutoff) and ``kept``."""
     counted = written(counts(docs, key, text), "quality")
     # One row per band of length, four at most.
-    own = F.broadcast(cutoffs(counted, labels, key, "quality", limit, alpha, grid))
+    own = F.broadcast(chained_cutoffs(counted, labels, key, "quality", limit, alpha, grid))
     over = [
         F.when(F.col(f"features.{r}") > F.col(f"cutoff.{r}"), F.lit(r)) for r in grid
     ]

@@ -139,3 +139,16 @@ def test_empty_tables(spark):
     assert dc.digest(dc.find_contamination(docs, items)).count() == 0
     docs, items = frames(spark, DOCS, [])
     assert dc.digest(dc.find_contamination(docs, items)).filter("n_hit > 0 OR contaminated").count() == 0
+
+
+def test_items_with_an_empty_or_no_id_and_repeated_items(spark):
+    phrase = " ".join(f"word{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"a {phrase} b"), (2, "none of it")], "doc_id int, text string")
+    for name, items in (("", [""]), (None, [])):
+        benchmark = spark.createDataFrame([(name, phrase)] * 5, "item_id string, text string")
+        found = {r.doc_id: r for r in dc.find_contamination(docs, benchmark).collect()}
+        assert found[1].n_hit == 14 and found[1]["items"] == items and found[2].n_hit == 0
+    # Repeated rows are one item: they need one block, and one block's bytes on the driver.
+    benchmark = spark.createDataFrame([("x", phrase)] * 500, "item_id string, text string")
+    found = dc.find_contamination(docs, benchmark, block_bytes=len(phrase) + 1)
+    assert {r.doc_id: r["items"] for r in found.collect()} == {1: ["x"], 2: []}

@@ -66,3 +66,17 @@ def test_what_is_held_out_is_not_learned(spark):
     )
     held = {r[0] for r in docs.filter(rows.fold(F.col("doc_id"), 4) == 2).select("lang").collect()}
     assert held and not held & set(lg.learn(docs, "doc_id", rows.fold(F.col("doc_id"), 4) != 2))
+
+
+def test_a_hot_key_or_text_loses_no_language_and_no_bound(spark):
+    rows_ = [(7, f"the cat and the dog number {i} are here", "en") for i in range(3000)]
+    rows_ += [(8, "all the same words again and again", "en")] * 3000
+    rows_ += [(100 + i, f"der hund und die katze nummer {i} sind hier", "de") for i in range(50)]
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string, lang string")
+    learned = lg.learn(docs, "doc_id", F.lit(True), per_language=40)
+    assert sorted(learned) == ["de", "en"]
+    got = {r.lang_pred for r in lg.identify(docs.filter("lang = 'en'"), learned).collect()}
+    assert got == {"en"}
+    # At most 40 texts a language are read, each once, and reruns choose the same.
+    again = lg.learn(docs.repartition(5), "doc_id", F.lit(True), per_language=40)
+    assert all(np.allclose(learned[x], again[x]) for x in learned)

@@ -115,3 +115,51 @@ def test_edge_cases(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.kept) for r in quality.judge(frame, labels).collect())
     assert got == [(0, 30, True), (1, 30, True), (1, 30, True), (2, 0, False)]
     assert quality.judge(frame.limit(0), labels).count() == 0
+
+
+def test_the_chain_ends_at_the_first_setting_that_fails(spark):
+    docs, labels = corpus(3000, 5)
+    # Good texts of which ever more look bad at stricter settings, in one band.
+    rng = random.Random(6)
+    docs += [(10_000 + i, " ".join(["w#"] * rng.randrange(12) + [f"v{rng.randrange(9999)}" for _ in range(60)])) for i in range(400)]
+    labels += [(10_000 + i, 1) for i in range(400)]
+    known = spark.createDataFrame(labels, "doc_id int, quality int")
+    counted = quality.counts(spark.createDataFrame(docs, "doc_id int, text string")).persist()
+    [row] = quality.chained_cutoffs(counted, known).collect()
+    good = [i for i, y in labels if y]
+    held = {r.key: r.features for r in counted.filter("NOT base_failed").collect() if r.key in set(good)}
+    p, last = Fraction(quality.LIMIT), -1
+    for i in range(8):
+        n, k = len(held), sum(any(f[r] > c[i] for r, c in quality.GRID.items()) for f in held.values())
+        if k > n * p or sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) > quality.ALPHA / 4:
+            break
+        last = i
+    assert 0 <= last < 7
+    assert row.cutoff.asDict() == {r: c[last] for r, c in quality.GRID.items()}
+
+
+def test_copies_are_one_trial(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = [(i, text) for i in range(1000)]
+    counted = quality.counts(spark.createDataFrame(docs, "doc_id int, text string"))
+    known = spark.createDataFrame([(i, 1) for i in range(1000)], "doc_id int, quality int")
+    [row] = quality.chained_cutoffs(counted, known).collect()
+    assert set(row.cutoff.asDict().values()) == {None}
+    assert set(quality.cutoffs(counted, known).first().cutoff.asDict().values()) == {None}
+
+
+def test_the_risk_is_kept_in_a_simulation(spark):
+    """Strata whose true share of good texts above a cutoff is just over the limit: no more than
+    alpha of them may be certified."""
+    rng = random.Random(7)
+    trials, n = 400, 120
+    sums = [(t, n, sum(rng.random() < 1.001 * quality.LIMIT for _ in range(n))) for t in range(trials)]
+    frame = spark.createDataFrame(sums, "t int, n int, k int")
+    bound = quality.log_at_most(F.col("k"), F.col("n").cast("double"), quality.LIMIT)
+    certified = frame.filter(bound <= math.log(quality.ALPHA / 4)).count()
+    assert certified <= trials * quality.ALPHA
+    # 86 good texts without a rejection are enough, 85 are not.
+    few = spark.createDataFrame([(0, 86), (0, 87)], "k int, n int")
+    level = math.log(quality.ALPHA / 4)
+    got = {r.n: r.l <= level for r in few.select("n", quality.log_at_most(F.col("k"), F.col("n").cast("double"), quality.LIMIT).alias("l")).collect()}
+    assert got == {86: math.log(0.95) * 86 <= level, 87: math.log(0.95) * 87 <= level} and got[87]

@@ -6,8 +6,8 @@ of the vectors of its trigrams (runs of other characters count as one gap, drawn
 letter), and a language is the sum of its learned texts, each at length one. A text gets
 the language of the greatest cosine.
 
-Learned from at most ``per_language`` texts a language, the ones with the smallest hash of
-their key, whole. Prototypes are one vector a language. Documents are not shuffled; a very
+Learned from at most ``per_language`` texts a language, the distinct ones with the smallest
+hashes, whole; a text that many rows share counts once. Prototypes are one vector a language. Documents are not shuffled; a very
 long text is read piece by piece.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any

@@ -18,7 +18,8 @@ texts.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a null source is a
 source, the last one; sources without words have target 0. Ties in the order go by source,
-key and size; rows equal in all of them are equal in the result too. Null keys are keys.
+key and size; rows equal in all of them are numbered, and spread by the number like other rows.
+Null keys are keys.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from . import rows
 
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
+#: Rows that are alike which are numbered at once.
+STEP = 10_000
 
 
 def targets(sizes: DataFrame, budget: float, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -105,13 +108,20 @@ def mix(
         F.col(source).alias("source"),
         F.coalesce(size, F.lit(0)).cast("bigint").alias("size"),
     )
+    # Rows that are alike are told apart by a number, so that they spread as others do.
+    alike = sized.groupBy("key", "source", "size").agg(F.count("*").alias("_rows"))
+    last = F.floor((F.col("_rows") - 1) / STEP)
+    steps = alike.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    upto = F.least(F.col("_rows"), (F.col("_step") + 1) * STEP) - 1
+    each = steps.withColumn("nth", F.explode(F.sequence(F.col("_step") * STEP, upto)))
     shuffled = F.xxhash64("key", "size", F.lit(seed))
-    sized = written(sized.withColumn("hash", shuffled), "mix-sizes")
+    shuffled = F.when(F.col("nth") == 0, shuffled).otherwise(F.xxhash64("key", "size", F.lit(seed), "nth"))
+    sized = written(each.select("key", "source", "size", "nth", shuffled.alias("hash")), "mix-sizes")
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, total if budget is None else budget, weights, repeats)
     buckets = math.isqrt(n) + 1
-    ordered = [F.col("hash"), F.col("key"), F.col("size")]
+    ordered = [F.col("hash"), F.col("key"), F.col("size"), F.col("nth")]
     queued = sized.withColumn("bucket", F.pmod(F.shiftrightunsigned("hash", 20), F.lit(buckets)))
     queued = _sum_before(queued, [F.col("source")], "bucket", ordered, "size")
     queued = queued.withColumnRenamed("source", "own")

@@ -6,8 +6,8 @@ strings. A credential often comes in parts, each too weak to report alone: an id
 endpoint. Parts are intervals of a text. Two parts are in one scope if at most ``scope``
 code points lie between them; an interval join by cells of that width finds those pairs.
 An identifier is reported with a secret in scope, a secret with an identifier in scope, and
-an endpoint with an access key, an assigned secret or a hexadecimal string in scope. What
-touches a base match is that match and is not reported again.
+an endpoint with an access key, an assigned secret, a hexadecimal string, or an identifier or
+secret that is reported, in scope. What touches a base match is that match and is not reported again.
 
 All of it is column expressions and one join. A cell holds at most as many parts as fit
 into its width, so neither a long text nor a text full of parts makes a large group.
@@ -149,9 +149,15 @@ def find_secrets(
         .select("key", "version", "p.*")
         .distinct()
     )
-    linked = linked_parts(written(parts, "credential-parts"), scope)
+    parts = written(parts, "credential-parts")
+    linked = linked_parts(parts, scope).filter(F.col("kind").isin(*PART_KINDS))
+    linked = written(linked.select(*parts.columns).distinct(), "linked-parts")
+    # A weak identifier or secret that has its complement counts as a match for endpoints.
+    weak = linked.filter("kind != 'endpoint'").withColumn("kind", F.lit(BASE_KINDS[0]))
+    endpoints = parts.filter("kind = 'endpoint'")
+    beside = linked_parts(weak.distinct().unionByName(endpoints), scope).filter("kind = 'endpoint'")
     added = (
-        linked.filter(F.col("kind").isin(*PART_KINDS))
+        linked.unionByName(beside.select(*parts.columns))
         .groupBy(F.col("key").alias("_key"), F.col("version").alias("_version"))
         .agg(F.collect_set(F.struct("start", "end", "kind")).alias("added"))
     )

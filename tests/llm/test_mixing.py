@@ -118,3 +118,18 @@ def test_a_hot_source_is_split_into_buckets(spark):
     for r in rows:
         by.setdefault(r.source, [r.target, 0])[1] += r.taken
     assert all(abs(t - g) <= 7 for t, g in by.values())
+
+
+def test_a_row_that_makes_a_third_of_the_table_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 7)
+    docs = [(1, "w " * 10, "s0")] * 1500 + [(i, "w " * (i % 40), f"s{i % 5}") for i in range(10, 3010)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    rows = mixing.mix(frame).collect()
+    assert len(rows) == len(docs) and sum(r.doc_id == 1 for r in rows) == 1500
+    taken = [r.taken for r in rows if r.doc_id == 1]
+    assert set(taken) <= {0, 10, 20, 30}
+    for s in {r.source for r in rows}:
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 40
+    again = mixing.mix(frame.repartition(9)).collect()
+    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)

@@ -132,3 +132,17 @@ def test_spans_of_many_matches(spark):
     found = docs.select(spans.matches(F.col("text"), "[0-9]", context=True).alias("m")).first().m
     assert [(m.start, m.end, m.value) for m in found] == [(3 * i + 1, 3 * i + 2, "0") for i in range(5000)]
     assert found[1].left == " é" and found[1].right == " é"
+
+
+def test_an_endpoint_beside_a_weak_credential_is_reported(spark):
+    url = "https://api.example.com/v1"
+    far = "word " * 400
+    texts = [
+        f"client_id: shop-77 {url} {SECRET}",
+        f"client_id: shop-77 {SECRET} {far} {url}",
+        f"{url} {SECRET}",
+        f"{url} client_id: shop-77",
+    ]
+    got = digests(spark, texts)
+    kinds = {i: sorted(x.split(":")[0] for x in got[i].spans.split(",") if x) for i in range(len(texts))}
+    assert kinds == {0: ["endpoint", "identifier", "secret"], 1: ["identifier", "secret"], 2: [], 3: []}

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from scoreloom.session import written
+
 from . import rows
 
 DIMENSIONS = 2048
@@ -32,6 +34,8 @@ PER_LANGUAGE = 1500
 #: Characters of one piece of work.
 CHARACTERS = 1 << 20
 TRIGRAMS = 4096
+#: Rows of (language, hash) that may be sent to every task, about 8 MB: 130 languages.
+BROADCAST_ROWS = 200_000
 
 _letters: dict[tuple[int, int], np.ndarray] = {}
 _kinds: list[np.ndarray] = []
@@ -134,8 +138,11 @@ def learn(
     distinct = own.select("_lang", "_hash").distinct()
     least = F.row_number().over(W.partitionBy("_lang").orderBy("_hash"))
     first = distinct.withColumn("_nth", least).filter(F.col("_nth") <= per_language).drop("_nth")
-    # A text that very many rows share is combined before its shuffle.
-    chosen = own.join(first.hint("rebalance"), ["_lang", "_hash"], "left_semi")
+    first = written(first, "learned-texts")
+    # Texts of few languages, as nearly always, are found without a shuffle. A text that very
+    # many rows share is combined before its shuffle.
+    few = first.count() <= BROADCAST_ROWS
+    chosen = own.join(F.broadcast(first) if few else first, ["_lang", "_hash"], "left_semi")
     chosen = chosen.groupBy("_lang", "_hash").agg(F.first("_text").alias("_text")).select("_lang", "_text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

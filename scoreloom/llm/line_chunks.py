@@ -1,17 +1,16 @@
 """Line dedup: content-defined chunks and words that stand elsewhere already are removed.
 
-A line here ends at a line feed or after a sentence (``.``, ``!`` or ``?`` and a space, with
-``SENTENCE`` other characters before). A passage may also begin and end inside a line, and
-have no sentence end at all, so what is looked for are seeds of two kinds:
-
-* of each ``WINDOW`` neighbouring words the one with the least hash, with the words after it,
-  ``SEED`` together. The choice follows from these words alone, so any passage of
-  ``WINDOW + SEED - 1`` words has a seed in it, the same one whatever stands around it;
-* chunks of whole lines. A rolling hash over each two neighbouring line hashes chooses their
-  boundaries: most places are boundaries, one in ``ONE_IN`` is not, and a line of ``MIN_BYTES``
-  bytes or more always stands alone. Only chunks of long words (``DENSE`` bytes each) are
-  seeds: a stretch without any has so many words that it holds chosen ones.
+Passages begin and end at any word, so what is looked for are seeds of two kinds:
 
+* chunks of lines that the content defines: a line ends after one word in ``WORDS_IN`` (by a
+  rolling hash over it and the next one) or after ``LONGEST`` words; a rolling hash over each
+  two neighbouring line hashes chooses the lines at which a chunk opens, one in ``LINES_IN``, and
+  a chunk has ``LINES`` lines. All follows from these words and the next one, so a passage has
+  the same chunks whatever stands around it: one of 51 words lacks any with a chance of 7e-5;
+* words of ``WIDE`` bytes with the next word, or alone from ``ALONE`` bytes on: addresses, and
+  scripts without blanks.
+
+Seeds are written once per document, as lists; only their hashes are counted.
 A seed whose hash occurs more than once is repeated; its first occurrence (by key, then
 place) stays. Repeated seeds with the same first document and distance that overlap or touch
 form a run. Its words are compared with those there by SHA-256, and it is extended word by
@@ -29,7 +28,9 @@ passage is in very many documents; a document's words are never grouped with ano
 
 Defined cases: a null text stays null and an empty one empty; rows with the same key and
 text are one document and lose the same words; a null key comes first. A document may be
-left with an empty text. Each row gives one row.
+left with an empty text. Each row gives one row. ``n_removed`` counts lines as they are written:
+up to a line feed or the end of a sentence (``.``, ``!`` or ``?`` and a space, with ``SENTENCE``
+other characters before).
 """
 
 from __future__ import annotations
@@ -40,18 +41,19 @@ from pyspark.sql import Window as W
 
 from scoreloom.session import written
 
-from . import rows, spans
+from . import rows
 
 #: Bytes, or words, that are worth removing together: 150 bytes are about 25 words.
 MIN_BYTES, MIN_WORDS = 150, 50
-ONE_IN = 8
-#: Words of a window and of a seed; as many words of MIN_BYTES bytes have DENSE bytes each.
-WINDOW, SEED, DENSE = 10, 10, 8
+#: One word in WORDS_IN ends a line, one line in LINES_IN opens a chunk (powers of 2) of LINES lines.
+WORDS_IN, LINES_IN, LINES = 2, 2, 7
+#: Words of the longest line.
+LONGEST = 16
+#: A word of so many bytes is a seed together with the next one, and of ALONE bytes by itself.
+WIDE, ALONE = 25, 75
 #: Words that are compared on each side of a run. A passage may have seeds that stand in a still
 #: earlier document too; with so many words it is found whole by any seed that does not.
 REACH = MIN_WORDS
-#: Low bits of a word's hash that are replaced by its place: 2 ** 31 bytes at most are a text.
-PLACE = 30
 #: Elements of lists that may be sent to every task together, about 40 MB.
 BROADCAST_ELEMENTS = 1_000_000
 
@@ -84,72 +86,88 @@ def _total(sizes: Column) -> Column:
     return F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
 
 
-def seeds(docs: DataFrame, text: str) -> DataFrame:
-    """Each seed: ``id``, ``version``, ``start`` (word), ``n`` (words), ``chunk`` (or chosen
-    words) and ``hash``."""
-    own = docs.select("id", "version", lines(F.col(text)).alias("lines"))
-    own = own.select(
-        "id",
-        "version",
-        F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
-        F.transform("lines", lambda x: F.octet_length(x)).alias("w"),
-        F.transform("lines", _words).alias("split"),
-    )
-    own = own.select(
-        "id", "version", "h", "w", F.transform("split", F.size).alias("c"), F.flatten("split").alias("words")
-    )
-    rolling = lambda i: F.xxhash64(F.coalesce(F.get("h", i - 1), F.lit(0)), F.get("h", i))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: an array of one element stands for "let"."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _line_ends(words: Column) -> Column:
+    """The last word of each line."""
+    last = F.size(words) - 1
+    rolled = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1))
     ends = F.filter(
-        F.sequence(F.lit(0), F.size("h") - 1),
-        lambda i: (i == F.size("h") - 1)
-        | (F.get("w", i) >= MIN_BYTES)
-        | (F.get("w", i + 1) >= MIN_BYTES)
-        | (F.pmod(rolling(i), F.lit(ONE_IN)) != 0),
-    )
-    # A word's hash with its place in the low bits: the least of a window is its first.
-    marked = F.transform(
-        F.slice("words", F.lit(1), F.greatest(F.size("words") - (SEED - 1), F.lit(0))),
-        lambda x, i: F.shiftleft(F.shiftright(F.xxhash64(x), PLACE), PLACE).bitwiseOR(i.cast("bigint")),
+        F.sequence(F.lit(0), last), lambda i: (rolled(i).bitwiseAND(F.lit(WORDS_IN - 1)) == 0) | (i == last)
     )
-    own = own.select(
-        "id", "version", "h", "w", "words", ends.alias("ends"),
-        spans.sums_before(F.col("c")).alias("before"), "c", marked.alias("marked"),
+
+    def bounded(ends: Column) -> Column:
+        n = lambda e, k: e - F.coalesce(F.get(ends, k - 1), F.lit(-1))
+        parts = F.transform(
+            ends,
+            lambda e, k: F.array_distinct(
+                F.concat(F.sequence(e - n(e, k) + F.least(n(e, k), F.lit(LONGEST)), e, F.lit(LONGEST)), F.array(e))
+            ),
+        )
+        return F.when(F.array_max(F.transform(ends, n)) > LONGEST, F.flatten(parts)).otherwise(ends)
+
+    return _let(ends, bounded)
+
+
+def _chunks(words: Column, ends: Column, lines: Column) -> Column:
+    """Chunks of ``LINES`` lines; a text without any is one by itself."""
+    first = lambda k: F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
+    rolled = lambda k: F.xxhash64(F.get(lines, k), F.get(lines, k + 1))
+    opens = F.filter(
+        F.sequence(F.lit(0), F.greatest(F.size(lines) - LINES, F.lit(0))),
+        lambda k: rolled(k).bitwiseAND(F.lit(LINES_IN - 1)) == 0,
     )
-    least = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("marked") - (WINDOW - 1), F.lit(1))),
-        lambda s: F.array_min(F.slice("marked", s, F.lit(WINDOW))),
+    found = F.transform(
+        opens,
+        lambda k: F.struct(
+            first(k).alias("start"),
+            (F.get(ends, F.least(k + LINES, F.size(ends)) - 1) - first(k) + 1).alias("n"),
+            F.xxhash64(*(F.get(lines, k + j) for j in range(LINES))).alias("hash"),
+        ),
     )
-    least = F.when(F.size("marked") > 0, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
-    own = own.withColumn("least", least)
-
-    def chunk(end: Column, i: Column) -> Column:
-        first = F.coalesce(F.get("ends", i - 1) + 1, F.lit(0))
-        n = end - first + 1
-        hashed = F.aggregate(
-            F.slice("h", first + 1, n), F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x)
-        )
-        return F.struct(
-            F.get("before", first).alias("start"),
-            (F.get("before", end) + F.get("c", end) - F.get("before", first)).alias("n"),
-            F.lit(True).alias("chunk"),
-            hashed.alias("hash"),
-            (_total(F.slice("w", first + 1, n)) + n).alias("bytes"),
-        )
+    whole = F.struct(F.lit(0).alias("start"), F.size(words).alias("n"), F.xxhash64(lines).alias("hash"))
+    return _let(found, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(whole)))
+
 
-    def chosen(x: Column) -> Column:
-        start = x.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+def _wide(words: Column) -> Column:
+    """Words of ``WIDE`` bytes, each with the next one unless it has ``ALONE``."""
+
+    def one(i: Column) -> Column:
+        alone = (F.octet_length(F.get(words, i)) >= ALONE) | (i == F.size(words) - 1)
         return F.struct(
-            start.alias("start"),
-            F.lit(SEED).alias("n"),
-            F.lit(False).alias("chunk"),
-            F.xxhash64(F.slice("words", start + 1, F.lit(SEED))).alias("hash"),
-            F.lit(0).alias("bytes"),
+            i.alias("start"),
+            F.when(alone, 1).otherwise(2).alias("n"),
+            F.xxhash64(F.get(words, i), F.when(~alone, F.get(words, i + 1))).alias("hash"),
         )
 
-    # Other chunks can stand only in stretches that hold chosen words or one of these.
-    dense = F.filter(F.transform("ends", chunk), lambda x: (x["n"] > 0) & (x["bytes"] >= DENSE * x["n"]))
-    every = F.concat(dense, F.transform("least", chosen))
-    return own.select("id", "version", F.inline(every)).drop("bytes")
+    is_wide = lambda i: F.octet_length(F.get(words, i)) >= WIDE
+    return F.transform(F.filter(F.sequence(F.lit(0), F.size(words) - 1), is_wide), one)
+
+
+def seeds(docs: DataFrame, text: str) -> DataFrame:
+    """For each document its ``seeds`` by place: ``start`` (word), ``n`` (words) and ``hash``."""
+
+    def line_hash(words: Column, ends: Column):
+        def of(e: Column, k: Column) -> Column:
+            start = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
+            middle = F.shiftright(start + e, 1)
+            return F.xxhash64(F.get(words, start), F.get(words, middle), F.get(words, e), e - start)
+
+        return of
+
+    def of_ends(words: Column, ends: Column) -> Column:
+        chunks = _let(F.transform(ends, line_hash(words, ends)), lambda lines: _chunks(words, ends, lines))
+        has_wide = F.exists(words, lambda w: F.octet_length(w) >= WIDE)
+        return _let(chunks, lambda c: F.when(has_wide, F.array_sort(F.concat(c, _wide(words)))).otherwise(c))
+
+    def of(words: Column) -> Column:
+        return _let(_line_ends(words), lambda ends: of_ends(words, ends))
+
+    own = docs.select("id", "version", F.btrim(F.col(text), F.lit(_BLANK)).alias("text")).filter("text != ''")
+    return own.select("id", "version", _let(F.split("text", rows.SPACES, -1), of).alias("seeds"))
 
 
 def _few(df: DataFrame, lists: str | None = None) -> DataFrame:
@@ -165,11 +183,11 @@ def repeated_runs(found: DataFrame) -> DataFrame:
     and ``version``, and from ``k_start`` of ``k_id`` and ``k_version``, where they stood first.
     Seeds with the same first document and distance that overlap or touch are one run. Words
     to compare on each side of it are ``reach``."""
-    hashes = found.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash")
+    each = found.select(F.explode("seeds.hash").alias("hash"))
+    hashes = each.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash")
+    places = found.select("id", "version", F.inline("seeds")).join(_few(hashes), "hash")
     # Rows with the same key and text are one document.
-    again = found.join(_few(hashes), "hash").groupBy("id", "version", "start", "n", "chunk", "hash").agg(
-        F.count("*").alias("times")
-    )
+    again = places.groupBy("id", "version", "start", "n", "hash").agg(F.count("*").alias("times"))
     again = written(again.drop("times"), "line-repeats")
     place = F.struct("id", "version", "start")
     # Apart from its aggregate, so that the join can be split where a seed is frequent.
@@ -180,7 +198,7 @@ def repeated_runs(found: DataFrame) -> DataFrame:
         & (F.col("start") == F.col("k.start"))
     )
     met = again.join(first, "hash").filter(other).select(
-        "id", "version", "start", (F.col("start") + F.col("n")).alias("end"), "chunk",
+        "id", "version", "start", (F.col("start") + F.col("n")).alias("end"),
         F.col("k.id").alias("k_id"), F.col("k.version").alias("k_version"),
         (F.col("start") - F.col("k.start")).alias("apart"),
     )
@@ -224,8 +242,8 @@ def _with_words(places: DataFrame, docs: DataFrame, text: str, names: list[str],
             joined(F.slice(words, start + n + 1, p["reach"])).alias(f"{side}_after"),
         )
 
-    # An array of one element stands for "let": the words are split once, not per place.
-    found = F.transform(F.array("words"), lambda w: F.transform("places", lambda p: at(w, p)))[0]
+    # The words are split once, not per place.
+    found = _let(F.col("words"), lambda w: F.transform("places", lambda p: at(w, p)))
     return one.select("id", "version", F.inline(found))
 
 
@@ -237,7 +255,7 @@ def _equal_ahead(a: str, b: str) -> Column:
         first = F.array_position(equal, F.lit(False))
         return F.when(first == 0, F.size(equal)).otherwise(first - 1).cast("int")
 
-    return F.transform(F.array(differs), of)[0]
+    return _let(differs, of)
 
 
 def removable(docs: DataFrame, text: str) -> DataFrame:
@@ -333,4 +351,4 @@ def _without(text: str, gone: str) -> Column:
         F.split(F.ltrim(F.col(text), F.lit(_BLANK)), _WORD_END, -1).alias("words"),
         F.flatten(of_word).alias("line"),
     )
-    return F.transform(F.transform(F.array(given), worth), of)[0]
+    return _let(_let(given, worth), of)

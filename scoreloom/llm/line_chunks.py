@@ -6,7 +6,7 @@ Passages begin and end at any word, so what is looked for are seeds of two kinds
   rolling hash over it and the next one) or after ``LONGEST`` words; a rolling hash over each
   two neighbouring line hashes chooses the lines at which a chunk opens, one in ``LINES_IN``, and
   a chunk has ``LINES`` lines. All follows from these words and the next one, so a passage has
-  the same chunks whatever stands around it: one of 51 words lacks any with a chance of 7e-5;
+  the same chunks whatever stands around it: one of 51 words lacks any with a chance of about 9e-5;
 * words of ``WIDE`` bytes with the next word, or alone from ``ALONE`` bytes on: addresses, and
   scripts without blanks.
 
@@ -150,6 +150,7 @@ def _wide(words: Column) -> Column:
 def seeds(docs: DataFrame, text: str) -> DataFrame:
     """For each document its ``seeds`` by place: ``start`` (word), ``n`` (words) and ``hash``."""
 
+    # First, middle and last word and the number: enough to find a place, the words are compared later.
     def line_hash(words: Column, ends: Column):
         def of(e: Column, k: Column) -> Column:
             start = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))

@@ -3,15 +3,16 @@
 Passages begin and end at any word, so what is looked for are seeds of two kinds:
 
 * chunks of lines that the content defines: a line ends after one word in ``WORDS_IN`` (by a
-  rolling hash over it and the next one) or after ``LONGEST`` words; a rolling hash over each
-  two neighbouring line hashes chooses the lines at which a chunk opens, one in ``LINES_IN``, and
-  a chunk has ``LINES`` lines. All follows from these words and the next one, so a passage has
-  the same chunks whatever stands around it: one of 51 words lacks any with a chance of about 9e-5;
+  rolling hash over it and the next one) or after ``LONGEST`` words; a chunk opens at a line where
+  the rolling hash over two neighbouring line hashes is the least of ``NEAR`` lines in a row, and
+  has ``LINES`` lines. So a passage of ``NEAR + LINES - 1`` whole lines holds a whole chunk that
+  is the same whatever stands around it: one of 51 words has some 24 lines;
 * words of ``WIDE`` bytes with the next word, or alone from ``ALONE`` bytes on: addresses, and
   scripts without blanks.
 
-Seeds are written once per document, as lists; only their hashes are counted.
-A seed whose hash occurs more than once is repeated; its first occurrence (by key, then
+Seeds are written once per document, as lists; only their hashes are counted. Of documents with
+the same text (by SHA-256) the first has seeds and stands for the others, which are one passage
+that stands there. A seed whose hash occurs more than once is repeated; its first occurrence (by key, then
 place) stays. Repeated seeds with the same first document and distance that overlap or touch
 form a run. Its words are compared with those there by SHA-256, and it is extended word by
 word on both sides until they differ, ``REACH`` words at most (a passage that goes on is long
@@ -45,8 +46,9 @@ from . import rows
 
 #: Bytes, or words, that are worth removing together: 150 bytes are about 25 words.
 MIN_BYTES, MIN_WORDS = 150, 50
-#: One word in WORDS_IN ends a line, one line in LINES_IN opens a chunk (powers of 2) of LINES lines.
-WORDS_IN, LINES_IN, LINES = 2, 2, 7
+#: One word in WORDS_IN (a power of 2) ends a line. Chunks have LINES lines, and of NEAR lines in
+#: a row one at least opens a chunk: two in NEAR + 1 do on average.
+WORDS_IN, LINES, NEAR = 2, 7, 7
 #: Words of the longest line.
 LONGEST = 16
 #: A word of so many bytes is a seed together with the next one, and of ALONE bytes by itself.
@@ -63,6 +65,7 @@ _END = (
     r"(?<=[\n\x20])(?:(?<=\n)(?=[^\n])"
     rf"|(?<=[.!?]\x20)(?=[^\x20\n])(?<=[^.!?\n]{{{SENTENCE}}}[.!?]\x20))"
 )
+_HIGH, _LOW = -(1 << 31), (1 << 31) - 1
 _BLANK = " \t\n\x0b\f\r"
 _WORD_END = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 
@@ -112,15 +115,32 @@ def _line_ends(words: Column) -> Column:
     return _let(ends, bounded)
 
 
+def _least_of(values: Column, n: int) -> Column:
+    """The least of each ``n`` values in a row, or of those there are; windows grow by doubling."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        values = _let(
+            values,
+            lambda v: F.zip_with(v, F.slice(v, step + 1, F.greatest(F.size(v), F.lit(1))), lambda x, y: F.least(x, y)),
+        )
+        have += step
+    return values
+
+
 def _chunks(words: Column, ends: Column, lines: Column) -> Column:
-    """Chunks of ``LINES`` lines; a text without any is one by itself."""
+    """Chunks of ``LINES`` lines; a text of fewer is one by itself."""
     first = lambda k: F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
-    rolled = lambda k: F.xxhash64(F.get(lines, k), F.get(lines, k + 1))
-    opens = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.size(lines) - LINES, F.lit(0))),
-        lambda k: rolled(k).bitwiseAND(F.lit(LINES_IN - 1)) == 0,
+    # A rolling hash with the line's place in its low half: the least of a window has both.
+    last = F.greatest(F.size(lines) - LINES, F.lit(0))
+    rolled = F.transform(
+        F.slice(lines, 1, last + 1),
+        lambda h, k: F.xxhash64(h, F.get(lines, k + 1)).bitwiseAND(F.lit(_HIGH)).bitwiseOR(k.cast("bigint")),
     )
-    found = F.transform(
+    n_windows = F.greatest(last + 2 - NEAR, F.lit(1))
+    least = F.slice(_least_of(rolled, NEAR), F.lit(1), n_windows)
+    opens = F.transform(F.array_distinct(least), lambda v: v.bitwiseAND(F.lit(_LOW)).cast("int"))
+    return F.transform(
         opens,
         lambda k: F.struct(
             first(k).alias("start"),
@@ -128,8 +148,6 @@ def _chunks(words: Column, ends: Column, lines: Column) -> Column:
             F.xxhash64(*(F.get(lines, k + j) for j in range(LINES))).alias("hash"),
         ),
     )
-    whole = F.struct(F.lit(0).alias("start"), F.size(words).alias("n"), F.xxhash64(lines).alias("hash"))
-    return _let(found, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(whole)))
 
 
 def _wide(words: Column) -> Column:
@@ -174,11 +192,27 @@ def seeds(docs: DataFrame, text: str) -> DataFrame:
 def _few(df: DataFrame, lists: str | None = None) -> DataFrame:
     """To be sent to every task if its rows and lists are few altogether."""
     df = written(df, "line-list")
-    size = F.lit(1) if lists is None else F.size(lists) + 1
+    size = F.lit(1) if lists is None else F.coalesce(F.size(lists), F.lit(0)) + 1
     elements = df.agg(F.sum(size)).first()[0] or 0
     return F.broadcast(df) if elements <= BROADCAST_ELEMENTS else df
 
 
+def copies(docs: DataFrame, text: str) -> DataFrame:
+    """``id`` and ``version`` of the documents whose text, by SHA-256, an earlier document has."""
+    same = F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("same")
+    own = docs.select("id", "version", same).groupBy("id", "version", "same").agg(F.count("*").alias("times"))
+    own = written(own.drop("times"), "line-texts")
+    first = own.groupBy("same").agg(F.min(F.struct("id")).alias("k"), F.count("*").alias("times"))
+    first = first.filter("times > 1").drop("times").hint("rebalance")
+    return own.join(first, "same").filter(~F.col("id").eqNullSafe(F.col("k.id"))).select("id", "version")
+
+
+def _not_in(docs: DataFrame, some: DataFrame) -> DataFrame:
+    some = some.select(F.col("id").alias("_id"), F.col("version").alias("_version"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
+    return docs.join(some, same, "left_anti")
+
+
 def repeated_runs(found: DataFrame) -> DataFrame:
     """Runs of repeated seeds that are not the first: ``n`` words from word ``start`` of ``id``
     and ``version``, and from ``k_start`` of ``k_id`` and ``k_version``, where they stood first.
@@ -249,21 +283,30 @@ def _with_words(places: DataFrame, docs: DataFrame, text: str, names: list[str],
 
 
 def _equal_ahead(a: str, b: str) -> Column:
-    """How many words two texts share from their start."""
-    differs = F.zip_with(_words(F.col(a)), _words(F.col(b)), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    """How many words two texts, with one blank between words, share from their start."""
+    words = lambda x: F.when(F.col(x) != "", F.split(x, " ", -1)).otherwise(F.array().cast("array<string>"))
+    differs = F.zip_with(words(a), words(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
 
     def of(equal: Column) -> Column:
         first = F.array_position(equal, F.lit(False))
         return F.when(first == 0, F.size(equal)).otherwise(first - 1).cast("int")
 
-    return _let(differs, of)
+    # Mostly they are the same, or the first words differ.
+    first = lambda x: F.substring_index(F.col(x), " ", 1)
+    return (
+        F.when(F.col(a) == F.col(b), F.size(words(a)))
+        .when(first(a) != first(b), 0)
+        .otherwise(_let(differs, of))
+    )
 
 
 def removable(docs: DataFrame, text: str) -> DataFrame:
     """``id``, ``version`` and the stretches of words (``a`` to ``b``, in order) that stand
-    in an earlier place as one. ``docs`` has ``id``, ``version`` and the text."""
+    in an earlier place as one, or ``gone`` is null where the whole text stands in an earlier
+    document. ``docs`` has ``id``, ``version`` and the text."""
+    whole = _few(copies(docs, text))
     found = written(seeds(docs, text), "line-seeds")
-    runs = written(repeated_runs(found), "line-runs")
+    runs = written(repeated_runs(_not_in(found, whole)), "line-runs")
     here = _with_words(runs, docs, text, ["k_id", "k_version", "k_start"], "d")
     first = runs.select(
         F.col("k_id").alias("id"), F.col("k_version").alias("version"), F.col("k_start").alias("start"), "n", "reach"
@@ -294,8 +337,9 @@ def removable(docs: DataFrame, text: str) -> DataFrame:
     so_far = F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1))
     met = met.withColumn("new", F.coalesce(F.col("a") > so_far + 1, F.lit(True)).cast("int"))
     met = met.withColumn("nth", F.sum("new").over(order))
-    whole = met.groupBy(*line, "nth").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return whole.groupBy("id", "version").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("gone"))
+    passages = met.groupBy(*line, "nth").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    gone = passages.groupBy("id", "version").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("gone"))
+    return gone.unionByName(whole, allowMissingColumns=True)
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,12 +356,22 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
     found = own.join(_few(gone, "gone"), same, "left")
-    found = found.select("text", "row", F.when(F.col("gone").isNotNull(), _without("text", "gone")).alias("cut"))
+    cut = F.when(F.col("gone").isNotNull(), _without("text", "gone"))
+    cut = cut.when(F.col("_version").isNotNull(), _emptied(F.col("text")))
+    found = found.select("text", "row", cut.alias("cut"))
     made = {text: F.coalesce("cut.text", "text"), "n_removed": F.coalesce("cut.n_removed", F.lit(0))}
     names = dict.fromkeys([*docs.columns, "n_removed"])
     return found.select(*(made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in names))
 
 
+def _emptied(text: Column) -> Column:
+    """What ``_without`` gives where all words go: null for a text too short to be removed."""
+    words = _words(F.btrim(text, F.lit(_BLANK)))
+    long = (F.size(words) >= MIN_WORDS) | (F.octet_length(F.array_join(words, " ")) + 1 > MIN_BYTES)
+    n_lines = F.size(F.filter(lines(text), lambda x: x != ""))
+    return F.when(long, F.struct(F.lit("").alias("text"), n_lines.alias("n_removed")))
+
+
 def _without(text: str, gone: str) -> Column:
     """``text`` without the stretches of words that are worth it, and ``n_removed``. White
     space goes with the word before it, and with the first word what stands before."""

@@ -6,7 +6,8 @@ Passages begin and end at any word, so what is looked for are seeds of two kinds
   rolling hash over it and the next one) or after ``LONGEST`` words; a chunk opens at a line where
   the rolling hash over two neighbouring line hashes is the least of ``NEAR`` lines in a row, and
   has ``LINES`` lines. So a passage of ``NEAR + LINES - 1`` whole lines holds a whole chunk that
-  is the same whatever stands around it: one of 51 words has some 24 lines;
+  is the same whatever stands around it: one of 51 words has some
+  24 lines, and lacks such a chunk with a chance of about 6e-5 (simulated);
 * words of ``WIDE`` bytes with the next word, or alone from ``ALONE`` bytes on: addresses, and
   scripts without blanks.
 

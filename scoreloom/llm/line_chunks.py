@@ -11,11 +11,12 @@ Passages begin and end at any word, so what is looked for are seeds of two kinds
 * words of ``WIDE`` bytes with the next word, or alone from ``ALONE`` bytes on: addresses, and
   scripts without blanks.
 
-Seeds are written once per document, as lists; only their hashes are counted. Of documents with
-the same text (by SHA-256) the first has seeds and stands for the others, which are one passage
-that stands there. A seed whose hash occurs more than once is repeated; its first occurrence (by key, then
-place) stays. Repeated seeds with the same first document and distance that overlap or touch
-form a run. Its words are compared with those there by SHA-256, and it is extended word by
+Of documents with the same text (by SHA-256) the first has seeds and stands for the others,
+which are one passage that stands there. Seeds are shuffled once, by their hash. A seed whose hash
+occurs more than once is repeated; its first occurrence (by key, then place) stays. A seed that
+overlaps or touches an equal one before it, as where a few words are said again and again, stands
+there, at that distance, and not at the first place: so all of such a stretch is one run.
+Repeated seeds with the same earlier document and distance that overlap or touch form a run. Its words are compared with those there by SHA-256, and it is extended word by
 word on both sides until they differ, ``REACH`` words at most (a passage that goes on is long
 enough by then). Stretches that continue each other in the same earlier document are one
 passage, and it is removed, with the white space after each word, if it has ``MIN_BYTES`` bytes
@@ -23,10 +24,13 @@ or ``MIN_WORDS`` words by itself: short phrases that stand in several earlier do
 also where they follow each other. White space between words is not compared. What is removed
 equals words at an earlier place, so the first copy of any passage stays.
 
-All of it is column expressions, joins, aggregates and windows within one document. Seeds
-are shuffled as hashes; only repeated words and their neighbours are shuffled as text. Joins
-by seed and by first occurrence are plain ones, which adaptive execution splits where a
-passage is in very many documents; a document's words are never grouped with another's.
+All of it is column expressions, joins, aggregates and windows, by document or by seed. The
+places of a seed meet in one window, some 40 bytes each; a document has a seed there once unless
+it says it again at a distance. Whole texts are shuffled only of documents that hold a run, a first
+occurrence of one, or words to remove: a bitmap of their hashes, which goes to every task, tells
+nearly all others apart, and an exact join decides. Joins by first occurrence are plain ones, which
+adaptive execution splits where a passage is in very many documents; a document's words are never
+grouped with another's.
 
 Defined cases: a null text stays null and an empty one empty; rows with the same key and
 text are one document and lose the same words; a null key comes first. A document may be
@@ -57,8 +61,12 @@ WIDE, ALONE = 25, 75
 #: Words that are compared on each side of a run. A passage may have seeds that stand in a still
 #: earlier document too; with so many words it is found whole by any seed that does not.
 REACH = MIN_WORDS
-#: Elements of lists that may be sent to every task together, about 40 MB.
-BROADCAST_ELEMENTS = 1_000_000
+#: Elements of lists that may be sent to every task together, about 2 MB.
+BROADCAST_ELEMENTS = 50_000
+#: Bits for each document that a bitmap holds, and the most words of 64 bits that it has, about 12 MB.
+BITS_EACH, MOST_SLOTS = 16, 1 << 18
+#: Seeds before a seed among which an equal one is looked for: two for each line of a chunk.
+BEHIND = 2 * LINES
 
 #: A sentence that ends a line has so many characters at least since the one before.
 SENTENCE = 16
@@ -167,7 +175,8 @@ def _wide(words: Column) -> Column:
 
 
 def seeds(docs: DataFrame, text: str) -> DataFrame:
-    """For each document its ``seeds`` by place: ``start`` (word), ``n`` (words) and ``hash``."""
+    """For each document its ``seeds`` by place: ``start`` (word), ``n`` (words), ``hash``, and how far
+    it is ``apart`` from an equal one that it overlaps or touches, if there is one before it."""
 
     # First, middle and last word and the number: enough to find a place, the words are compared later.
     def line_hash(words: Column, ends: Column):
@@ -187,56 +196,90 @@ def seeds(docs: DataFrame, text: str) -> DataFrame:
         return _let(_line_ends(words), lambda ends: of_ends(words, ends))
 
     own = docs.select("id", "version", F.btrim(F.col(text), F.lit(_BLANK)).alias("text")).filter("text != ''")
-    return own.select("id", "version", _let(F.split("text", rows.SPACES, -1), of).alias("seeds"))
+    found = own.select("id", "version", _let(F.split("text", rows.SPACES, -1), of).alias("seeds"))
+
+    def apart(x: Column, i: Column) -> Column:
+        before = F.slice("seeds", F.greatest(i - BEHIND, F.lit(0)) + 1, F.least(i, F.lit(BEHIND)))
+        by = lambda y: x["start"] - y["start"]
+        same = F.filter(before, lambda y: (y["hash"] == x["hash"]) & (by(y) > 0) & (by(y) <= x["n"]))
+        return x.withField("apart", by(F.get(same, F.size(same) - 1)))
+
+    again = F.size(F.array_distinct("seeds.hash")) < F.size("seeds")
+    none = F.lit(None).cast("int")
+    return found.select(
+        "id", "version",
+        F.when(again, F.transform("seeds", apart)).otherwise(F.transform("seeds", lambda x: x.withField("apart", none))).alias("seeds"),
+    )
+
+
+def _is_in(id_: str = "_id", version: str = "_version") -> Column:
+    return F.col("id").eqNullSafe(F.col(id_)) & (F.col("version") == F.col(version))
 
 
-def _few(df: DataFrame, lists: str | None = None) -> DataFrame:
-    """To be sent to every task if its rows and lists are few altogether."""
-    df = written(df, "line-list")
+def _parted(docs: DataFrame, some: DataFrame, lists: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``some`` (rows with ``_id`` and ``_version``, and lists) to be joined, the documents that may be
+    among them, and those that are not. A few are sent to every task; else a bitmap of their hashes is."""
+    some = written(some, "line-list")
     size = F.lit(1) if lists is None else F.coalesce(F.size(lists), F.lit(0)) + 1
-    elements = df.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(df) if elements <= BROADCAST_ELEMENTS else df
+    n, elements = some.agg(F.count("*"), F.sum(size)).first()
+    if (elements or 0) <= BROADCAST_ELEMENTS:
+        return F.broadcast(some), docs, None
+    slots = 1 << max(0, (min(MOST_SLOTS, n * BITS_EACH // 64) - 1).bit_length())
+    at = lambda id_, version: F.pmod(F.xxhash64(id_, version), F.lit(64 * slots))
+    bit = F.col("_at").bitwiseAND(F.lit(63)).cast("int")
+    bits = some.select(at("_id", "_version").alias("_at"))
+    bits = bits.groupBy(F.shiftright("_at", 6).alias("_slot")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_bits")
+    )
+    bits = F.broadcast(written(bits, "line-bits"))
+    told = docs.withColumn("_at", at("id", "version")).withColumn("_slot", F.shiftright("_at", 6))
+    told = told.join(bits, "_slot", "left").withColumn("_may", F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False)))
+    return some, told.filter("_may").select(*docs.columns), told.filter("NOT _may").select(*docs.columns)
 
 
-def copies(docs: DataFrame, text: str) -> DataFrame:
-    """``id`` and ``version`` of the documents whose text, by SHA-256, an earlier document has."""
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """The ``id``, ``version`` and SHA-256 (``same``) of the documents, and how many ``times`` each is there."""
     same = F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("same")
     own = docs.select("id", "version", same).groupBy("id", "version", "same").agg(F.count("*").alias("times"))
-    own = written(own.drop("times"), "line-texts")
+    return written(own, "line-texts")
+
+
+def copies(own: DataFrame) -> DataFrame:
+    """``id`` and ``version`` of the documents whose text, by SHA-256, an earlier document has."""
+    own = own.drop("times")
     first = own.groupBy("same").agg(F.min(F.struct("id")).alias("k"), F.count("*").alias("times"))
     first = first.filter("times > 1").drop("times").hint("rebalance")
     return own.join(first, "same").filter(~F.col("id").eqNullSafe(F.col("k.id"))).select("id", "version")
 
 
 def _not_in(docs: DataFrame, some: DataFrame) -> DataFrame:
-    some = some.select(F.col("id").alias("_id"), F.col("version").alias("_version"))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
-    return docs.join(some, same, "left_anti")
+    some, may, rest = _parted(docs, some.select(F.col("id").alias("_id"), F.col("version").alias("_version")))
+    left = may.join(some, _is_in(), "left_anti")
+    return left if rest is None else left.unionByName(rest)
 
 
 def repeated_runs(found: DataFrame) -> DataFrame:
     """Runs of repeated seeds that are not the first: ``n`` words from word ``start`` of ``id``
-    and ``version``, and from ``k_start`` of ``k_id`` and ``k_version``, where they stood first.
-    Seeds with the same first document and distance that overlap or touch are one run. Words
+    and ``version``, and from ``k_start`` of ``k_id`` and ``k_version``, where they stood before.
+    Seeds with the same earlier document and distance that overlap or touch are one run. Words
     to compare on each side of it are ``reach``."""
-    each = found.select(F.explode("seeds.hash").alias("hash"))
-    hashes = each.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash")
-    places = found.select("id", "version", F.inline("seeds")).join(_few(hashes), "hash")
-    # Rows with the same key and text are one document.
-    again = places.groupBy("id", "version", "start", "n", "hash").agg(F.count("*").alias("times"))
-    again = written(again.drop("times"), "line-repeats")
-    place = F.struct("id", "version", "start")
-    # Apart from its aggregate, so that the join can be split where a seed is frequent.
-    first = again.groupBy("hash").agg(F.min(place).alias("k")).hint("rebalance")
-    other = ~(
-        F.col("id").eqNullSafe(F.col("k.id"))
-        & (F.col("version") == F.col("k.version"))
-        & (F.col("start") == F.col("k.start"))
+    # Not "inline": it would make the seeds a second time, to see whether there are any.
+    places = found.select("id", "version", F.inline_outer("seeds")).filter("hash IS NOT NULL")
+    # What stands near an equal one is only carried along, by itself.
+    own = F.xxhash64("id", "version", "start", F.lit(1))
+    places = places.withColumn("hash", F.when(F.col("apart").isNull(), F.col("hash")).otherwise(own))
+    by = W.partitionBy("hash", F.col("apart").isNull()).orderBy("id", "version", "start")
+    first = lambda c: F.first(c).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
+    places = places.select(
+        "id", "version", "start", "n", "apart", *(first(c).alias(f"k_{c}") for c in ("id", "version", "start"))
     )
-    met = again.join(first, "hash").filter(other).select(
+    other = ~(_is_in("k_id", "k_version") & (F.col("start") == F.col("k_start")))
+    near = F.col("apart").isNotNull()
+    met = places.filter(near | other).select(
         "id", "version", "start", (F.col("start") + F.col("n")).alias("end"),
-        F.col("k.id").alias("k_id"), F.col("k.version").alias("k_version"),
-        (F.col("start") - F.col("k.start")).alias("apart"),
+        F.when(near, F.col("id")).otherwise(F.col("k_id")).alias("k_id"),
+        F.when(near, F.col("version")).otherwise(F.col("k_version")).alias("k_version"),
+        F.coalesce("apart", F.col("start") - F.col("k_start")).alias("apart"),
     )
     line = ["id", "version", "k_id", "k_version", "apart"]
     order = W.partitionBy(*line).orderBy("start", "end")
@@ -260,8 +303,8 @@ def _with_words(places: DataFrame, docs: DataFrame, text: str, names: list[str],
     own = places.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(
         F.collect_list(F.struct("start", "n", "reach", *names)).alias("places")
     )
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
-    one = docs.select("id", "version", text).join(_few(own, "places"), same)
+    own, may, _ = _parted(docs.select("id", "version", text), own, "places")
+    one = may.join(own, _is_in())
     one = one.withColumn("words", _words(F.btrim(F.col(text), F.lit(_BLANK))))
 
     def at(words: Column, p: Column) -> Column:
@@ -305,9 +348,13 @@ def removable(docs: DataFrame, text: str) -> DataFrame:
     """``id``, ``version`` and the stretches of words (``a`` to ``b``, in order) that stand
     in an earlier place as one, or ``gone`` is null where the whole text stands in an earlier
     document. ``docs`` has ``id``, ``version`` and the text."""
-    whole = _few(copies(docs, text))
-    found = written(seeds(docs, text), "line-seeds")
-    runs = written(repeated_runs(_not_in(found, whole)), "line-runs")
+    own = _texts(docs, text)
+    whole = written(copies(own), "line-copies")
+    found = seeds(_not_in(docs, whole), text)
+    # Rows with the same key and text are one document.
+    if not own.filter("times > 1").isEmpty():
+        found = found.dropDuplicates(["id", "version"])
+    runs = written(repeated_runs(found), "line-runs")
     here = _with_words(runs, docs, text, ["k_id", "k_version", "k_start"], "d")
     first = runs.select(
         F.col("k_id").alias("id"), F.col("k_version").alias("version"), F.col("k_start").alias("start"), "n", "reach"
@@ -355,11 +402,13 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gone = removable(own.select("id", "version", "text").filter("text IS NOT NULL"), "text").select(
         F.col("id").alias("_id"), F.col("version").alias("_version"), "gone"
     )
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
-    found = own.join(_few(gone, "gone"), same, "left")
+    gone, may, rest = _parted(own, gone, "gone")
+    found = may.join(gone, _is_in(), "left")
     cut = F.when(F.col("gone").isNotNull(), _without("text", "gone"))
     cut = cut.when(F.col("_version").isNotNull(), _emptied(F.col("text")))
     found = found.select("text", "row", cut.alias("cut"))
+    if rest is not None:
+        found = found.unionByName(rest.select("text", "row"), allowMissingColumns=True)
     made = {text: F.coalesce("cut.text", "text"), "n_removed": F.coalesce("cut.n_removed", F.lit(0))}
     names = dict.fromkeys([*docs.columns, "n_removed"])
     return found.select(*(made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in names))

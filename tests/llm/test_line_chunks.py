@@ -236,3 +236,37 @@ def test_all_places_against_all_windows(spark, seed):
     for i, t in docs:
         left = [w for s, w in enumerate(t.split()) if s not in want[i]]
         assert got[i][0].split() == left, i
+
+
+def test_a_few_words_again_and_again_are_one_run(spark):
+    rng = random.Random(18)
+    words = "one two three four five six seven eight nine ten".split()
+    docs = [(n, " ".join(words[:n]) + " ") for n in range(1, 11)]
+    said = dict(docs)
+    docs = [(n, prose(rng, 2) + " " + t * 300 + prose(rng, 2)) for n, t in docs]
+    frame = spark.createDataFrame(docs, "id bigint, text string").selectExpr("id", "xxhash64(text) AS version", "text")
+    runs = lc.repeated_runs(lc.seeds(frame, "text")).filter("id <=> k_id").groupBy("id").count().collect()
+    assert {r.id for r in runs} == set(range(1, 11)) and all(r["count"] <= 20 for r in runs)
+    got = out_of(spark, docs)
+    for n, t in docs:
+        assert len(got[n][0]) < len(t) - 280 * len(said[n])
+
+
+def test_many_lists_are_told_by_a_bitmap(spark, monkeypatch):
+    """The same comes out where nothing is sent to every task, also with a bitmap that is full;
+    documents in none of the lists are set apart before the join."""
+    rng = random.Random(19)
+    shared = passages(rng, 6)
+    docs = [(i, f"{prose(rng, 3)} {shared[i % 6] if i % 4 == 0 else ''} {prose(rng, 3)}") for i in range(200)]
+    docs += [(200 + i, docs[i][1]) for i in range(20)] + [(None, docs[30][1]), (301, None)]
+    want = out_of(spark, docs)
+    monkeypatch.setattr(lc, "BROADCAST_ELEMENTS", 0)
+    assert out_of(spark, docs) == want
+    frame = spark.createDataFrame(docs, "id bigint, text string").selectExpr("id", "xxhash64(text) AS version", "text")
+    some = frame.filter("id % 10 = 3 OR id IS NULL").selectExpr("id AS _id", "version AS _version")
+    for most, least in ((lc.MOST_SLOTS, 150), (1, 1)):
+        monkeypatch.setattr(lc, "MOST_SLOTS", most)
+        listed, may, rest = lc._parted(frame, some)
+        assert may.join(listed, lc._is_in(), "left_semi").count() == some.count()
+        assert may.count() + rest.count() == len(docs) and rest.count() >= least
+    assert out_of(spark, docs) == want

@@ -51,7 +51,7 @@ def ship(spark: SparkSession) -> None:
 
 def through_arrow(
     df: DataFrame,
-    inputs: dict[str, Column],
+    inputs: dict[str, Column | str],
     work: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]],
     outputs: str,
     keep: list[str] | None = None,
@@ -61,17 +61,21 @@ def through_arrow(
     ``work`` sees batches with the columns ``inputs`` only and yields, for each
     batch in turn, one array per column of ``outputs`` (a DDL string). The kept
     columns (all unless named) travel beside them under positional names, so that
-    no name can clash; an output replaces a kept column of its name.
+    no name can clash; an output replaces a kept column of its name. An input that
+    is given by its name is not sent a second time where that column is kept.
     """
     ship(df.sparkSession)
     made = StructType.fromDDL(outputs)
     keep = [c for c in (df.columns if keep is None else keep) if c not in made.names]
     kept = [df[c].alias(f"_k{i}") for i, c in enumerate(keep)]
-    given = df.select(*kept, *(c.alias(f"_i{i}") for i, c in enumerate(inputs.values())))
+    at = {n: len(kept) + i for i, n in enumerate(x for x, c in inputs.items() if not isinstance(c, str) or c not in keep)}
+    sent = ((df[c] if isinstance(c, str) else c).alias(f"_i{i}") for i, c in enumerate(inputs[n] for n in at))
+    given = df.select(*kept, *sent)
     schema = StructType(given.schema.fields[: len(kept)] + [
         f.__class__(f"_o{i}", f.dataType, True) for i, f in enumerate(made.fields)
     ])
     names, n_kept, n_made = list(inputs), len(kept), len(made.fields)
+    places = [at[n] if n in at else keep.index(c) for n, c in inputs.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -81,7 +85,7 @@ def through_arrow(
                 for start in range(0, batch.num_rows, PIECE):
                     piece = batch.slice(start, PIECE)
                     waiting.append(piece.select(range(n_kept)))
-                    columns = [piece.column(n_kept + i) for i in range(len(names))]
+                    columns = [piece.column(i) for i in places]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
         for arrays in work(seen()):

@@ -322,5 +322,5 @@ def score(
             ]
 
     return rows.through_arrow(
-        docs, {"text": F.col(text)}, work, "score double, predicted int", keep
+        docs, {"text": text}, work, "score double, predicted int", keep
     )

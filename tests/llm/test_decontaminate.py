@@ -152,3 +152,14 @@ def test_items_with_an_empty_or_no_id_and_repeated_items(spark):
     benchmark = spark.createDataFrame([("x", phrase)] * 500, "item_id string, text string")
     found = dc.find_contamination(docs, benchmark, block_bytes=len(phrase) + 1)
     assert {r.doc_id: r["items"] for r in found.collect()} == {1: ["x"], 2: []}
+
+
+def test_texts_are_sent_once_and_gathered_as_codes(spark):
+    found = dc.phrases([("a", b"one two three")], 13)
+    codes = dc.coded(found, dc.words_of(b"Two or one, three"))
+    assert codes.tolist() == [2, 0, 1, 3] and codes.nbytes == 16
+    docs = spark.createDataFrame([(1, "zero ONE two three"), (2, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+    out = dc.find_contamination(docs, items)
+    assert "cast(text" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.text, r.items, r.n_hit) for r in out.collect()) == [(1, "zero ONE two three", ["a"], 3), (2, None, [], 0)]

@@ -270,3 +270,16 @@ def test_many_lists_are_told_by_a_bitmap(spark, monkeypatch):
         assert may.join(listed, lc._is_in(), "left_semi").count() == some.count()
         assert may.count() + rest.count() == len(docs) and rest.count() >= least
     assert out_of(spark, docs) == want
+
+
+def test_seeds_tell_every_word(spark):
+    """A chunk's hash is over all of its words, so one that differs in any word is no repeat."""
+    rng = random.Random(20)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    docs = [(-1, " ".join(words))] + [(i, " ".join([*words[:i], "other", *words[i + 1 :]])) for i in range(150)]
+    frame = spark.createDataFrame(docs, "id bigint, text string").selectExpr("id", "xxhash64(text) AS version", "text")
+    found = {r.id: r.seeds for r in lc.seeds(frame, "text").collect()}
+    known = {s.hash for s in found.pop(-1)}
+    assert len(known) > 8
+    for i, seeds in found.items():
+        assert not any(s.hash in known for s in seeds if s.start <= i < s.start + s.n), i

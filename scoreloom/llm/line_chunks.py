@@ -70,7 +70,7 @@ _END = (
     r"(?<=[\n\x20])(?:(?<=\n)(?=[^\n])"
     rf"|(?<=[.!?]\x20)(?=[^\x20\n])(?<=[^.!?\n]{{{SENTENCE}}}[.!?]\x20))"
 )
-_HIGH, _LOW = -(1 << 31), (1 << 31) - 1
+_MOST = (1 << 63) - 1
 _BLANK = " \t\n\x0b\f\r"
 _WORD_END = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 
@@ -99,35 +99,44 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _dips(hashes: Column) -> Column:
-    """The hashes (with their place in the low half) that are not above those beside them: all
+def _dips(hashes: Column, last: Column | None = None) -> Column:
+    """The places, up to the ``last`` one if it is given, whose hash is not above those beside it: all
     places of a stretch that says one word only."""
-    above = lambda x, y: x > y.bitwiseOR(F.lit(_LOW))
-    return F.filter(
-        hashes,
-        lambda x, i: ~F.coalesce(above(x, F.get(hashes, i + 1)), F.lit(False))
-        & ~F.coalesce(above(x, F.get(hashes, i - 1)), F.lit(False)),
-    )
+    none = F.array(F.lit(_MOST))
+
+    def of(between: Column) -> Column:
+        def is_dip(x: Column, i: Column) -> Column:
+            if last is None:
+                return (x <= F.get(between, i)) & (x <= F.get(between, i + 2))
+            return (x <= F.get(between, i)) & ((x <= F.get(between, i + 2)) | (i == last)) & (i <= last)
+
+        # One pass and a plain function after it: a filter would look up each word once more.
+        return F.array_remove(F.transform(hashes, lambda x, i: F.when(is_dip(x, i), i).otherwise(-1)), -1)
+
+    return _let(F.concat(none, hashes, none), of)
 
 
 def _chunks(words: Column) -> Column:
     """Chunks of ``WORDS`` words; a text of fewer is one by itself."""
-    n = F.least(F.size(words), F.lit(WORDS))
-    hashes = F.transform(
-        F.slice(words, 1, F.size(words) - n + 1),
-        lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(_HIGH)).bitwiseOR(i.cast("bigint")),
-    )
 
-    def chunk(v: Column) -> Column:
-        start = v.bitwiseAND(F.lit(_LOW)).cast("int")
+    def chunk(hashes: Column, n: Column, start: Column) -> Column:
+        # Of the words' hashes one by one, for a slice costs more; a place after the last word adds nothing.
+        own = (F.get(hashes, start + k) for k in range(WORDS))
         return F.struct(
             start.alias("start"),
             n.alias("n"),
-            F.xxhash64(F.slice(words, start + 1, n)).alias("hash"),
+            F.xxhash64(*own).alias("hash"),
             F.lit(None).cast("int").alias("apart"),
         )
 
-    return F.transform(_let(_let(hashes, _dips), _dips), chunk)
+    def of(hashes: Column, n: Column) -> Column:
+        at = lambda values, places: F.transform(places, lambda i: F.get(values, i))
+        dips = _let(F.size(hashes) - n, lambda last: _dips(hashes, last))
+        opens = _let(dips, lambda d: at(d, _let(at(hashes, d), lambda h: _dips(h))))
+        return F.transform(opens, lambda start: chunk(hashes, n, start))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return _let(hashes, lambda h: _let(F.least(F.size(h), F.lit(WORDS)), lambda n: of(h, n)))
 
 
 def _wide(words: Column) -> Column:
@@ -386,8 +395,8 @@ def _emptied(text: Column) -> Column:
 
 
 def _without(text: str, gone: str) -> Column:
-    """``text`` without the stretches of words that are worth it, and ``n_removed``. White
-    space goes with the word before it, and with the first word what stands before."""
+    """``text`` without the stretches of words that are worth it, and ``n_removed``; null where none
+    is. White space goes with the word before it, and with the first word what stands before."""
 
     def part(given: Column, x: Column) -> Column:
         return F.slice(given["words"], x["a"] + 1, x["b"] - x["a"] + 1)
@@ -401,22 +410,23 @@ def _without(text: str, gone: str) -> Column:
         )
         # Stretches from different earlier documents may overlap: places, each once.
         places = F.flatten(F.transform(long, lambda x: F.sequence(x["a"], x["b"])))
-        return F.struct(*(given[c].alias(c) for c in ("lead", "words", "line")), places.alias("gone"))
+        return F.struct(*(given[c].alias(c) for c in ("lead", "words")), places.alias("gone"))
 
     def of(given: Column) -> Column:
         words, gone = given["words"], given["gone"]
         stay = F.array_except(F.sequence(F.lit(0), F.size(words) - 1), gone)
         left = F.array_join(F.transform(stay, lambda i: F.get(words, i)), "")
         lead = F.when(F.array_min(gone) == 0, "").otherwise(given["lead"])
-        touched = F.transform(gone, lambda i: F.get(given["line"], i))
-        return F.struct(
+        of_word = F.transform(lines(F.col(text)), lambda x, i: F.array_repeat(i, F.size(_words(x))))
+        touched = _let(F.flatten(of_word), lambda line: F.transform(gone, lambda i: F.get(line, i)))
+        made = F.struct(
             F.concat(lead, left).alias("text"), F.size(F.array_distinct(touched)).alias("n_removed")
         )
+        # Lines are told only where words go.
+        return F.when(F.size(gone) > 0, made)
 
-    of_word = F.transform(lines(F.col(text)), lambda x, i: F.array_repeat(i, F.size(_words(x))))
     given = F.struct(
         F.regexp_extract(F.col(text), f"^{rows.SPACES}", 0).alias("lead"),
         F.split(F.ltrim(F.col(text), F.lit(_BLANK)), _WORD_END, -1).alias("words"),
-        F.flatten(of_word).alias("line"),
     )
     return _let(_let(given, worth), of)

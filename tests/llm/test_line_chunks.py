@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from scoreloom.llm import line_chunks as lc
 
@@ -283,3 +284,35 @@ def test_seeds_tell_every_word(spark):
     assert len(known) > 8
     for i, seeds in found.items():
         assert not any(s.hash in known for s in seeds if s.start <= i < s.start + s.n), i
+
+
+def chunk_places(hashes):
+    """Where chunks open, by the rule: dips of the hashes, and dips of those."""
+
+    def dips(places):
+        at = lambda j: hashes[places[j]] if 0 <= j < len(places) else float("inf")
+        return [p for j, p in enumerate(places) if at(j) <= at(j - 1) and at(j) <= at(j + 1)]
+
+    return dips(dips(list(range(max(len(hashes) - lc.WORDS, 0) + 1))))
+
+
+def test_chunks_open_by_the_rule_and_cost_no_slice_each(spark):
+    rng = random.Random(21)
+    texts = [[f"w{rng.randrange(k)}" for _ in range(n)] for n in [1, 2, 12, 13, 14, 15, 40, 200, 400] for k in (1, 3, 10**6)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, w array<string>")
+    own = frame.select("i", F.transform("w", lambda w: F.xxhash64(w)).alias("h"), lc._chunks(frame.w).alias("c"))
+    for r in own.collect():
+        assert [c.start for c in r.c] == chunk_places(r.h), texts[r.i]
+        assert all(c.n == min(len(r.h), lc.WORDS) and c.apart is None for c in r.c)
+        alike = {(tuple(r.h[c.start : c.start + c.n]), c.hash) for c in r.c}
+        assert len(alike) == len({a for a, _ in alike}) == len({b for _, b in alike})
+    # Array slices are made element by element outside of generated code: none for each chunk.
+    assert "slice(" not in lc._chunks(frame.w)._jc.toString()
+
+
+def test_lines_are_not_told_where_nothing_goes(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    frame = spark.createDataFrame([(1, words, [(3, 9)]), (2, words, [(3, 9), (20, 70)])], "i int, text string, gone array<struct<a:int,b:int>>")
+    got = dict(frame.select("i", lc._without("text", "gone")).collect())
+    left = " ".join(w for n, w in enumerate(words.split()) if not 20 <= n <= 70)
+    assert got[1] is None and (got[2].text, got[2].n_removed) == (left, 1)
